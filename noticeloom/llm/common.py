@@ -90,6 +90,7 @@ BASE = int(_rng.integers(1, 2**60)) * 8 + 3
 STEP = _rng.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -142,10 +143,10 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, pw: Powers):
+def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, pw: Powers, space: np.ndarray = IS_SPACE):
     """Hash every word of consecutive texts: (hash per word, index of the text per word).
 
-    A word is a run of bytes other than space and 0x09-0x0D; words never cross texts. Prefix sums
+    A word is a run of bytes not marked in `space`; words never cross texts. Prefix sums
     of byte code times BASE**position give each word's Karp-Rabin value by one subtraction.
     """
     lo, hi = int(offsets[0]), int(offsets[-1])
@@ -153,7 +154,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, pw: Po
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     d = data[lo:hi]
-    word = ~IS_SPACE[d]
+    word = ~space[d]
     first = np.zeros(n + 1, bool)
     begins = (offsets[:-1] - lo)[offsets[:-1] < offsets[1:]]
     first[begins] = True
@@ -191,10 +192,10 @@ def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
     return np.unique(windows(h, k))
 
 
-def per_text(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, pw: Powers) -> Iterator[np.ndarray]:
+def per_text(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, pw: Powers, space: np.ndarray = IS_SPACE) -> Iterator[np.ndarray]:
     """Word hashes of each text in turn, a bounded run of texts at a time."""
     for i, j in chunks(offsets):
-        h, text = word_hashes(data, offsets[i : j + 1], table, pw)
+        h, text = word_hashes(data, offsets[i : j + 1], table, pw, space)
         edge = np.searchsorted(text, np.arange(j - i + 1))
         for k in range(j - i):
             yield h[edge[k] : edge[k + 1]]
