@@ -17,6 +17,7 @@ HASHES = BANDS * ROWS
 BATCH = 10
 MISS = 1e-6
 BLOCK = 1024
+BLOCK_BYTES = 16 << 20
 _rng = np.random.default_rng(97)
 MULT = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -128,51 +129,68 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, p
     near = near.where((F.least("n_a", "n_b") * 100) >= (F.greatest("n_a", "n_b") * percent))
     left = cut(near.select("a", "b", "sig_a", "sig_b").mapInArrow(prune, "a long, b long"))
     need = left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct()
-    sets = cut(shingle_sets(docs.select("doc_id", "text").join(need, "doc_id", "left_semi"), words).dropDuplicates(["id"]))
+    sets = cut(shingle_sets(docs.select("doc_id", "text").join(need, "doc_id", "left_semi"), words))
     full = left.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
     return full.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
 
 
-def bucket_rest(members: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs (a, b) of classes that share a bucket but not yet a component.
+def bucket_rest(members: DataFrame, classes: DataFrame, found: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that join different components within a bucket; as many as members at most.
 
-    Only buckets with several components are looked at. A bucket over BLOCK members is compared
-    block against block, each pair of blocks in its own task; each pair is emitted by the first band
-    in which the two meet, and pairs with the bucket's lead were tested before.
+    Only buckets with several components are looked at. A bucket of more than BLOCK members or
+    BLOCK_BYTES of shingles is compared block against block, each pair of blocks in its own task.
+    A task compares classes of different components only: signatures batch by batch, then the whole
+    sets; a link unites the two components at once, so a large group settles after about one test a
+    member and no pair leaves the task but the links that unite. A pair is left to the first band in
+    which the two meet, and pairs with the bucket's lead were tested before.
     """
     least = least_matches(percent / 100, MISS)
     comp = members.join(found.select(F.col("id").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = comp.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 2 AND lo <> hi")
-    mixed = mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = comp.join(mixed, "bucket").join(classes.select("cls", "sig"), "cls")
+    mixed = comp.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size")).where("n > 2 AND lo <> hi")
+    mixed = mixed.select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    rows = cut(comp.join(mixed, "bucket").select("bucket", "band", "lead", "cls", "component", "blocks"))
+    need = rows.select(F.col("cls").alias("doc_id")).distinct()
+    sets = shingle_sets(docs.select("doc_id", "text").join(need, "doc_id", "left_semi"), words)
     own = F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", "band", "lead", "cls", "component", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    full = rows.join(sets.withColumnRenamed("id", "cls"), "cls").join(classes.select("cls", "sig"), "cls")
+    full = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    full = full.select("bucket", "band", "lead", "cls", "component", "sig", "hashes", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def compare(key, t):
         import pyarrow as pa
 
-        out = [(np.zeros(0, np.int64),) * 2]
         _, i, j = (k.as_py() for k in key)
-        cls, com, own = (t.column(c).to_numpy() for c in ("cls", "component", "own"))
+        cls, own = t.column("cls").to_numpy(), t.column("own").to_numpy()
+        names, com = np.unique(t.column("component").to_numpy(), return_inverse=True)
+        members_of = {c: np.flatnonzero(com == c).tolist() for c in range(len(names))}
+        com = com.copy()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+        sets = [np.frombuffer(h, np.int64) for h in t.column("hashes").to_pylist()]
+        size = np.array([len(x) for x in sets])
         band, lead = t.column("band")[0].as_py(), t.column("lead")[0].as_py()
         x = np.flatnonzero((own == i) & (cls != lead))
         y = np.flatnonzero((own == j) & (cls != lead))
-        for p in x:
+        a, b = [], []
+        for p in x.tolist():
             q = y[(com[y] != com[p]) & ((cls[y] > cls[p]) if i == j else True)]
-            if not len(q):
-                continue
-            q = q[plausible(np.broadcast_to(sig[p], (len(q), HASHES)), sig[q], least)]
+            q = q[100 * np.minimum(size[q], size[p]) >= percent * np.maximum(size[q], size[p])]
+            q = q[plausible(np.broadcast_to(sig[p], (len(q), HASHES)), sig[q], least)] if len(q) else q
             if len(q) and band:
-                met = (sig[q] == sig[p])[:, : band * ROWS].reshape(len(q), band, ROWS).all(2).any(1)
-                q = q[~met]
-            if len(q):
-                lo, hi = np.minimum(cls[p], cls[q]), np.maximum(cls[p], cls[q])
-                out.append((lo, hi))
-        return pa.table({"a": np.concatenate([x[0] for x in out]), "b": np.concatenate([x[1] for x in out])})
-
-    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+                q = q[~(sig[q] == sig[p])[:, : band * ROWS].reshape(len(q), band, ROWS).all(2).any(1)]
+            for r in q.tolist():
+                if com[r] == com[p]:
+                    continue
+                both = len(np.intersect1d(sets[p], sets[r], assume_unique=True))
+                if 100 * both >= percent * (size[p] + size[r] - both):
+                    a.append(min(cls[p], cls[r]))
+                    b.append(max(cls[p], cls[r]))
+                    old, new = sorted((com[p], com[r]), key=lambda c: len(members_of[c]))
+                    moved = members_of.pop(old)
+                    com[moved] = new
+                    members_of[new] += moved
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return full.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -200,16 +218,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     width = 4 * ROWS
     key = lambda k: F.xxhash64(F.substring("sig", k * width + 1, width), F.lit(k))
-    bands = classes.select("cls", F.posexplode(F.array(*[key(k) for k in range(BANDS)])).alias("band", "bucket"))
+    bands = classes.select("cls", "n_shingles", F.posexplode(F.array(*[key(k) for k in range(BANDS)])).alias("band", "bucket"))
     shared = bands.groupBy("bucket").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(bands.join(shared.drop("n"), "bucket"))
     star = members.where("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
     links = cut(confirm(star, classes, docs, words, percent))
     found = components(links)
-    rest = cut(bucket_rest(members, classes, found, percent))
-    if not rest.isEmpty():
-        links = links.union(confirm(rest, classes, docs, words, percent))
-    found = components(links.union(copies))
+    rest = bucket_rest(members, classes, found, docs, words, percent)
+    found = components(links.union(rest).union(copies))
     out = base.select("doc_id", "n_shingles").join(found, base.doc_id == found.id, "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
