@@ -151,3 +151,10 @@ def identify(docs: DataFrame, sample: int = 1600) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLD == 1, F.lit(False))
     model = fit(docs, sample)
     return predict(docs.select("doc_id", held.alias("held_out"), "text"), model)
+
+
+def recognised(docs: DataFrame, sample: int = 1600) -> DataFrame:
+    """docs without the documents that have no recognisable language (null text, no letter)."""
+    model = fit(docs, sample)
+    rows = predict(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), model)
+    return rows.where(F.col("lang_pred") != "und").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -229,3 +229,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     out = base.select("doc_id", "n_shingles").join(found, base.doc_id == found.id, "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def first_of_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each near-duplicate group, that of the smallest doc_id.
+
+    Of rows that repeat a kept doc_id, one stays; rows without a doc_id all stay.
+    """
+    kept = near_duplicates(docs, words, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    whole = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return whole.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
