@@ -26,7 +26,7 @@ LENGTH = 100
 GRAM = 32
 RUN = LENGTH - GRAM + 1
 BUCKET_BYTES = 24 << 20
-DICT_BYTES = 3 << 20
+DICT_BYTES = 1 << 20
 HOT_PHRASES = 20_000
 MIX_A, MIX_B = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
@@ -139,6 +139,34 @@ def first_kept(p: np.ndarray):
     return p, first, ~same
 
 
+def squeeze(raw: bytes) -> bytes:
+    """zstd, after the length in 4 bytes: texts and phrase tables cross shuffles in this form."""
+    import pyarrow as pa
+
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unsqueeze(body: bytes) -> bytes:
+    import pyarrow as pa
+
+    return pa.decompress(body[4:], int.from_bytes(body[:4], "little"), "zstd", asbytes=True)
+
+
+def phrase_tables(p: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """Each run of phrase rows, column by column so that ids and starts compress."""
+    return [squeeze(b"".join(np.ascontiguousarray(p[c][a:b]).tobytes() for c in PHRASES.names)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def phrase_rows(body: bytes) -> np.ndarray:
+    raw = unsqueeze(body)
+    p, at = np.empty(len(raw) // PHRASES.itemsize, PHRASES), 0
+    for c in PHRASES.names:
+        kind = PHRASES[c]
+        p[c] = np.frombuffer(raw, kind, len(p), at)
+        at += len(p) * kind.itemsize
+    return p
+
+
 OUT = "bucket int, kind int, doc long, th long, body binary"
 
 
@@ -164,7 +192,9 @@ def scan(keyed: DataFrame, buckets: int) -> DataFrame:
         o = np.lexsort((p["lo"], p["th"], p["doc"], b))
         p, b = p[o], b[o]
         e = np.flatnonzero(changes(b))
-        yield _rows(b[e], 1, None, None, binaries(p, np.append(e, len(p))))
+        import pyarrow as pa
+
+        yield _rows(b[e], 1, None, None, pa.array(phrase_tables(p, np.append(e, len(p))), pa.binary()))
 
     def run(batches: Iterator) -> Iterator:
         pw, held, size = Powers(), [], 0
@@ -193,7 +223,7 @@ def settle(phrases: DataFrame) -> DataFrame:
         import pyarrow.compute as pc
 
         out = [t.filter(pc.equal(t.column("kind"), 0))]
-        p = np.frombuffer(b"".join(t.column("body").filter(pc.equal(t.column("kind"), 1)).to_pylist()), PHRASES)
+        p = np.concatenate([np.empty(0, PHRASES), *map(phrase_rows, t.column("body").filter(pc.equal(t.column("kind"), 1)).to_pylist())])
         k = np.sort(p["key"])
         twice = np.unique(k[1:][k[1:] == k[:-1]])
         del k
@@ -232,7 +262,7 @@ def dictionary(asked: DataFrame, keyed: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             cols = {"bucket": [], "doc": [], "th": [], "lo": [], "n": [], "phrase": []}
             for i in range(batch.num_rows):
-                raw = batch.column(2)[i].as_py().encode() if batch.column(2)[i].is_valid else b""
+                raw = unsqueeze(batch.column(2)[i].as_py())
                 for body in batch.column(3)[i].as_py():
                     for key, lo, n in np.frombuffer(body, ASKED).tolist():
                         if n < 0:
@@ -255,26 +285,30 @@ def dictionary(asked: DataFrame, keyed: DataFrame, buckets: int) -> DataFrame:
 
     schema = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("phrase", pa.binary())])
     per_doc = asked.groupBy("doc", "th").agg(F.collect_list("body").alias("bodies"))
-    joined = keyed.select("doc", "th", "text").join(per_doc, ["doc", "th"]).select("doc", "th", "text", "bodies")
+    joined = squeezed(keyed.select("doc", "th", "text")).join(per_doc, ["doc", "th"]).select("doc", "th", "text", "bodies")
     return joined.mapInArrow(run, "bucket int, doc long, th long, lo int, n int, phrase binary")
 
 
-def suffix_ranks(d: np.ndarray) -> np.ndarray:
-    """Rank of the first LENGTH bytes of every suffix of d among all of them (equal strings, equal
-    rank): the suffix array of the dictionary, by prefix doubling from 8 bytes, to depth LENGTH."""
+def suffix_ranks(d: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Ranks, to depth LENGTH, of the suffixes of d at `starts` (equal strings, equal rank).
+
+    Prefix doubling from 8 to 32 bytes over the whole dictionary gives its suffix order to depth 32;
+    the suffixes at `starts` then combine the ranks at 0, 32, 64 and 68 to their 100 bytes.
+    """
     n = len(d)
-    pad = np.concatenate([d, np.zeros(LENGTH + 8, np.uint8)])
+    pad = np.concatenate([d, np.zeros(8, np.uint8)])
     word = np.zeros(n, np.uint64)
     for j in range(8):
         word = (word << U64(8)) | pad[j : j + n]
-    rank = np.unique(word, return_inverse=True)[1]
-    depth = 8
-    while depth < LENGTH:
-        step = min(depth, LENGTH - depth)
-        after = np.concatenate([rank[step:], np.zeros(min(step, n), rank.dtype)])[:n]
-        rank = np.unique(rank.astype(np.uint64) * U64(n + 1) + after.astype(np.uint64), return_inverse=True)[1]
-        depth += step
-    return rank
+    rank = np.unique(word, return_inverse=True)[1].astype(np.uint64)
+    many = U64(n + 1)
+    for depth in (8, 16):
+        after = np.concatenate([rank[depth:], np.zeros(min(depth, n), np.uint64)])[:n]
+        rank = np.unique(rank * many + after, return_inverse=True)[1].astype(np.uint64)
+    out = rank[starts]
+    for step in (GRAM, 2 * GRAM, LENGTH - GRAM):
+        out = np.unique(out * many + rank[starts + step], return_inverse=True)[1].astype(np.uint64)
+    return out
 
 
 def order_suffixes(phrases: DataFrame) -> DataFrame:
@@ -290,7 +324,7 @@ def order_suffixes(phrases: DataFrame) -> DataFrame:
         begin = np.concatenate([[0], np.cumsum(n + LENGTH - 1)[:-1]])
         which = np.repeat(np.arange(len(n)), n)
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        rank = suffix_ranks(d)[begin[which] + step]
+        rank = suffix_ranks(d, begin[which] + step)
         doc, th, lo = col["doc"][which], col["th"][which], col["lo"][which].astype(np.int64) + step
         known = np.lexsort((lo, th, doc, rank))
         rank, doc, th, lo = rank[known], doc[known], th[known], lo[known]
@@ -305,12 +339,32 @@ def order_suffixes(phrases: DataFrame) -> DataFrame:
     return phrases.groupBy("bucket").applyInArrow(run, "doc long, th long, body binary")
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """docs plus doc, th (a row's identity) and spans (array of packed (start, end) int32 pairs)."""
-    keyed = docs.withColumns({
-        "doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))),
-        "th": F.xxhash64(F.coalesce("text", F.lit(""))),
-    })
+def squeezed(rows: DataFrame) -> DataFrame:
+    """rows with `text` compressed (empty for null), for shuffles."""
+    schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema.fields)
+    names = rows.columns
+    at = names.index("text")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            data, offsets = utf8(b.column(at))
+            z = pa.array([squeeze(data[i:j].tobytes()) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([z if k == at else c for k, c in enumerate(b.columns)], names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def with_spans(docs: DataFrame, rest: list[str]) -> DataFrame:
+    """(rest: struct, text: compressed, missing, spans: array of packed (start, end) pairs) of docs."""
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"),
+        F.col("text").isNull().alias("missing"),
+        "text",
+    )
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     few = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     settled = cut(settle(scan(keyed, max(few, size // BUCKET_BYTES))))
@@ -321,7 +375,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     if phrases:
         spans = spans.union(order_suffixes(dictionary(asked, keyed, int(max(few, phrases * 170 // DICT_BYTES)))))
     per_doc = spans.groupBy("doc", "th").agg(F.collect_list("body").alias("spans"))
-    return keyed.join(per_doc, ["doc", "th"], "left")
+    return squeezed(keyed).join(per_doc, ["doc", "th"], "left").select("rest", "text", "missing", "spans")
 
 
 def united(bodies: list[bytes] | None) -> np.ndarray:
@@ -362,17 +416,17 @@ def digest(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             size, gone, n, sha = [], [], [], []
-            for text, bodies in zip(b.column(1), b.column(2), strict=True):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+            for text, bodies in zip(b.column(1), b.column(3), strict=True):
+                raw = unsqueeze(text.as_py())
                 runs = united(bodies.as_py())
                 kept = kept_bytes(raw, runs)
                 size.append(len(raw))
                 gone.append(len(raw) - len(kept))
                 n.append(len(runs))
                 sha.append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (size, gone, n)), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0).field(0).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (size, gone, n)), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(docs).select(F.col("doc_id").cast("long"), "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs, ["doc_id"]).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -382,21 +436,20 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     a null text stays null, and a text that is all repeats becomes empty.
     """
     names = docs.columns
+    rest = [c for c in names if c != "text"]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
             out = []
-            for text, bodies in zip(b.column(1), b.column(2), strict=True):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else None
-                runs = united(bodies.as_py())
-                out.append(raw if raw is None or not len(runs) else kept_bytes(raw, runs).decode("utf-8", "ignore").encode())
+            for text, missing, bodies in zip(b.column(1), b.column(2).to_pylist(), b.column(3), strict=True):
+                raw, runs = unsqueeze(text.as_py()), united(bodies.as_py())
+                out.append(None if missing else kept_bytes(raw, runs).decode("utf-8", "ignore").encode() if len(runs) else raw)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()).cast(pa.string())], ["rest", "text"])
 
-    rest = [c for c in names if c != "text"]
-    full = with_spans(docs).select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), "text", "spans")
-    cleaned = full.mapInArrow(run, full.select("rest", "text").schema)
+    full = with_spans(docs, rest)
+    cleaned = full.mapInArrow(run, f"rest {full.schema['rest'].dataType.simpleString()}, text string")
     cleaned = cleaned.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in names])
     if "n_chars" in names:
         cleaned = cleaned.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars").cast("long")))
