@@ -42,8 +42,8 @@ def without(c: Column, prefix: str) -> Column:
 
 
 def fields(ocr: Column, embedded: Column, name: Column) -> dict[str, Column]:
-    """Candidate fields of a second reading, by record field."""
-    lines = F.filter(F.split(text.ocr_text(ocr), "\n"), lambda x: x != "")
+    """Candidate fields of a second reading, by record field; both texts in text.ocr_text() form."""
+    lines = F.filter(F.split(ocr, "\n"), lambda x: x != "")
     packed = F.transform(lines, text.compact)
     whole = F.array_join(lines, "\n")
     all_packed, bent = text.compact(whole), text.ocr_fold(whole)
@@ -65,7 +65,7 @@ def fields(ocr: Column, embedded: Column, name: Column) -> dict[str, Column]:
         labels = F.filter(F.transform(ls, lambda x, i: F.when(text.compact(x).rlike("السجلالتجاري|registrecommercial"), i + 1)), lambda i: i.isNotNull())
         return F.try_element_at(F.array_compact(F.transform(labels, near)), F.lit(1))
 
-    first = F.filter(F.split(text.ocr_text(embedded), "\n"), lambda x: x != "")
+    first = F.filter(F.split(embedded, "\n"), lambda x: x != "")
     address = block(lines, packed, lambda c: c.contains("عنوانمقرهاالاجتماعي") | begins("الموقع", "siegesocial")(c), lambda c: c.contains("السجلالتجاري") | begins("الهدف", "اليدف", "الغرض", "راسالمال")(c))
     purpose = block(lines, packed, lambda c: begins("الهدف", "اليدف", "objetsocial")(c) | c.contains("غرضالشركه"), begins("المده", "راسالمال", "التسيير", "السنهالاجتماعيه", "تمالايداعالقانوني"))
     branch = block(lines, packed, lambda c: c.contains("الكاينبالعنوانالتالي") | c.contains("عنوانالفرع"), begins("المسير", "التسيير", "تمالايداعالقانوني"))
@@ -96,6 +96,12 @@ def fields(ocr: Column, embedded: Column, name: Column) -> dict[str, Column]:
     }
 
 
+def read(df: DataFrame, ocr: str, embedded: str, name: str, out: str) -> DataFrame:
+    """Add `out`: the struct of candidate fields read from the columns of both texts."""
+    clean = df.withColumns({"_ocr": text.ocr_text(F.col(ocr)), "_own": text.ocr_text(F.col(embedded))})
+    return clean.withColumn(out, as_struct(fields(F.col("_ocr"), F.col("_own"), F.col(name)))).drop("_ocr", "_own")
+
+
 def as_struct(f: dict[str, Column]) -> Column:
     return F.struct(*[v.alias(k) for k, v in f.items()])
 
