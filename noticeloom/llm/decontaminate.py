@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeloom.llm.common import BYTE_LOWER, NOT_ALNUM, U64, Powers, cut, mix, per_text, utf8, windows
@@ -165,7 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                 ["doc", "th", "doc_id", "item_id", "item_words", "covered", "n_tiles", "coverage"],
             )
 
-    keyed = identified(docs).select("doc", "th", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = docs.select(*identity(), F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc long, th long, doc_id long, seeds array<long>, words binary"
     near = cut(keyed.mapInArrow(hits, schema)) if sizes else docs.sparkSession.createDataFrame([], schema)
     seeds = items.select("item_id", "size", "item_words", F.explode("seeds").alias("seed")).groupBy("item_id", "size", "item_words", "seed").agg(F.count(F.lit(1)).alias("times"))
@@ -177,12 +177,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     return full.select("doc", "th", "doc_id", "item_id", "words", "item", "item_words").mapInArrow(tile, out)
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """docs with doc and th, which together tell rows with different ids or texts apart."""
-    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "th": F.xxhash64(F.coalesce("text", F.lit("")))})
+def identity() -> list[Column]:
+    """doc and th, which together tell rows with different ids or texts apart."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that hold a benchmark item; columns unchanged."""
     bad = contaminated(docs, benchmark, threshold).select("doc", "th").distinct()
-    return identified(docs).join(bad, ["doc", "th"], "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *identity())
+    return rows.join(bad, ["doc", "th"], "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
