@@ -15,7 +15,7 @@ CAPACITY = 4096
 END = 2
 UNIT = 16
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 400_000
+CACHE = 800_000
 SHORT = 48
 NEAR = 5e-4
 
@@ -23,35 +23,78 @@ NEAR = 5e-4
 class Encoder:
     """Ids of whole texts as little-endian uint32 bytes, by a public tokenizer.
 
-    The tokenizer cuts at white space before anything else, so a text's ids are those of its blank-
-    separated chunks in turn; each different short chunk is encoded once and kept, in bounded number.
+    The tokenizer lower-cases and cuts at white space, and between letters and punctuation, before
+    anything else. So a text's ids are those of its blank-separated chunks in turn, and a chunk of
+    letters with full stops or commas behind has the letters' ids, then the mark's. Each different
+    short chunk is looked up once and kept, in bounded number, for the life of the worker process.
+    Words go to the tokenizer many at a time; their ids are told apart by the end-of-word tokens.
     """
 
     def __init__(self, path: str) -> None:
         import os
+        import sys
+        from types import ModuleType
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
+        kept = sys.modules.setdefault("_noticeloom_worker", ModuleType("_noticeloom_worker")).__dict__
+        if path not in kept:
+            tokenizer = Tokenizer.from_file(path)
+            ends = np.zeros(tokenizer.get_vocab_size(), bool)
+            for token, i in tokenizer.get_vocab().items():
+                ends[i] = token.endswith("</w>")
+            kept[path] = [tokenizer, ends, {}]
+        self.state = kept[path]
+        self.tokenizer, self.ends, self.kept = self.state
+
+    def _each(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words of letters only, each one piece to the tokenizer."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return self._each(words)
+        raw, at = ids.tobytes(), (4 * ends).tolist()
+        return [raw[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)]
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.kept) > CACHE:
-            self.kept = {}
+            self.kept = self.state[2] = {}
+        split, plain, other = [], [], []
+        for t in texts:
+            t = (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ")
+            try:
+                t.encode("latin-1")  # all such characters are their own NFC and have one lower case
+                t = t.lower()
+                plain.append(t.split(" "))
+                split.append(plain[-1])
+            except UnicodeEncodeError:
+                other.append(t.split(" "))
+                split.append(other[-1])
         own = self.kept
-        new = list(set().union(*split) - own.keys())
-        brief = [c for c in new if len(c) <= SHORT]
-        own |= zip(brief, self._encode(brief), strict=True)
-        if len(brief) == len(new):
+        new = {c for c in set().union(*plain) if c not in own}
+        parts, odd = {}, {c for c in set().union(*other) if c not in own and c not in new}
+        for c in new:
+            word = c.rstrip(".,")
+            if word.isalpha() and len(c) <= SHORT:
+                parts[c] = word, c[len(word) :]
+            else:
+                odd.add(c)
+        pieces = {x for p in parts.values() for x in p}
+        words = [w for w in pieces if w.isalpha() and w not in own]
+        if words:
+            own |= zip(words, self._words(words), strict=True)
+        odd |= {m for m in pieces if not m.isalpha() and m not in own}
+        brief, long = [c for c in odd if len(c) <= SHORT], [c for c in odd if len(c) > SHORT]
+        own |= zip(brief, self._each(brief), strict=True)
+        own |= {c: own[w] + own[m] for c, (w, m) in parts.items()}
+        if not long:
             return [b"".join(map(own.__getitem__, s)) for s in split]
-        long = [c for c in new if len(c) > SHORT]
-        rare = dict(zip(long, self._encode(long), strict=True))
-        return [b"".join(own.get(c) or rare.get(c, b"") for c in s) for s in split]
+        rare = dict(zip(long, self._each(long), strict=True))
+        return [b"".join(own[c] if c in own else rare[c] for c in s) for s in split]
 
 
 def tokenizer_path() -> str:
