@@ -107,24 +107,28 @@ NAME_SHAPE = r"\A[A-Za-zÀ-ÖØ-öø-ÿ0-9&'()./+\- ]{2,100}\z"
 
 def valid_arabic_name(c: Column) -> Column:
     folded = text.fold(c)
-    bad = F.lit(False)
-    for term in rules.NOT_NAMES:
-        bad = bad | folded.contains(term)
-    return F.coalesce(F.length(c).between(2, 100) & text.has_arabic(c) & ~bad, F.lit(False))
+    return F.coalesce(F.length(c).between(2, 100) & text.has_arabic(c) & ~folded.rlike("|".join(rules.NOT_NAMES)), F.lit(False))
 
 
-def company_name(lines: Column, folded: Column, pack: RulePack) -> Column:
-    """Best Latin upper-case line by frequency, legal form and event context; else the Arabic name
-    that follows a name label."""
-    forms = F.transform(lines, lambda x: legal_form(x, text.fold(x), pack).isNotNull())
-    events = F.transform(folded, lambda x: has_event(x, pack))
+def name_context(lines: Column, folded: Column, pack: RulePack) -> dict[str, Column]:
+    """What company_name() weighs, each to become a column of its own so that it is computed once:
+    per line whether it has a legal form and an event, and the candidate names with their places."""
 
     def eligible(x: Column) -> Column:
         upper = F.coalesce(text.uppercase_ratio(x), F.lit(0.0)) >= 0.75
         return x.rlike(NAME_SHAPE) & upper & ~F.upper(x).isin(*rules.GENERIC_LINES) & ~x.rlike(r"\A\d+\s*[A-Z]\z")
 
     shaped = F.transform(lines, lambda x, i: F.struct(trimmed(F.regexp_replace(x, r"\s+", " ")).alias("value"), (i + 1).alias("at")))
-    found = F.filter(shaped, lambda c: eligible(c["value"]))
+    return {
+        "forms": F.zip_with(lines, folded, lambda x, f: legal_form(x, f, pack).isNotNull()),
+        "events": F.transform(folded, lambda x: has_event(x, pack)),
+        "found": F.filter(shaped, lambda c: eligible(c["value"])),
+    }
+
+
+def company_name(lines: Column, folded: Column, forms: Column, events: Column, found: Column, pack: RulePack) -> Column:
+    """Best Latin upper-case line by frequency, legal form and event context; else the Arabic name
+    that follows a name label."""
     flag = lambda xs, i: F.coalesce(at(xs, i), F.lit(False)).cast("int")
 
     def ranked(c: Column) -> Column:

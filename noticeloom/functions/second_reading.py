@@ -41,12 +41,12 @@ def without(c: Column, prefix: str) -> Column:
     return text.clean_value(F.regexp_replace(c, "(?iu)" + prefix, ""))
 
 
-def fields(ocr: Column, embedded: Column, name: Column) -> dict[str, Column]:
-    """Candidate fields of a second reading, by record field; both texts in text.ocr_text() form."""
-    lines = F.filter(F.split(ocr, "\n"), lambda x: x != "")
-    packed = F.transform(lines, text.compact)
-    whole = F.array_join(lines, "\n")
-    all_packed, bent = text.compact(whole), text.ocr_fold(whole)
+def fields(lines: Column, packed: Column, whole: Column, all_packed: Column, bent: Column, embedded: Column, name: Column) -> dict[str, Column]:
+    """Candidate fields of a second reading, by record field.
+
+    lines, whole: its text in text.ocr_text() form; packed, all_packed: text.compact() of both; bent:
+    text.ocr_fold() of the whole; embedded: the first reading's text in text.ocr_text() form.
+    """
     inside = lambda w: all_packed.contains(w)
     form = (
         F.when(inside("شركهذاتمسووليه") & inside("الشريكالوحيد"), "SARL AU").when(all_packed.rlike("sarlau|sarldau"), "SARL AU")
@@ -98,8 +98,11 @@ def fields(ocr: Column, embedded: Column, name: Column) -> dict[str, Column]:
 
 def read(df: DataFrame, ocr: str, embedded: str, name: str, out: str) -> DataFrame:
     """Add `out`: the struct of candidate fields read from the columns of both texts."""
-    clean = df.withColumns({"_ocr": text.ocr_text(F.col(ocr)), "_own": text.ocr_text(F.col(embedded))})
-    return clean.withColumn(out, as_struct(fields(F.col("_ocr"), F.col("_own"), F.col(name)))).drop("_ocr", "_own")
+    clean = df.withColumns({"_whole": text.ocr_text(F.col(ocr)), "_own": text.ocr_text(F.col(embedded))})
+    clean = clean.withColumn("_lines", F.filter(F.split("_whole", "\n"), lambda x: x != ""))
+    clean = clean.withColumns({"_packed": F.transform("_lines", text.compact), "_all": text.compact(F.col("_whole")), "_bent": text.ocr_fold(F.col("_whole"))})
+    found = fields(*[F.col(c) for c in ("_lines", "_packed", "_whole", "_all", "_bent", "_own", name)])
+    return clean.withColumn(out, as_struct(found)).drop("_whole", "_own", "_lines", "_packed", "_all", "_bent")
 
 
 def as_struct(f: dict[str, Column]) -> Column:
@@ -138,7 +141,9 @@ def mixed_script(c: Column) -> Column:
 
 def union_cities(current: Column, *texts: Column) -> Column:
     folded = text.fold(text.normalise(F.concat_ws("\n", *[F.nullif(t, F.lit("")) for t in texts])))
-    return F.array_union(F.coalesce(current, none()), extract.cities(folded, rules.pack("js")))
+    # one-element transform: the folded text is computed once for all the patterns
+    found = F.transform(F.array(folded), lambda f: extract.cities(f, rules.pack("js")))[0]
+    return F.array_union(F.coalesce(current, none()), found)
 
 
 def still(missing: dict[str, Column]):

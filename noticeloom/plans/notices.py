@@ -50,9 +50,11 @@ def parse(segments: DataFrame, pack: RulePack | None = None, include_raw_text: b
     df = df.withColumn("_lines", text.lines_of(F.col("_text"), d))
     df = df.withColumn("_bent", F.transform("_lines", text.fold))
     ls, fs = F.col("_lines"), F.col("_bent")
+    df = df.withColumns({f"_{k}": v for k, v in extract.name_context(ls, fs, pack).items()})
+    named = extract.company_name(ls, fs, F.col("_forms"), F.col("_events"), F.col("_found"), pack)
     hint = F.nullif(F.col("company_name_hint"), F.lit(""))
     df = df.withColumns({
-        "_name": F.coalesce(hint, extract.company_name(ls, fs, pack)) if d == "js" else extract.company_name(ls, fs, pack),
+        "_name": F.coalesce(hint, named) if d == "js" else named,
         "_form": extract.legal_form(F.col("_text"), F.col("_folded"), pack),
         "_dates": extract.dates(F.col("_text"), F.col("_folded"), pack),
         "_cities": extract.cities(F.col("_folded"), pack),

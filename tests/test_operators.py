@@ -56,7 +56,7 @@ def test_sinks_write_whole_files(parsed, tmp_path):
 
 
 def test_second_reading_fills_and_flags(spark, parsed):
-    body = "رقم السجل التجاري 194433\nتم الإيداع القانوني بالمحكمة التجارية بتاريخ 2026-01-06 تحت رقم 77\nرأس المال: 100.000 درهم"
+    body = "رقم السجل التجاري 194433\nتم الإيداع القانوني بالمحكمة التجارية بتاريخ 06/01/2026 تحت رقم 77\nرأس المال: 100.000 درهم"
     df = parsed.where("ordinal = 1").withColumns({"body": F.lit(body), "own": F.lit(""), "n": F.lit("X")})
     df = second_reading.read(df, "body", "own", "n", "f")
     df = df.withColumn("ocr", F.struct(F.lit(60.0).alias("confidence"), F.col("body").alias("text"), F.col("f").alias("fields")))
