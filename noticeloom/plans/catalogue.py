@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticeloom.functions import extract, rules, second_reading, text
-from noticeloom.operators import html_table, layout, records, segment
+from noticeloom.operators import html_table, layout, ocr_notices, records, segment
 from noticeloom.plans import notices
 from noticeloom.sources import scans
 
@@ -319,6 +319,16 @@ def html_table_grid(spark, sf_dir):
     return html_table.cells(spark.createDataFrame([("a", html), ("b", "no table")], "id string, html string"), "id", "html").select("id", "row", "cell", "colspan", "text")
 
 
+@query("SELECT * FROM (VALUES ('i', 0, NULL, 'ACME', 'INCORPORATION'), ('i', 1, '42P', 'BETA', 'DISSOLUTION')) t(issue, segment, reference, hint, event)")
+def ocr_segments(spark, sf_dir):
+    texts = ["# ACME", "constitution d'une societe a rabat", "BETA", "dissolution de la societe", "42 P", "tail text"]
+    rows = [("i", 1 + k // 3, 3, float(k), k, k in (0, 2), t) for k, t in enumerate(texts)]
+    blocks = spark.createDataFrame(rows, "issue string, page int, column int, top double, source_index int, is_title boolean, text string")
+    found = ocr_notices.segments(blocks.withColumn("review_reasons", F.array().cast("array<string>")))
+    parsed = notices.parse(found, rules.pack("js"))
+    return parsed.select("issue", "segment", F.col("source.notice_reference").alias("reference"), F.col("company.name").alias("hint"), F.col("event.primary_type").alias("event"))
+
+
 # --- round trips: notices written from rows, read back -------------------------------------------
 
 
