@@ -12,7 +12,8 @@ from noticeloom.llm.common import components, cut
 
 THRESHOLD = 0.93
 CAPACITY = 2048
-TARGET = 1024
+TARGET = 256
+APART = 0.75
 OVERLAP = 3
 DEGREE = 24
 ALPHA = 1.2
@@ -153,7 +154,9 @@ def medoid(x: np.ndarray) -> int:
 
 def centroids(sample: list, total: int) -> dict:
     """Spherical k-means of the sampled rows of each (label, dimension), a centroid for about TARGET
-    vectors. Groups that the sample lacks are one cluster each; so are those of few vectors."""
+    vectors. Of centroids nearer than APART (cosine) the fullest stays alone: a dense ball of near
+    copies must not be cut up, as its members would share no cluster. Groups that the sample lacks are
+    one cluster each; so are those of few vectors."""
     groups: dict = {}
     for r in sample:
         groups.setdefault((r.label, len(r.vec)), []).append(r.vec)
@@ -171,7 +174,11 @@ def centroids(sample: list, total: int) -> dict:
             np.add.at(total_by, near, x)
             full = np.sqrt((total_by**2).sum(1)) > 0
             c[full] = unit(total_by[full])
-        out[key] = c
+        kept: list[int] = []
+        for i in np.argsort(-np.bincount((x @ c.T).argmax(1), minlength=k)).tolist():
+            if not kept or (c[kept] @ c[i]).max() < APART:
+                kept.append(i)
+        out[key] = c[kept]
     return out
 
 
