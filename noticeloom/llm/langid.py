@@ -60,19 +60,27 @@ class Model:
         return (p @ self.weights) / norm + self.bias
 
 
-def fit_matrix(p: np.ndarray, labels: np.ndarray, landmarks: int = 160, ridge: float = 1e-2, seed: int = 5) -> Model:
-    """Nystroem features from landmarks spread over the labels, then ridge regression per label."""
+def unit_rows(packed: np.ndarray) -> np.ndarray:
+    p = np.unpackbits(packed, axis=1).astype(np.float32)
+    return p / np.sqrt(np.maximum(p.sum(1, keepdims=True), 1))
+
+
+def fit_packed(packed: np.ndarray, labels: np.ndarray, landmarks: int = 160, ridge: float = 1e-2, seed: int = 5) -> Model:
+    """Nystroem features from landmarks spread over the labels, then ridge regression per label.
+
+    packed: presence bits of the sample, a row each. Only the landmarks (21 MB) and 64 rows at a time
+    are ever unpacked.
+    """
     names = sorted(set(labels.tolist()))
     rng = np.random.default_rng(seed)
-    x = p / np.sqrt(np.maximum(p.sum(1, keepdims=True), 1))
     share = max(1, landmarks // max(1, len(names)))
     chosen = np.concatenate([rng.permutation(np.flatnonzero(labels == c))[:share] for c in names])
-    marks = x[chosen]
-    kmm = marks @ marks.T
-    val, vec = np.linalg.eigh(kmm.astype(np.float64))
+    marks = unit_rows(packed[chosen])
+    kernel = np.concatenate([unit_rows(packed[i : i + 64]) @ marks.T for i in range(0, len(packed), 64)])
+    val, vec = np.linalg.eigh(kernel[chosen].astype(np.float64))
     keep = val > 1e-6 * max(val.max(), 1e-12)
     whiten = vec[:, keep] / np.sqrt(val[keep])
-    z = (x @ marks.T).astype(np.float64) @ whiten
+    z = kernel.astype(np.float64) @ whiten
     y = np.where(labels[:, None] == np.array(names, object)[None, :], 1.0, -1.0)
     # every label weighs the same, however rare it is
     w = (1 / np.array([max(1, (labels == c).sum()) for c in labels]))[:, None]
@@ -80,7 +88,7 @@ def fit_matrix(p: np.ndarray, labels: np.ndarray, landmarks: int = 160, ridge: f
     mz, my = (w * z).sum(0), (w * y).sum(0)
     a = (z - mz).T @ (w * (z - mz)) + ridge * np.eye(z.shape[1]) / max(1, z.shape[1])
     beta = np.linalg.solve(a, (z - mz).T @ (w * (y - my)))
-    return Model(names, (marks.T.astype(np.float64) @ (whiten @ beta)).astype(np.float32), (my - mz @ beta).astype(np.float32))
+    return Model(names, marks.T @ (whiten @ beta).astype(np.float32), (my - mz @ beta).astype(np.float32))
 
 
 def fit(docs: DataFrame, sample: int = 1600) -> Model | None:
@@ -109,8 +117,7 @@ def fit(docs: DataFrame, sample: int = 1600) -> Model | None:
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([r.tobytes() for r in packed], pa.binary())], ["lang", "h", "bits"])
 
     got = picked.mapInArrow(bits, "lang string, h string, bits binary").orderBy("h", "lang", "bits").limit(sample).collect()
-    p = np.unpackbits(np.array([np.frombuffer(r.bits, np.uint8) for r in got]), axis=1).astype(np.float32)
-    return fit_matrix(p, np.array([r.lang for r in got], object))
+    return fit_packed(np.array([np.frombuffer(r.bits, np.uint8) for r in got]), np.array([r.lang for r in got], object))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -51,7 +51,7 @@ def test_folded_weights_equal_the_explicit_kernel():
     p = (rng.random((40, langid.DIM)) < 0.01).astype(np.float32)
     labels = np.array(["a", "b"] * 20, object)
     p[::2, :200] = 1
-    model = langid.fit_matrix(p, labels, landmarks=10)
+    model = langid.fit_packed(np.packbits(p.astype(bool), axis=1), labels, landmarks=10)
     assert (np.array(model.labels)[model.scores(p).argmax(1)] == labels).all()
 
 
