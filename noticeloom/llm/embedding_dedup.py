@@ -14,7 +14,6 @@ THRESHOLD = 0.93
 CAPACITY = 2048
 TARGET = 256
 APART = 0.75
-OVERLAP = 3
 DEGREE = 24
 ALPHA = 1.2
 BEAMS = (64, 160)
@@ -152,33 +151,61 @@ def medoid(x: np.ndarray) -> int:
     return int((x @ x.mean(0)).argmax())
 
 
+def deal(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The home (nearest centroid) of each row of x, and the clusters it is dealt to (rows x clusters):
+    its home i and each cluster j < i that can be home to a vector linked with it. Such a vector y has
+    y . (c_i - c_j) <= 0 and lies within acos(THRESHOLD) of x, hence
+    x . (c_i - c_j) <= sin(acos(THRESHOLD)) * |c_i - c_j|; other clusters need not see x. So both ends of
+    every link are dealt to the lower of their homes."""
+    home, dealt = np.zeros(len(x), int), np.zeros((len(x), len(c)), bool)
+    number = np.arange(len(c))
+    for at in range(0, len(x), 256):
+        cos = x[at : at + 256] @ c.T
+        i = cos.argmax(1)
+        apart = np.sqrt(np.maximum(2 - 2 * (c[i] @ c.T), 0))
+        near = cos.max(1, keepdims=True) - cos <= np.sqrt(1 - THRESHOLD**2) * apart + 1e-9
+        home[at : at + 256], dealt[at : at + 256] = i, (number == i[:, None]) | (near & (number < i[:, None]))
+    return home, dealt
+
+
+def means_of(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """At most k centroids of x by spherical k-means. Of centroids nearer than APART (cosine) only the
+    fullest stays: a dense ball of near copies, cut up, would be dealt whole to each of its cuts."""
+    c = x[rng.choice(len(x), k, replace=False)]
+    for _ in range(8):
+        near = (x @ c.T).argmax(1)
+        total_by = np.zeros_like(c)
+        np.add.at(total_by, near, x)
+        full = np.sqrt((total_by**2).sum(1)) > 0
+        c[full] = unit(total_by[full])
+    kept: list[int] = []
+    for i in np.argsort(-np.bincount((x @ c.T).argmax(1), minlength=k)).tolist():
+        if not kept or (c[kept] @ c[i]).max() < APART:
+            kept.append(i)
+    return c[kept]
+
+
 def centroids(sample: list, total: int) -> dict:
-    """Spherical k-means of the sampled rows of each (label, dimension), a centroid for about TARGET
-    vectors. Of centroids nearer than APART (cosine) the fullest stays alone: a dense ball of near
-    copies must not be cut up, as its members would share no cluster. Groups that the sample lacks are
-    one cluster each; so are those of few vectors."""
+    """Centroids of the sampled rows of each (label, dimension): one for about TARGET vectors, or for
+    four, sixteen, ... times as many, or none, whichever makes deal() and the pairing of parts copy the
+    fewest rows by the sample. Vectors without structure are dealt nearly everywhere, and one cluster,
+    whose parts all meet, is then the cheapest. Groups that the sample lacks are one cluster each."""
     groups: dict = {}
     for r in sample:
         groups.setdefault((r.label, len(r.vec)), []).append(r.vec)
     out, rng = {}, np.random.default_rng(1)
     for key, rows in groups.items():
         x = unit(np.array(rows, float))
-        expected = len(rows) * total / max(1, len(sample))
-        k = int(min(-(-expected // TARGET), max(1, len(rows) // 4), max(1, MAX_CENTROIDS * len(rows) // len(sample))))
-        if k < 2:
-            continue
-        c = x[rng.choice(len(x), k, replace=False)]
-        for _ in range(8):
-            near = (x @ c.T).argmax(1)
-            total_by = np.zeros_like(c)
-            np.add.at(total_by, near, x)
-            full = np.sqrt((total_by**2).sum(1)) > 0
-            c[full] = unit(total_by[full])
-        kept: list[int] = []
-        for i in np.argsort(-np.bincount((x @ c.T).argmax(1), minlength=k)).tolist():
-            if not kept or (c[kept] @ c[i]).max() < APART:
-                kept.append(i)
-        out[key] = c[kept]
+        scale = total / len(sample)
+        k = int(min(-(-len(rows) * scale // TARGET), max(1, len(rows) // 4), max(1, MAX_CENTROIDS * len(rows) // len(sample))))
+        least = len(rows) * scale * np.ceil(len(rows) * scale / CAPACITY)
+        while k >= 2:
+            c = means_of(x, k, rng)
+            held = deal(x, c)[1].sum(0) * scale
+            copied = (held * np.ceil(held / CAPACITY)).sum()
+            if copied < least:
+                least, out[key] = copied, c
+            k //= 4
     return out
 
 
@@ -199,21 +226,22 @@ def links(reps: DataFrame, beam: int) -> tuple[DataFrame, DataFrame]:
         for b in batches:
             label, vec = b.column(3).to_pylist(), b.column(4)
             size = np.diff(vec.offsets.to_numpy())
-            own: list = [[0]] * b.num_rows
+            home, own = np.zeros(b.num_rows, np.int32), [[0]] * b.num_rows
             for key in set(zip(label, size.tolist(), strict=True)):
                 c = means.get(key)
                 if c is None:
                     continue
                 at = np.flatnonzero([x == key for x in zip(label, size.tolist(), strict=True)])
-                cos = vectors_of(vec.take(pa.array(at))) @ c.T
-                near = np.argsort(-cos, axis=1)[:, : min(OVERLAP, len(c))]
-                for i, row in zip(at, near.tolist(), strict=True):
-                    own[i] = row
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.list_(pa.int32()))], ["k", "id", "weight", "label", "vec", "near"])
+                for a in range(0, len(at), 256):
+                    part = at[a : a + 256]
+                    home[part], dealt = deal(vectors_of(vec.take(pa.array(part))), c)
+                    for i, row in zip(part, dealt, strict=True):
+                        own[i] = np.flatnonzero(row)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home), pa.array(own, pa.list_(pa.int32()))], ["k", "id", "weight", "label", "vec", "home", "near"])
 
     base = "k long, id long, weight long, label int, vec array<double>"
-    dealt = reps.select("k", "id", "weight", "label", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(assign, base + ", near array<int>")
-    dealt = cut(dealt.withColumn("dim", F.size("vec")).withColumn("cluster", F.explode("near")))
+    dealt = reps.select("k", "id", "weight", "label", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(assign, base + ", home int, near array<int>")
+    dealt = cut(dealt.withColumn("dim", F.size("vec")).withColumn("cluster", F.explode("near")).drop("near"))
     parts = dealt.groupBy("label", "dim", "cluster").agg(F.ceil(F.count(F.lit(1)) / CAPACITY).cast("int").alias("parts"))
     dealt = dealt.join(parts, ["label", "dim", "cluster"]).withColumn("own", F.pmod("k", F.col("parts").cast("long")).cast("int"))
 
@@ -236,7 +264,7 @@ def links(reps: DataFrame, beam: int) -> tuple[DataFrame, DataFrame]:
         cluster, i, j = (key[c].as_py() for c in (2, 3, 4))
         k, ids, weight, own = (t.column(c).to_numpy() for c in ("k", "id", "weight", "own"))
         x = vectors_of(t.column("vec").combine_chunks())
-        near = np.array([r + [-1 - c for c in range(OVERLAP - len(r))] for r in t.column("near").to_pylist()])
+        home = t.column("home").to_numpy()
         place = {int(v): c for c, v in enumerate(k)}
         lists = t.column("adj").to_pylist()
         hit = np.zeros((len(k), len(k)), bool)
@@ -259,13 +287,8 @@ def links(reps: DataFrame, beam: int) -> tuple[DataFrame, DataFrame]:
         hit |= hit.T
         np.fill_diagonal(hit, False)
         a, b = np.nonzero(hit)
-        # several shards may find a pair: it counts in the first cluster that both are dealt to
-        common = np.full(len(a), np.iinfo(np.int64).max)
-        for c in range(OVERLAP):
-            for d in range(OVERLAP):
-                same = near[a, c] == near[b, d]
-                common = np.where(same & (near[a, c] >= 0), np.minimum(common, near[a, c]), common)
-        counted = common == cluster
+        # several shards may find a pair: it counts in the lower of its homes, which both are dealt to
+        counted = np.minimum(home[a], home[b]) == cluster
         number = np.zeros(len(k), np.int64)
         np.add.at(number, a[counted], weight[b[counted]])
         root = np.arange(len(k))
@@ -312,8 +335,9 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
 
     Vectors of one (non-null) label and one length link at a cosine (double precision) of 0.93 or
     more. Equal vectors of a label are one node that counts for all its rows, so copies cost nothing.
-    Nodes are dealt to their three nearest clusters of their label (k-means on a bounded sample);
-    clusters over CAPACITY are cut into parts, and each pair of parts is searched in its own task, so
+    Nodes are dealt to their nearest cluster of their label (k-means on a bounded sample) and to all that
+    may hold a vector linked with them (see deal), so no link is lost between clusters; clusters over
+    CAPACITY are cut into parts, and each pair of parts is searched in its own task, so
     no task holds more than two parts. Each part builds a robust-pruned graph, a node's adjacency
     lists are united over its parts, and every node searches all parts of its clusters from their
     medoids, expanding while nodes lie in range. Links are the cosines computed on the way. Recall is

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+from pyspark.sql import Row
 
 from noticeloom.llm import chat, decontaminate, embedding_dedup
 from noticeloom.llm.decontaminate import tiles
@@ -79,6 +80,43 @@ def test_embedding_links_match_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def scattered(n=500, dim=8, seed=8):
+    """Unit vectors without structure, each with one partner at a cosine just over the threshold."""
+    rng = np.random.default_rng(seed)
+    x = embedding_dedup.unit(rng.normal(size=(n, dim)))
+    u = rng.normal(size=(n, dim))
+    u = embedding_dedup.unit(u - (u * x).sum(1, keepdims=True) * x)
+    return np.concatenate([x, 0.935 * x + np.sqrt(1 - 0.935**2) * u])
+
+
+def test_links_across_many_clusters_match_brute_force(spark, monkeypatch):
+    x = scattered()
+    hit = x @ x.T >= 0.93
+    np.fill_diagonal(hit, False)
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    many = embedding_dedup.means_of(x[:200], 50, np.random.default_rng(1))  # a sample fits the other rows less
+    home, _ = embedding_dedup.deal(x, many)
+    a, b = np.nonzero(hit)
+    assert len(many) > 30 and (home[a] != home[b]).mean() > 0.2
+    chosen = embedding_dedup.centroids
+    for means, capacity in ((lambda *_: {(0, 8): many}, 2048), (chosen, 128)):
+        monkeypatch.setattr(embedding_dedup, "centroids", means)
+        monkeypatch.setattr(embedding_dedup, "CAPACITY", capacity)
+        got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+        assert [got[k] for k in range(len(x))] == hit.sum(1).tolist()
+
+
+def test_few_clusters_where_vectors_have_structure(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CAPACITY", 64)
+    monkeypatch.setattr(embedding_dedup, "TARGET", 8)
+    rng = np.random.default_rng(2)
+    balls = np.repeat(rng.normal(size=(40, 32)), 10, 0) + rng.normal(size=(400, 32)) * 0.05
+    found = embedding_dedup.centroids([Row(label=0, vec=v.tolist()) for v in balls], len(balls))
+    dealt = embedding_dedup.deal(embedding_dedup.unit(balls), found[0, 32])[1]
+    assert len(found[0, 32]) >= 20 and dealt.sum() < 3 * len(balls)
+    assert not embedding_dedup.centroids([Row(label=0, vec=v.tolist()) for v in scattered(100)], 100)
+
+
 def test_chat_digest_matches_sql(spark):
     import duckdb
 
