@@ -18,7 +18,8 @@ DEGREE = 24
 ALPHA = 1.2
 BEAMS = (64, 160)
 SAMPLE = 20_000
-AUDIT = 200
+AUDIT = 400
+RECALL = 0.95
 MAX_CENTROIDS = 8192
 
 
@@ -214,8 +215,9 @@ def vectors_of(column) -> np.ndarray:
     return unit(flat.astype(np.float64).reshape(len(column), -1))
 
 
-def links(reps: DataFrame, beam: int) -> tuple[DataFrame, DataFrame]:
-    """(k, links) and (a, b) of distinct vectors reps(k, id, weight, label, vec)."""
+def links(reps: DataFrame, beam: int | None) -> tuple[DataFrame, DataFrame]:
+    """(k, links, others) and (a, b) of distinct vectors reps(k, id, weight, label, vec): links counts rows,
+    others distinct vectors. Without a beam the parts are compared whole, and no link is missed."""
     total = reps.count()
     got = reps.select("label", "vec", F.xxhash64("k").alias("h")).orderBy("h").limit(SAMPLE).collect()
     means = centroids(got, total)
@@ -253,9 +255,13 @@ def links(reps: DataFrame, beam: int) -> tuple[DataFrame, DataFrame]:
         return pa.table({"k": k, "adj": pa.array([k[a[a >= 0]] for a in adj], pa.list_(pa.int64()))})
 
     shard = ["label", "dim", "cluster", "own"]
-    edges = dealt.groupBy(*shard).applyInArrow(graph, "k long, adj array<long>")
-    united = edges.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("adj"))).alias("adj"))
-    whole = dealt.join(united, "k").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    if beam is None:
+        whole = dealt.withColumn("adj", F.array().cast("array<long>"))
+    else:
+        edges = dealt.groupBy(*shard).applyInArrow(graph, "k long, adj array<long>")
+        united = edges.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("adj"))).alias("adj"))
+        whole = dealt.join(united, "k")
+    whole = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     whole = whole.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
     def ranges(key, t):
@@ -281,7 +287,7 @@ def links(reps: DataFrame, beam: int) -> tuple[DataFrame, DataFrame]:
             entry = medoid(x[v])
             for at in range(0, len(q), 256):
                 part = q[at : at + 256]
-                cos = search(x[part], x[v], adj, entry, beam, THRESHOLD)
+                cos = x[part] @ x[v].T if beam is None else search(x[part], x[v], adj, entry, beam, THRESHOLD)
                 a, b = np.nonzero(cos >= THRESHOLD)
                 hit[part[a], v[b]] = True
         hit |= hit.T
@@ -291,6 +297,7 @@ def links(reps: DataFrame, beam: int) -> tuple[DataFrame, DataFrame]:
         counted = np.minimum(home[a], home[b]) == cluster
         number = np.zeros(len(k), np.int64)
         np.add.at(number, a[counted], weight[b[counted]])
+        others = np.bincount(a[counted], minlength=len(k))
         root = np.arange(len(k))
         while len(a):
             low = root.copy()
@@ -299,15 +306,22 @@ def links(reps: DataFrame, beam: int) -> tuple[DataFrame, DataFrame]:
             if (low == root).all():
                 break
             root = low
-        return pa.table({"k": k, "links": number, "a": ids, "b": ids[root]})
+        return pa.table({"k": k, "links": number, "others": others, "a": ids, "b": ids[root]})
 
-    found = cut(whole.groupBy("label", "dim", "cluster", "i", "j").applyInArrow(ranges, "k long, links long, a long, b long"))
-    return found.groupBy("k").agg(F.sum("links").alias("links")), found.where("a <> b").select("a", "b").distinct()
+    found = cut(whole.groupBy("label", "dim", "cluster", "i", "j").applyInArrow(ranges, "k long, links long, others long, a long, b long"))
+    return found.groupBy("k").agg(F.sum("links").alias("links"), F.sum("others").alias("others")), found.where("a <> b").select("a", "b").distinct()
 
 
 def audit(reps: DataFrame, counts: DataFrame) -> float:
-    """Recall of links of AUDIT sampled vectors (smallest hashes) against brute force over all rows."""
-    q = reps.join(counts, "k", "left").select("k", "label", "vec", F.coalesce("links", F.lit(0)).alias("links"), F.xxhash64("k", F.lit(1)).alias("h")).orderBy("h").limit(AUDIT).collect()
+    """Recall of links against brute force over all rows, estimated from AUDIT vectors with links found
+    and AUDIT without (smallest hashes), each kind standing for all of its kind. Links are counted
+    between distinct vectors, so copies weigh nothing; the result is the lesser of the share of all
+    links and the mean share of a vector, so neither do dense balls hide other vectors."""
+    known = reps.select("k", "label", "vec").join(counts.select("k", "others"), "k", "left").withColumn("others", F.coalesce("others", F.lit(0)))
+    size = {r[0]: r[1] for r in known.groupBy(F.col("others") > 0).count().collect()}
+    q = []
+    for kind in size:
+        q += known.where((F.col("others") > 0) == F.lit(kind)).withColumn("h", F.xxhash64("k", F.lit(1))).orderBy("h").limit(AUDIT).collect()
     asked = {}
     for r in q:
         asked.setdefault((r.label, len(r.vec)), []).append(r)
@@ -316,18 +330,29 @@ def audit(reps: DataFrame, counts: DataFrame) -> float:
     def brute(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        n = 0
+        n: dict[int, int] = {}
         for b in batches:
             label, vec, size = b.column(1).to_pylist(), b.column(2), np.diff(b.column(2).offsets.to_numpy()).tolist()
             for key, (k, x) in asked.items():
                 at = np.flatnonzero([p == key for p in zip(label, size, strict=True)])
                 if len(at):
                     close = (vectors_of(vec.take(pa.array(at))) @ x.T >= THRESHOLD) & (b.column(0).to_numpy()[at][:, None] != k[None, :])
-                    n += int((close * b.column(3).to_numpy()[at][:, None]).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+                    for i, c in zip(k.tolist(), close.sum(0).tolist(), strict=True):
+                        n[i] = n.get(i, 0) + c
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], ["k", "n"])
 
-    true = reps.select("k", "label", F.col("vec").cast("array<double>").alias("vec"), "weight").mapInArrow(brute, "n long").agg(F.sum("n")).first()[0] or 0
-    return sum(r.links for r in q) / true if true else 1.0
+    true = reps.select("k", "label", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(brute, "k long, n long")
+    true = {r[0]: r[1] for r in true.groupBy("k").agg(F.sum("n")).collect()}
+    return recall_of([(r.others, true[r.k], size[r.others > 0] / min(AUDIT, size[r.others > 0])) for r in q])
+
+
+def recall_of(asked: list[tuple[int, int, float]]) -> float:
+    """Recall by (links found, links there are, vectors it stands for) of each audited vector."""
+    got = np.array([(min(f, n), n, w) for f, n, w in asked if n], float)
+    if not len(got):
+        return 1.0
+    f, n, w = got.T
+    return float(min((w * f).sum() / (w * n).sum(), (w * f / n).sum() / w.sum()))
 
 
 def near_duplicates(embeddings: DataFrame) -> DataFrame:
@@ -341,7 +366,8 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     no task holds more than two parts. Each part builds a robust-pruned graph, a node's adjacency
     lists are united over its parts, and every node searches all parts of its clusters from their
     medoids, expanding while nodes lie in range. Links are the cosines computed on the way. Recall is
-    audited against brute force for a sample; under 0.95 the search is made again with a wider beam.
+    audited against brute force for a sample; under RECALL the search is made again with a wider beam,
+    and at last the parts are compared whole. The dealing is the same each time, as it loses nothing.
 
     Null, zero, null-holding and non-finite vectors, null labels and null ids have no links, are their
     own component and are kept. Repeated rows are copies of each other.
@@ -355,11 +381,13 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     )
     e = e.withColumn("k", F.when(good, F.xxhash64("label", "vec")))
     reps = cut(e.where("k IS NOT NULL").groupBy("k", "label", "vec").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight")))
-    for beam in BEAMS:
+    for beam in (*BEAMS, None):
         counts, edges = links(reps, beam)
         recall = audit(reps, counts)
-        if recall >= 0.95:
+        if recall >= RECALL:
             break
+    else:
+        raise RuntimeError(f"audited recall of links is {recall} after whole comparison")
     found = components(edges)
     nodes = reps.select("k", "id", "weight").join(counts, "k", "left").join(found.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
     nodes = nodes.select("k", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("c"))

@@ -106,6 +106,25 @@ def test_links_across_many_clusters_match_brute_force(spark, monkeypatch):
         assert [got[k] for k in range(len(x))] == hit.sum(1).tolist()
 
 
+def test_poor_searches_end_in_whole_comparison(spark, monkeypatch):
+    x = scattered(60)
+    n = (x @ x.T >= 0.93).sum(1) - 1
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)] + [(500 + k, x[0].tolist(), 0) for k in range(900)], "vec_id long, embedding array<double>, label int")
+    blind = lambda q, x, adj, entry, beam, radius: np.where(np.arange(len(x)) == entry, q @ x.T, -np.inf)
+    monkeypatch.setattr(embedding_dedup, "search", blind)
+    monkeypatch.setattr(embedding_dedup, "build", lambda x: np.full((len(x), 1), -1))
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    copies = 900 * (x @ x[0] >= 0.93)
+    assert [got[k].n_links for k in range(len(x))] == (n + copies).tolist() and got[0].audit_recall == 1
+
+
+def test_recall_counts_each_kind_and_vector():
+    assert embedding_dedup.recall_of([(0, 0, 1.0)]) == 1
+    assert embedding_dedup.recall_of([(4, 4, 1.0), (0, 4, 3.0)]) == 0.25
+    assert embedding_dedup.recall_of([(1000, 1000, 1.0), (0, 1, 1.0)]) == 0.5
+    assert embedding_dedup.recall_of([(500, 1000, 1.0), (1, 1, 9.0)]) < 0.6
+
+
 def test_few_clusters_where_vectors_have_structure(monkeypatch):
     monkeypatch.setattr(embedding_dedup, "CAPACITY", 64)
     monkeypatch.setattr(embedding_dedup, "TARGET", 8)
