@@ -234,8 +234,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def first_of_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each near-duplicate group, that of the smallest doc_id.
 
-    Of rows that repeat a kept doc_id, one stays; rows without a doc_id all stay.
+    Rows that repeat a doc_id with another text are documents of their own, known by a hash of both;
+    of rows equal in both one stays. Rows without a doc_id all stay.
     """
-    kept = near_duplicates(docs, words, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    whole = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    own = docs.where("doc_id IS NOT NULL").withColumn("_key", F.xxhash64("doc_id", "text"))
+    groups = near_duplicates(own.select(F.col("_key").alias("doc_id"), "text"), words, percent)
+    groups = groups.select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    named = groups.join(own.select("_key", "doc_id").distinct(), "_key")
+    kept = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first")).select("first._key")
+    whole = own.join(kept, "_key", "left_semi").dropDuplicates(["_key"])
     return whole.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

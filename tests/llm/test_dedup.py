@@ -1,10 +1,15 @@
 import hashlib
+import random
 import re
 
 from noticeloom.llm import minhash, suffix_dedup
 from noticeloom.llm.common import components
 
 
+def words(rng, n):
+    return " ".join(str(rng.randrange(10**6)) for _ in range(n))
+
+
 def brute_groups(rows, k, percent):
     sets = {}
     for doc_id, text, *_ in rows:
@@ -51,6 +56,15 @@ def test_one_document_of_each_group_stays(docs, no_docs, rows):
     assert minhash.first_of_groups(no_docs).count() == 0
 
 
+def test_texts_that_share_an_id_are_apart(spark):
+    rng = random.Random(3)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, c), (3, c + " end"), (0, None), (0, "")]
+    got = minhash.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.text) for r in got} - {(3, c), (3, c + " end")} == {(1, a), (2, b), (0, None), (0, "")}
+    assert len(got) == 5
+
+
 def test_bayesian_bounds_keep_pairs_at_the_threshold():
     least = minhash.least_matches(0.8, 1e-6)
     assert len(least) == minhash.HASHES // minhash.BATCH and all(a < 0.8 * 10 * (i + 1) for i, a in enumerate(least))
