@@ -161,7 +161,12 @@ def identify(docs: DataFrame, sample: int = 1600) -> DataFrame:
 
 
 def recognised(docs: DataFrame, sample: int = 1600) -> DataFrame:
-    """docs without the documents that have no recognisable language (null text, no letter)."""
+    """docs without the documents that have no recognisable language (null text, no letter).
+
+    Without a labelled row to learn from, all documents with a letter are kept.
+    """
     model = fit(docs, sample)
+    if model is None:
+        return docs.where(F.col("text").rlike(LETTER))
     rows = predict(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), model)
     return rows.where(F.col("lang_pred") != "und").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

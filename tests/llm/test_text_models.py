@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from noticeloom.llm import langid, packing, quality, sharding, url_filter
 
@@ -40,6 +41,11 @@ def test_languages_are_learned_from_text(spark, docs, no_docs, rows):
     assert kept.columns == docs.columns and kept.count() == sum(lettered(r[1]) for r in rows)
 
 
+def test_lettered_texts_stay_without_labels(docs, rows):
+    kept = langid.recognised(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert kept.columns == docs.columns and kept.count() == sum(lettered(r[1]) for r in rows)
+
+
 def test_held_out_languages(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
