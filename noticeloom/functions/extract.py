@@ -25,17 +25,29 @@ def null() -> Column:
 
 
 def any_match(c: Column, patterns: list[str], dialect: str, flags: str = "is") -> Column:
-    """Whether any pattern matches: one alternation, so one pass of the regex engine."""
-    return c.rlike("|".join(f"(?:{java(p, dialect, flags)})" for p in patterns))
+    """Whether any pattern matches the folded (or at least lower-case) text c.
+
+    A pattern that is a literal is a substring test; any other is tried only where the text holds
+    the literal that its matches need, so most texts never meet the regex engine.
+    """
+    out = None
+    for p in patterns:
+        literal, plain = rules.needed(p)
+        if plain:
+            hit = c.contains(literal)
+        else:
+            hit = c.rlike(java(p, dialect, flags))
+            hit = c.contains(literal) & hit if literal else hit
+        out = hit if out is None else out | hit
+    return F.lit(False) if out is None else out
 
 
 def event_types(folded: Column, pack: RulePack) -> Column:
     """Types whose rules match, in rule order, suppressed ones removed."""
-    hits = {name: any_match(folded, patterns, pack.dialect) for name, patterns in pack.events.items()}
+    found = F.array_compact(F.array(*[F.when(any_match(folded, patterns, pack.dialect), F.lit(name)) for name, patterns in pack.events.items()]))
     for present, dropped in pack.suppress:
-        if present in hits and dropped in hits:
-            hits[dropped] = hits[dropped] & ~hits[present]
-    return F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in hits.items()]))
+        found = F.transform(F.array(found), lambda t: F.when(F.array_contains(t, present), F.array_remove(t, dropped)).otherwise(t))[0]  # noqa: B023
+    return found
 
 
 def has_event(folded: Column, pack: RulePack) -> Column:
@@ -110,35 +122,35 @@ def valid_arabic_name(c: Column) -> Column:
     return F.coalesce(F.length(c).between(2, 100) & text.has_arabic(c) & ~folded.rlike("|".join(rules.NOT_NAMES)), F.lit(False))
 
 
-def name_context(lines: Column, folded: Column, pack: RulePack) -> dict[str, Column]:
-    """What company_name() weighs, each to become a column of its own so that it is computed once:
-    per line whether it has a legal form and an event, and the candidate names with their places."""
+def candidates(lines: Column) -> Column:
+    """Upper-case Latin lines that may be names: array of struct(value, at)."""
 
     def eligible(x: Column) -> Column:
         upper = F.coalesce(text.uppercase_ratio(x), F.lit(0.0)) >= 0.75
-        return x.rlike(NAME_SHAPE) & upper & ~F.upper(x).isin(*rules.GENERIC_LINES) & ~x.rlike(r"\A\d+\s*[A-Z]\z")
+        return x.rlike(NAME_SHAPE) & ~F.upper(x).isin(*rules.GENERIC_LINES) & ~x.rlike(r"\A\d+\s*[A-Z]\z") & upper
 
     shaped = F.transform(lines, lambda x, i: F.struct(trimmed(F.regexp_replace(x, r"\s+", " ")).alias("value"), (i + 1).alias("at")))
-    return {
-        "forms": F.zip_with(lines, folded, lambda x, f: legal_form(x, f, pack).isNotNull()),
-        "events": F.transform(folded, lambda x: has_event(x, pack)),
-        "found": F.filter(shaped, lambda c: eligible(c["value"])),
-    }
+    return F.filter(shaped, lambda c: eligible(c["value"]))
+
+
+def company_name(lines: Column, folded: Column, found: Column, pack: RulePack) -> Column:
+    """Best of the candidates `found` by frequency, legal form and event context; else the Arabic
+    name that follows a name label. Only lines beside a candidate are tested for forms and events."""
 
+    def formed(i: Column) -> Column:
+        return F.coalesce(legal_form(at(lines, i), at(folded, i), pack).isNotNull(), F.lit(False)).cast("int")
 
-def company_name(lines: Column, folded: Column, forms: Column, events: Column, found: Column, pack: RulePack) -> Column:
-    """Best Latin upper-case line by frequency, legal form and event context; else the Arabic name
-    that follows a name label."""
-    flag = lambda xs, i: F.coalesce(at(xs, i), F.lit(False)).cast("int")
+    def eventful(i: Column) -> Column:
+        return F.coalesce(has_event(at(folded, i), pack), F.lit(False)).cast("int")
 
     def ranked(c: Column) -> Column:
         times = F.size(F.filter(found, lambda o: o["value"] == c["value"]))
-        score = times * 2 + flag(forms, c["at"]) * 5 + flag(forms, c["at"] + 1) * 7 + flag(events, c["at"] - 1) * 4 + flag(events, c["at"] + 1) * 3
+        score = times * 2 + formed(c["at"]) * 5 + formed(c["at"] + 1) * 7 + eventful(c["at"] - 1) * 4 + eventful(c["at"] + 1) * 3
         only = F.regexp_replace(F.upper(c["value"]), "[^A-Z]", "").isin("SARL", "SARLAU", "SA", "SAS")
         plain = (~only).cast("int") if pack.dialect == "py" else F.lit(1)
         return F.struct(score.alias("s"), plain.alias("p"), F.length(c["value"]).alias("n"), (-c["at"]).alias("o"), c["value"].alias("value"))
 
-    best = F.array_max(F.transform(found, ranked))["value"]
+    best = F.when(F.size(found) == 1, found[0]["value"]).otherwise(F.array_max(F.transform(found, ranked))["value"])
 
     def named(i: Column) -> Column:
         own = text.strip(F.coalesce(after_colon(at(lines, i), pack.dialect), F.lit("")))
@@ -160,23 +172,23 @@ def plausible_register(value: Column, dialect: str) -> Column:
     return F.coalesce(ok & (n != 26000) if dialect == "js" else ok, F.lit(False))
 
 
+# Explicit register patterns of both dialects.
+REGISTER = {
+    "js": [r"(?:السجل.{0,20}التجاري|التجاري.{0,20}السجل)[^\d]{0,45}(\d{2,10})", rf"(?:registre\s+de\s+commerce|registre\s+commercial|{ASCII_EDGE}RC{ASCII_EDGE})[^\d]{{0,20}}(\d{{2,10}})"],
+    "py": [r"(?:رقم\s+)?(?:التقييد\s+في\s+)?السجل\s+التجاري[^\d]{0,25}(\d{2,10})", r"(?:registre\s+de\s+commerce|registre\s+commercial|\bRC\b)[^\d]{0,15}(\d{2,10})"],
+}
+
+
 def register_number(lines: Column, folded: Column, name: Column, pack: RulePack) -> Column:
     joined = F.array_join(lines, "\n")
     js = pack.dialect == "js"
-    explicit = (
-        [r"(?:السجل.{0,20}التجاري|التجاري.{0,20}السجل)[^\d]{0,45}(\d{2,10})", rf"(?:registre\s+de\s+commerce|registre\s+commercial|{ASCII_EDGE}RC{ASCII_EDGE})[^\d]{{0,20}}(\d{{2,10}})"]
-        if js
-        else [r"(?:رقم\s+)?(?:التقييد\s+في\s+)?السجل\s+التجاري[^\d]{0,25}(\d{2,10})", r"(?:registre\s+de\s+commerce|registre\s+commercial|\bRC\b)[^\d]{0,15}(\d{2,10})"]
-    )
-    direct = []
-    for p in explicit:
-        hit = F.nullif(F.regexp_extract(joined, ("(?isu)" if js else "(?iuU)") + p, 1), F.lit(""))
-        direct.append(F.when(plausible_register(hit, "js"), hit) if js else hit)
+    direct = F.array(*[F.nullif(F.regexp_extract(joined, ("(?isu)" if js else "(?iuU)") + p, 1), F.lit("")) for p in REGISTER[pack.dialect]])
+    direct = F.try_element_at(F.filter(direct, lambda v: plausible_register(v, "js") if js else v.isNotNull()), F.lit(1))
     first = F.greatest(first_where(lines, lambda x: x.contains(name)), F.lit(1))
     rest = F.slice(lines, first + 1, F.lit(2**31 - 2))
     dated = first_where(rest, lambda x: x.rlike(r"20\d{2}"))
     window = F.when(dated > 0, until(rest, dated)).otherwise(F.slice(rest, F.lit(1), F.lit(29)))
-    bent = F.transform(window, text.fold)
+    bent = F.slice(folded, first + 1, F.greatest(F.size(window), F.lit(0)))
 
     def candidate(line: Column, i: Column) -> Column:
         value = F.nullif(F.regexp_extract(line, r"\A\D*(\d{2,10})\D*\z", 1), F.lit(""))
@@ -186,10 +198,10 @@ def register_number(lines: Column, folded: Column, name: Column, pack: RulePack)
             labelled = joined_context.rlike(r"(?iu)رقم|سجل|registre")
         else:
             labelled = F.exists(context, lambda x: x.startswith("رقم")) | joined_context.contains("السجل") | joined_context.contains("registre")
-        return F.when(labelled & plausible_register(value, pack.dialect), F.struct(value.try_cast("bigint").alias("n"), (-i).alias("o"), value.alias("v")))
+        return F.when(plausible_register(value, pack.dialect) & labelled, F.struct(value.try_cast("bigint").alias("n"), (-i).alias("o"), value.alias("v")))
 
     near = F.array_max(F.filter(F.transform(window, candidate), lambda c: c.isNotNull()))["v"]
-    return F.coalesce(*direct, F.when(name.isNotNull(), near))
+    return F.coalesce(direct, F.when(name.isNotNull(), near))
 
 
 def iso_date(year: Column, month: Column, day: Column) -> Column:
@@ -199,9 +211,10 @@ def iso_date(year: Column, month: Column, day: Column) -> Column:
 
 
 def every(c: Column, pattern: str, parts: int) -> Column:
-    """Array of structs g1..gn for every match of the pattern."""
-    groups = [F.regexp_extract_all(c, F.lit(pattern), F.lit(i)) for i in range(1, parts + 1)]
-    return F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups, 1)])
+    """Array of structs g1..gn for every match of the pattern: one scan finds the matches, and each
+    is then taken apart on its own, so the pattern must match its own matches in the same way."""
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    return F.transform(found, lambda m: F.struct(*[F.regexp_extract(m, pattern, i).alias(f"g{i}") for i in range(1, parts + 1)]))
 
 
 def month_number(name: Column) -> Column:

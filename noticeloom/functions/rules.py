@@ -7,6 +7,7 @@ deployment passes a pack of its own.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from re import _parser as _regex
 
 DIALECTS = ("py", "js")
 
@@ -151,6 +152,24 @@ def java(pattern: str, dialect: str, flags: str = "is") -> str:
     return f"(?{flags}u)" + pattern.replace(r"\b", ASCII_EDGE)
 
 
+def needed(pattern: str) -> tuple[str, bool]:
+    """The longest literal that every match of a pattern holds in folded text, where all white space is
+    single spaces, and whether the pattern is that literal and nothing else. ("", False): none known."""
+    runs, plain = [""], True
+    for op, arg in _regex.parse(pattern):
+        if op is _regex.LITERAL:
+            runs[-1] += chr(arg)
+        elif op is _regex.MAX_REPEAT and arg[0] == 1 and list(arg[2]) == [(_regex.IN, [(_regex.CATEGORY, _regex.CATEGORY_SPACE)])]:
+            runs[-1] += " "
+        elif op is not _regex.AT:
+            runs.append("")
+            plain = False
+        else:
+            plain = False
+    best = max(runs, key=len).lower()
+    return best, plain
+
+
 @dataclass(frozen=True)
 class RulePack:
     dialect: str

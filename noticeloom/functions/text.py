@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,31 +20,42 @@ BIDI_MARKS = "[\\u200e\\u200f\\u202a-\\u202e\\u2066-\\u2069]"
 TRIM = " .,:;-"
 
 
-@F.pandas_udf(StringType())
-def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    import unicodedata
+def _mapped(c: Column, make: Callable[[], Callable[[str], str]]) -> Column:
+    """Apply a Python function of strings in Arrow batches; `make` builds it on the executor.
 
-    for s in batches:
-        yield s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+    The UDF object is made anew for each use: once used it holds a JVM handle, and this module must
+    stay free of such handles, as it travels by value with the functions that refer to it.
+    """
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = make()
+        for s in batches:
+            yield s.map(lambda v: None if v is None else one(v))
 
-@F.pandas_udf(StringType())
-def _nfkd(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    import unicodedata
+    return F.pandas_udf(run, StringType())(c)
 
-    for s in batches:
-        yield s.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v))
+
+def _normaliser(form: str) -> Callable[[], Callable[[str], str]]:
+    def make() -> Callable[[str], str]:
+        import unicodedata
+
+        return lambda v: unicodedata.normalize(form, v)
+
+    return make
+
+
+def _compatible(c: Column, form: str) -> Column:
+    ascii_only = F.coalesce(~c.rlike(r"[^\x00-\x7f]"), F.lit(True))
+    return F.when(ascii_only, c).otherwise(_mapped(F.when(~ascii_only, c), _normaliser(form)))
 
 
 def nfkc(c: Column) -> Column:
     """NFKC. Spark has no such function, so non-ASCII values pass through one Arrow UDF."""
-    ascii_only = F.coalesce(~c.rlike(r"[^\x00-\x7f]"), F.lit(True))
-    return F.when(ascii_only, c).otherwise(_nfkc(F.when(~ascii_only, c)))
+    return _compatible(c, "NFKC")
 
 
 def nfkd(c: Column) -> Column:
-    ascii_only = F.coalesce(~c.rlike(r"[^\x00-\x7f]"), F.lit(True))
-    return F.when(ascii_only, c).otherwise(_nfkd(F.when(~ascii_only, c)))
+    return _compatible(c, "NFKD")
 
 
 def strip(c: Column) -> Column:
@@ -74,6 +85,13 @@ def fold(c: Column) -> Column:
     return F.lower(strip(F.regexp_replace(c, r"(?U)\s+", " ")))
 
 
+def fold_lines(lines: Column) -> Column:
+    """fold() of each line of an array, by one pass over the joined text."""
+    c = F.translate(F.regexp_replace(F.array_join(lines, "\n"), DIACRITICS, ""), LETTERS_FROM, LETTERS_TO)
+    c = F.regexp_replace(F.regexp_replace(c, r"(?U)[\s&&[^\n]]+", " "), " ?\n ?", "\n")
+    return F.when(F.size(lines) > 0, F.split(F.lower(F.trim(c)), "\n")).otherwise(lines)
+
+
 def lines_of(c: Column, dialect: str = "js") -> Column:
     """Trimmed non-empty lines of normalised text; py also breaks at the other line separators."""
     cut = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]" if dialect == "py" else "\n"
@@ -119,12 +137,11 @@ def has_arabic(c: Column) -> Column:
     return c.rlike(ARABIC)
 
 
-# Named entities that the format decodes, in order.
-ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")]
+# Named entities that the format decodes (in any case), in order.
+ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;|&#39;", "'")]
 
 
-@F.pandas_udf(StringType())
-def _numeric_entities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _numeric_entities() -> Callable[[str], str]:
     import re
 
     def one(m) -> str:
@@ -132,24 +149,23 @@ def _numeric_entities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
 
     pattern = re.compile(r"&#([xX][0-9a-fA-F]{1,8}|[0-9]{1,9});")
-    for s in batches:
-        yield s.map(lambda v: None if v is None else pattern.sub(one, v))
+    return lambda v: pattern.sub(one, v)
 
 
 def decode_entities(c: Column) -> Column:
     """Numeric entities (one Arrow UDF, only for values that hold any), then the named ones in order,
     so `&amp;lt;` decodes twice."""
     numeric = F.coalesce(c.contains("&#"), F.lit(False))
-    c = F.when(numeric, _numeric_entities(F.when(numeric, c))).otherwise(c)
+    c = F.when(numeric, _mapped(F.when(numeric, c), _numeric_entities)).otherwise(c)
     for name, value in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(value))
+        c = F.regexp_replace(c, f"(?i){name}", value)
     return c
 
 
 def html_to_text(c: Column) -> Column:
     """Line breaks for <br> and closing block tags, other tags a space, entities decoded, lines trimmed."""
     c = F.regexp_replace(c, r"(?i)<br\s*/?>", "\n")
-    c = F.regexp_replace(c, r"(?i)</(?:p|div|li|tr|td|th|h[1-6])>", "\n")
+    c = F.regexp_replace(c, r"(?i)</(?:p|div|li|tr|td|th)>", "\n")
     c = decode_entities(F.regexp_replace(c, r"<[^>]+>", " "))
     lines = F.transform(F.split(c, "\n"), lambda x: strip(F.regexp_replace(x, r"(?U)\s+", " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")

@@ -275,7 +275,7 @@ def weighted_mean(spark, sf_dir):
 # --- pages: HTML, links, JSON -------------------------------------------------------------------
 
 HTML_SQL = """array_to_string(list_filter(list_transform(string_split(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<br\\s*/?>', chr(10), 'gi'),
-  '</(?:p|div|li|tr|td|th|h[1-6])>', chr(10), 'gi'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))"""
+  '</(?:p|div|li|tr|td|th)>', chr(10), 'gi'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))"""
 
 
 @query(f"SELECT page_id, {HTML_SQL} AS body FROM pages")

@@ -30,28 +30,39 @@ def points(name: Column, register: Column, form: Column, dated: Column, city: Co
     return F.greatest(F.lit(0), F.least(F.lit(100), total))
 
 
+RECORD = ("schema_version", "source", "company", "event", "confidence", "needs_review", "review_reasons", "raw_text")
+
+
+def gated(df: DataFrame, types: Column) -> DataFrame:
+    """Add _types, without the rows that have none.
+
+    A filter would be pushed below the projections that fold the text and would fold it once for
+    each type again; the generator stays where it is, so the text is folded once.
+    """
+    return df.select("*", F.explode(F.filter(F.array(types), lambda t: F.size(t) > 0)).alias("_types"))
+
+
 def parse(segments: DataFrame, pack: RulePack | None = None, include_raw_text: bool = True) -> DataFrame:
     """Notice records of segments(text, ...); segments without an event type are dropped.
 
-    Optional columns of OPTIONAL are used where present; other columns are kept. The cheap event gate
-    runs before every other extraction. Null and empty texts have no event and are dropped.
+    Optional columns of OPTIONAL are used where present. Other columns are kept, but for those named
+    like a field of a record (RECORD), which the field replaces. The event gate runs before every
+    other extraction. Null and empty texts have no event and are dropped.
     """
     pack = pack or rules.pack()
     d = pack.dialect
-    df = segments
-    for name, kind in OPTIONAL.items():
-        if name not in df.columns:
-            df = df.withColumn(name, F.lit(None).cast(kind))
-    carried = [c for c in segments.columns if c not in OPTIONAL and c != "text"]
-    df = df.withColumn("_all", text.normalise(F.col("text"), d))
-    df = df.withColumns({"_text": F.right("_all", F.lit(LIMIT)), "_trimmed": F.length("_all") > LIMIT}).drop("_all")
+    carried = [c for c in segments.columns if c not in OPTIONAL and c != "text" and c not in RECORD]
+    rest = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.lit(None)
+    optional = [(F.col(name) if name in segments.columns else F.lit(None).cast(kind)).alias(name) for name, kind in OPTIONAL.items()]
+    df = segments.select(rest.alias("_rest"), *optional, text.normalise(F.col("text"), d).alias("_all"))
+    df = df.select("*", F.right("_all", F.lit(LIMIT)).alias("_text"), (F.length("_all") > LIMIT).alias("_trimmed")).drop("_all")
     df = df.withColumn("_folded", text.fold(F.col("_text")))
-    df = df.withColumn("_types", extract.event_types(F.col("_folded"), pack)).where(F.size("_types") > 0)
+    df = gated(df, extract.event_types(F.col("_folded"), pack))
     df = df.withColumn("_lines", text.lines_of(F.col("_text"), d))
-    df = df.withColumn("_bent", F.transform("_lines", text.fold))
+    df = df.withColumn("_bent", text.fold_lines(F.col("_lines")))
     ls, fs = F.col("_lines"), F.col("_bent")
-    df = df.withColumns({f"_{k}": v for k, v in extract.name_context(ls, fs, pack).items()})
-    named = extract.company_name(ls, fs, F.col("_forms"), F.col("_events"), F.col("_found"), pack)
+    df = df.withColumn("_found", extract.candidates(ls))
+    named = extract.company_name(ls, fs, F.col("_found"), pack)
     hint = F.nullif(F.col("company_name_hint"), F.lit(""))
     df = df.withColumns({
         "_name": F.coalesce(hint, named) if d == "js" else named,
@@ -93,7 +104,7 @@ def parse(segments: DataFrame, pack: RulePack | None = None, include_raw_text: b
     })
     alias = lambda c, n: (F.col(c) if isinstance(c, str) else c).alias(n)
     return df.select(
-        *carried,
+        *[F.col(f"_rest.`{c}`").alias(c) for c in carried],
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         F.struct(
             alias(F.lit("BOAL"), "series"), "issue_number", "publication_date", "pdf_path", "source_url",
