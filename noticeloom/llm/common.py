@@ -46,6 +46,19 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str, bucke
     return joined.withColumn(name, rank.cast("long")).drop("_start", "_bucket")
 
 
+def release() -> None:
+    """Give the memory that a task of a Python worker has freed back to the system: workers outlive
+    their tasks, and the next stage's share an executor with what they keep."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(id, component): smallest id reachable over edges (a, b), for every id that has an edge.
 
@@ -107,7 +120,7 @@ class Powers:
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, CHUNK_BYTES)
+            n = max(n, CHUNK_BYTES // 4)
             self.up, self.down = powers(BASE, n), powers(pow(BASE, -1, 2**64), n)
         return self.up, self.down
 

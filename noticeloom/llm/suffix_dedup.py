@@ -1,15 +1,22 @@
 """Removal of repeated 100-byte strings by prefix-free parsing.
 
 Triggers: a rolling (Karp-Rabin) hash of every 32-byte gram; a gram is a trigger if its hash is the
-least in some run of 69 grams, that is in some 100-byte string. So every 100-byte string holds a
-trigger, the same one at the same place wherever the string occurs, and triggers lie about 35 bytes
-apart. A phrase is a trigger with the at most 68 bytes on each side that its 100-byte strings span.
+least in some run of 69 grams, that is in some 100-byte string. So every 100-byte string has one
+trigger, the same one at the same place wherever the string occurs. Triggers cut a text into
+phrases: a phrase is the run of 100-byte strings that have one trigger, about 35 of them, and
+overlaps the next phrase by 99 bytes. Each 100-byte string lies in one phrase, so no order of
+strings ever depends on what follows a phrase: of the suffix array of the parse, only the corpus
+order of a phrase's occurrences is needed.
 
 Dictionary: the distinct phrases of a trigger. Parse: their occurrences in corpus order (doc_id,
 then start). Phrases that occur again whole need no suffix order at all: every later occurrence is
 a repeat. Only the first occurrences of different phrases around one trigger are sorted: a suffix
 array of the dictionary to depth 100, combined with the parse order, puts equal strings side by side
 with the earliest first. Triggers seen once, nearly all in ordinary text, end at the first shuffle.
+
+A trigger with very many phrases (a line that many documents set in their own contexts) is hot. Hot
+triggers are counted over the whole corpus first; each of their 100-byte strings is a phrase of its
+own, keyed by its own hash, so that neither such a trigger nor its phrases meet in one task.
 """
 
 from __future__ import annotations
@@ -20,20 +27,27 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import BYTE, CHUNK_BYTES, U64, Powers, chunks, cut, mix, utf8
+from noticeloom.llm.common import BYTE, U64, Powers, chunks, cut, mix, release, utf8
 
 LENGTH = 100
 GRAM = 32
 RUN = LENGTH - GRAM + 1
-BUCKET_BYTES = 24 << 20
+PIECE = 1 << 18
+BUCKET_BYTES = 12 << 20
 DICT_BYTES = 1 << 20
 HOT_PHRASES = 20_000
+HOT_LEAST = 500
+HOT_SHARE = 2e-5
+FLUSH = 400_000
+FLUSH_HOT = 4
 MIX_A, MIX_B = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
+WHOLE = U64(LENGTH * int(MIX_A) % 2**64)
 
 
-def triggers(d: np.ndarray, starts: np.ndarray, ends: np.ndarray, pw: Powers, only: tuple[int, int] | None = None):
-    """Triggers of consecutive texts d[starts[i]:ends[i]]: (trigger hash, phrase hash, text index,
-    first 100-byte string's start in d, number of 100-byte strings). `only` limits the starts."""
+def triggers(d: np.ndarray, starts: np.ndarray, ends: np.ndarray, pw: Powers, only: tuple[int, int] | None = None, hot: np.ndarray | None = None):
+    """Phrases of consecutive texts d[starts[i]:ends[i]]: (trigger hash, phrase hash, text index,
+    first 100-byte string's start in d, number of 100-byte strings). `only` limits the starts; `hot`
+    (sorted) are the triggers whose strings are phrases of their own."""
     n = len(d)
     none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if n < LENGTH:
@@ -58,32 +72,46 @@ def triggers(d: np.ndarray, starts: np.ndarray, ends: np.ndarray, pw: Powers, on
     if only:
         ok[: only[0]] = False
         ok[only[1] :] = False
+    lo = np.flatnonzero(ok)
     at = (least[ok] & low_bits).astype(np.int64)
     if not len(at):
         return none
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+    edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (lo[1:] != lo[:-1] + 1)]))
+    count = np.diff(np.append(edge, len(at)))
+    at, lo = at[edge], lo[edge]
     text = np.searchsorted(starts, at, "right") - 1
-    lo = np.maximum(starts[text], at - (RUN - 1))
-    hi = np.minimum(ends[text] - LENGTH, at)
-    width = hi - lo + LENGTH
-    phrase = mix((total[hi + LENGTH] - total[lo]) * down[lo] + width.astype(np.uint64) * MIX_A)
-    return grams[at], phrase, text, lo, hi - lo + 1
-
-
-def text_triggers(data: np.ndarray, offsets: np.ndarray, pw: Powers) -> Iterator[tuple]:
+    width = count + (LENGTH - 1)
+    phrase = mix((total[lo + width] - total[lo]) * down[lo] + width.astype(np.uint64) * MIX_A)
+    if hot is not None and len(hot):
+        key = grams[at]
+        place = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+        spread = hot[place] == key
+        if spread.any():  # each 100-byte string of a hot trigger is a phrase with a key of its own
+            n = count[spread]
+            each = np.repeat(lo[spread], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            own = mix((total[each + LENGTH] - total[each]) * down[each] + WHOLE)
+            plain = ~spread
+            return (
+                np.concatenate([key[plain], mix(own + MIX_B)]), np.concatenate([phrase[plain], own]), np.concatenate([text[plain], np.repeat(text[spread], n)]),
+                np.concatenate([lo[plain], each]), np.concatenate([count[plain], np.ones(len(each), np.int64)]),
+            )
+    return grams[at], phrase, text, lo, count
+
+
+def text_triggers(data: np.ndarray, offsets: np.ndarray, pw: Powers, hot: np.ndarray | None = None) -> Iterator[tuple]:
     """triggers() over whole texts in bounded pieces, with text indices and starts within the text."""
-    piece = CHUNK_BYTES
-    for i, j in chunks(offsets):
+    piece = PIECE
+    for i, j in chunks(offsets, piece):
         if offsets[j] - offsets[i] <= 2 * piece:
             own = offsets[i : j + 1] - offsets[i]
-            key, phrase, text, lo, n = triggers(data[offsets[i] : offsets[j]], own[:-1], own[1:], pw)
+            key, phrase, text, lo, n = triggers(data[offsets[i] : offsets[j]], own[:-1], own[1:], pw, None, hot)
             yield key, phrase, text + i, lo - own[text], n
             continue
         size = int(offsets[j] - offsets[i])  # one long text: pieces whose 100-byte strings don't overlap
         for p in range(0, size, piece):
             a, b = max(0, p - 2 * LENGTH), min(size, p + piece + 3 * LENGTH)
             d = data[offsets[i] + a : offsets[i] + b]
-            key, phrase, text, lo, n = triggers(d, np.array([0]), np.array([b - a]), pw, (p - a, p - a + piece))
+            key, phrase, text, lo, n = triggers(d, np.array([0]), np.array([b - a]), pw, (p - a, p - a + piece), hot)
             yield key, phrase, text + i, lo + a, n
 
 
@@ -178,8 +206,48 @@ def _rows(bucket, kind, doc, th, body):
     return pa.RecordBatch.from_arrays([full(bucket, pa.int32()), full(kind, pa.int32()), full(doc, pa.int64()), full(th, pa.int64()), body], ["bucket", "kind", "doc", "th", "body"])
 
 
+def hot_triggers(keyed: DataFrame) -> np.ndarray:
+    """The triggers with the most phrases, sorted: at least HOT_LEAST of them, and HOT_SHARE of all,
+    so there are 1 / HOT_SHARE (50,000; 400 KB) at most, whatever the input.
+
+    Every text is read. Phrases that differ are counted per FLUSH phrases of a task; a trigger counts
+    where it has FLUSH_HOT of them, so one that goes unseen has less than 1 in 100,000 of the phrases.
+    What is hot decides only how the work is dealt, never what is a repeat.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def flush(held: list) -> Iterator:
+            key, phrase = (np.concatenate(x) for x in zip(*held, strict=True))
+            o = np.argsort(phrase)
+            own, n = np.unique(key[o][changes(phrase[o])], return_counts=True)  # a phrase has one trigger
+            many = n >= FLUSH_HOT
+            zero = np.zeros(many.sum(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(own[many].view(np.int64), 0)), pa.array(np.append(n[many], 0)), pa.array(np.append(zero, n.sum()))], ["key", "n", "all"])
+
+        pw, held, size = Powers(), [], 0
+        for batch in batches:
+            for key, phrase, *_ in text_triggers(*utf8(batch.column(0)), pw):
+                held.append((key, phrase))
+                size += len(key)
+                if size >= FLUSH:
+                    yield from flush(held)
+                    held, size = [], 0
+        if size:
+            yield from flush(held)
+        release()
+
+    found = keyed.select("text").mapInArrow(run, "key long, n long, all long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
+    found = cut(found)
+    total = found.agg(F.sum("all")).first()[0] or 0
+    rows = found.where(F.col("n") >= max(HOT_LEAST, int(total * HOT_SHARE))).select("key").collect()
+    return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
+
+
 def scan(keyed: DataFrame, buckets: int) -> DataFrame:
     """Phrases of every text, packed by trigger bucket, after local repeats have become spans."""
+    shared = keyed.sparkSession.sparkContext.broadcast(hot_triggers(keyed))
 
     def flush(held: list) -> Iterator:
         p, first, later = first_kept(np.concatenate(held))
@@ -200,16 +268,18 @@ def scan(keyed: DataFrame, buckets: int) -> DataFrame:
         pw, held, size = Powers(), [], 0
         for batch in batches:
             doc, th = (batch.column(i).to_numpy() for i in (0, 1))
-            for key, phrase, text, lo, n in text_triggers(*utf8(batch.column(2)), pw):
+            for key, phrase, text, lo, n in text_triggers(*utf8(batch.column(2)), pw, shared.value):
                 p = np.empty(len(key), PHRASES)
                 p["key"], p["phrase"], p["doc"], p["th"], p["lo"], p["n"] = key, phrase, doc[text], th[text], lo, n
                 held.append(p)
                 size += len(p)
-                if size >= 400_000:
+                if size >= FLUSH:
                     yield from flush(held)
                     held, size = [], 0
         if size:
             yield from flush(held)
+        del held
+        release()
 
     return keyed.select("doc", "th", "text").mapInArrow(run, OUT)
 
@@ -369,11 +439,11 @@ def with_spans(docs: DataFrame, rest: list[str]) -> DataFrame:
     few = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     settled = cut(settle(scan(keyed, max(few, size // BUCKET_BYTES))))
     asked = settled.where("kind = 1")
-    # an asked row holds 16 bytes a phrase of about 170
+    # an asked row holds 16 bytes a phrase of about 135
     phrases = (asked.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // ASKED.itemsize
     spans = settled.where("kind = 0").select("doc", "th", "body")
     if phrases:
-        spans = spans.union(order_suffixes(dictionary(asked, keyed, int(max(few, phrases * 170 // DICT_BYTES)))))
+        spans = spans.union(order_suffixes(dictionary(asked, keyed, int(max(few, phrases * 135 // DICT_BYTES)))))
     per_doc = spans.groupBy("doc", "th").agg(F.collect_list("body").alias("spans"))
     return squeezed(keyed).join(per_doc, ["doc", "th"], "left").select("rest", "text", "missing", "spans")
 

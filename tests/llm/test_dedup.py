@@ -2,8 +2,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from noticeloom.llm import minhash, suffix_dedup
-from noticeloom.llm.common import components
+from noticeloom.llm.common import Powers, components
 
 
 def words(rng, n):
@@ -90,8 +92,10 @@ def brute_spans(rows):
 def test_repeated_strings_match_brute_force(docs, rows, monkeypatch):
     want = brute_spans(rows)
     assert sum(w[1] for w in want.values()) > 3000
-    for hot in (20_000, 1):
-        monkeypatch.setattr(suffix_dedup, "HOT_PHRASES", hot)
+    for phrases, least in ((20_000, 500), (1, 500), (20_000, 2)):  # no hot trigger; hot in settling; hot from the start
+        monkeypatch.setattr(suffix_dedup, "HOT_PHRASES", phrases)
+        monkeypatch.setattr(suffix_dedup, "HOT_LEAST", least)
+        monkeypatch.setattr(suffix_dedup, "FLUSH_HOT", 2)
         got = suffix_dedup.digest(docs).collect()
         assert len(got) == len(rows)
         for r in got:
@@ -99,6 +103,23 @@ def test_repeated_strings_match_brute_force(docs, rows, monkeypatch):
             assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[key], r
 
 
+def test_phrases_cover_every_string_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in (0, 99, 100, 101, 700, 3000)] + [b"a" * 300]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for piece in (1 << 20, 400):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        whole = [np.concatenate(x) for x in zip(*suffix_dedup.text_triggers(data, offsets, Powers()), strict=True)]
+        hot = [np.concatenate(x) for x in zip(*suffix_dedup.text_triggers(data, offsets, Powers(), np.unique(whole[0])), strict=True)]
+        for key, phrase, text, lo, n in (whole, hot):
+            got = sorted((t, s) for t, a, m in zip(text.tolist(), lo.tolist(), n.tolist(), strict=True) for s in range(a, a + m))
+            assert got == [(t, s) for t, b in enumerate(texts) for s in range(len(b) - 99)]
+            by = {}
+            for k, p, t, a, m in zip(key.tolist(), phrase.tolist(), text.tolist(), lo.tolist(), n.tolist(), strict=True):
+                assert by.setdefault(p, (texts[t][a : a + m + 99], k)) == (texts[t][a : a + m + 99], k)
+
+
 def test_suffix_dedup_keeps_columns_and_empty_tables(docs, no_docs, rows):
     cleaned = suffix_dedup.deduplicate(docs)
     assert cleaned.columns == docs.columns
