@@ -5,23 +5,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeloom.llm.common import BYTE_LOWER, NOT_ALNUM, U64, Powers, cut, mix, per_text, utf8, windows
 
 SEED_WORDS = 5
 THRESHOLD = 0.6
-BLOOM_BITS = 25
+BLOOM_LEAST, BLOOM_MOST = 20, 28
 SALT = U64(0xA24BAED4963EE407)
 
 
-def bloom_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> U64(64 - BLOOM_BITS)).astype(np.int64), (mix(h + SALT) >> U64(64 - BLOOM_BITS)).astype(np.int64)
+def bloom_bits(seeds: int) -> int:
+    """log2 of the filter's size: 16 bits a seed, 128 KB at least and 32 MB at most."""
+    return min(BLOOM_MOST, max(BLOOM_LEAST, (16 * seeds - 1).bit_length()))
+
+
+def bloom_places(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return (h >> U64(64 - width)).astype(np.int64), (mix(h + SALT) >> U64(64 - width)).astype(np.int64)
 
 
 def in_bloom(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    a, b = bloom_places(h)
+    a, b = bloom_places(h, (len(bits) * 8).bit_length() - 1)
     return ((bits[a >> 3] >> (a & 7).astype(np.uint8)) & (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
 
 
@@ -86,11 +91,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     fewer than 5 words needs them all in one run. Items with no word, null texts and empty texts
     match nothing. Reordered passages count, as tiles may lie in any order.
 
-    A Bloom filter of the items' 5-word seeds (4 MB whatever their number) travels to the documents;
-    documents with a hit keep their word hashes, and seeds join items by shuffle (Spark broadcasts
-    the seed table itself only under its own threshold). Pairs with too few shared seeds for the
-    threshold are dropped before tiling, which is exact: a tile of n words has n - 4 seeds, at least
-    n / 5.
+    A Bloom filter of the items' 5-word seeds (32 MB at most) travels to the documents; documents
+    with a hit keep their word hashes, and seeds join items by shuffle (Spark broadcasts the seed
+    table itself only under its own threshold). A tile of n words has n - 4 seeds, at least n / 5, so a
+    pair at the threshold shares so many seeds at least. An item's commonest seeds, too few together
+    for that, therefore join nothing: a seed that many items and documents share makes no pairs.
+    Pairs with too few shared seeds are dropped before tiling.
     """
 
     def item_rows(batches: Iterator) -> Iterator:
@@ -113,18 +119,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
     items = cut(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(item_rows, "item_id long, seeds array<long>, size int, item binary, item_words int"))
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
+    width = bloom_bits(items.agg(F.sum(F.size("seeds"))).first()[0] or 1)
 
     def bloom(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bits = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
+        bits = np.zeros(1 << (width - 3), np.uint8)
         for b in batches:
             h = b.column(0).flatten().to_numpy().view(np.uint64)
-            for a in bloom_places(h):
+            for a in bloom_places(h, width):
                 np.bitwise_or.at(bits, a >> 3, np.left_shift(1, a & 7).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
 
-    bits = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
+    bits = np.zeros(1 << (width - 3), np.uint8)
     for r in items.select("seeds").coalesce(4).mapInArrow(bloom, "bits binary").collect():
         bits |= np.frombuffer(r.bits, np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
@@ -152,7 +159,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             at, covered, count = [], [], []
             for k in range(b.num_rows):
                 d, t = (np.frombuffer(b.column(c)[k].as_buffer(), np.uint64) for c in (4, 5))
-                got = tiles(d, t)
+                size = min(SEED_WORDS, len(t))
+                shared_seeds = np.isin(windows(t, size), windows(d, size)).sum()
+                got = tiles(d, t) if shared_seeds * size >= threshold * len(t) else []
                 n = sum(x[2] for x in got)
                 if n >= threshold * len(t):
                     at.append(k)
@@ -168,10 +177,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     keyed = docs.select(*identity(), F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc long, th long, doc_id long, seeds array<long>, words binary"
     near = cut(keyed.mapInArrow(hits, schema)) if sizes else docs.sparkSession.createDataFrame([], schema)
+    found = near.select("doc", "th", F.explode("seeds").alias("seed")).distinct()
+    used = found.groupBy("seed").agg(F.count(F.lit(1)).alias("used"))
     seeds = items.select("item_id", "size", "item_words", F.explode("seeds").alias("seed")).groupBy("item_id", "size", "item_words", "seed").agg(F.count(F.lit(1)).alias("times"))
-    pairs = near.select("doc", "th", F.explode("seeds").alias("seed")).distinct().join(seeds, "seed")
-    pairs = pairs.groupBy("doc", "th", "item_id", "size", "item_words").agg(F.sum("times").alias("n"))
-    pairs = pairs.where(F.col("n") * F.col("size") >= F.col("item_words") * F.lit(threshold)).select("doc", "th", "item_id")
+    commonest = Window.partitionBy("item_id", "item_words").orderBy(F.col("used").desc(), "seed")
+    seeds = seeds.join(used, "seed").withColumn("n", F.sum("times").over(commonest))
+    seeds = seeds.where(F.col("n") * F.col("size") >= F.col("item_words") * F.lit(threshold)).select("item_id", "seed")
+    pairs = found.join(seeds, "seed").select("doc", "th", "item_id").distinct()
     full = pairs.join(near.select("doc", "th", "doc_id", "words").dropDuplicates(["doc", "th"]), ["doc", "th"]).join(items.select("item_id", "item", "item_words"), "item_id")
     out = "doc long, th long, doc_id long, item_id long, item_words int, covered int, n_tiles int, coverage double"
     return full.select("doc", "th", "doc_id", "item_id", "words", "item", "item_words").mapInArrow(tile, out)
