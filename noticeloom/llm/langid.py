@@ -6,9 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticeloom.llm.common import release
+
 BITS = 15
 DIM = 1 << BITS
 ORDERS = (1, 2, 3)
@@ -94,18 +96,22 @@ def fit_packed(packed: np.ndarray, labels: np.ndarray, landmarks: int = 160, rid
 def fit(docs: DataFrame, sample: int = 1600) -> Model | None:
     """Fit on at most `sample` rows of docs(doc_id, text, lang) outside the held-out fold.
 
-    The sample is the rows with the smallest md5(doc_id), at most `sample` in all; executors send
-    packed presence bits (4 KB a row, whatever the length of the text). None without labelled rows.
+    Each of the labels gets an equal part of the sample: its rows with the smallest md5(doc_id). Of more
+    than 64 labels the commonest 64 (then by name) are learned. Executors send packed presence bits
+    (4 KB a row, whatever the length of the text). None without labelled rows.
     """
     rows = (
         docs.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
         .where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLD, F.lit(0)) != 1)
-        .select("text", "lang", F.md5(F.col("doc_id").cast("string")).alias("h"), F.col("doc_id").alias("k"))
+        .select("text", "lang", F.md5(F.col("doc_id").cast("string")).alias("h"))
     )
-    cutoff = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if cutoff is None:
+    known = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(64).collect()
+    if not known:
         return None
-    picked = rows.where(F.col("h") <= cutoff).select("text", "lang", "h")
+    part = max(1, sample // len(known))
+    # a range of hashes that holds about twice a label's part, so that few rows are looked at twice
+    reach = F.create_map(*[F.lit(x) for r in known for x in (r.lang, min(2.0**32, 2.0 * (part + 32) / r.n * 2**32))])
+    picked = rows.where(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") < F.try_element_at(reach, F.col("lang")))
 
     def bits(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -116,7 +122,8 @@ def fit(docs: DataFrame, sample: int = 1600) -> Model | None:
                 packed = np.packbits(presence(part.column(0).to_pylist()).astype(bool), axis=1)
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([r.tobytes() for r in packed], pa.binary())], ["lang", "h", "bits"])
 
-    got = picked.mapInArrow(bits, "lang string, h string, bits binary").orderBy("h", "lang", "bits").limit(sample).collect()
+    first = Window.partitionBy("lang").orderBy("h", "bits")
+    got = picked.mapInArrow(bits, "lang string, h string, bits binary").withColumn("k", F.row_number().over(first)).where(F.col("k") <= part).orderBy("h", "lang", "bits").collect()
     return fit_packed(np.array([np.frombuffer(r.bits, np.uint8) for r in got]), np.array([r.lang for r in got], object))
 
 
@@ -149,6 +156,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     for j, i in enumerate(on):
                         lang[i], score[i] = model.labels[best[j]], float(e[j])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*rest, "lang_pred", "score"])
+        release()
 
     return docs.select(*[F.col(f"`{n}`") for n in rest], "text").mapInArrow(run, f"{schema}, lang_pred string, score double" if rest else "lang_pred string, score double")
 
