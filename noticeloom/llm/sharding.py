@@ -18,26 +18,28 @@ def shard(docs: DataFrame, shards: int = 8, seed: str = SEED, key: str = "doc_id
     (rank + 1/2) / rows of the source. Sorting all rows by it interleaves the sources in
     proportion, and the order is cut into `shards` equal runs. Law: row counts differ by one at most.
 
-    Adds shard (int), slot (long, gapless from 0 in each shard) and mix_rank (double). Null sources
-    form one source of their own; a null key hashes as empty; repeated rows are separate rows with
-    adjacent ranks; an empty table gives an empty result. All input columns are kept, so pass only
-    those to be carried: the operator needs `key` and `source` and shuffles each row twice.
+    Adds shard (int), slot (long, gapless from 0 in each shard) and mix_rank (double); input columns of
+    these names are replaced. Null sources form one source of their own; a null key hashes as empty;
+    repeated rows are separate rows with adjacent ranks; an empty table gives an empty result. All
+    other input columns are kept, whatever their names, so pass only those to be carried: each row is
+    shuffled twice.
     """
-    df = docs.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))))
-    high = F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")
-    rest = [F.col(c) for c in docs.columns]
-    df = ranked(df, [source], [F.col("_h"), F.xxhash64(*rest)], "_r", high)
-    sizes = docs.groupBy(F.col(source).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
-    df = df.join(sizes, F.col(source).eqNullSafe(F.col("_s"))).drop("_s")
-    df = df.withColumn("mix_rank", (F.col("_r") + F.lit(0.5)) / F.col("_n"))
+    names = [c for c in docs.columns if c not in ("shard", "slot", "mix_rank")]
+    whole = F.struct(*[F.col(f"`{c}`") for c in names])
+    df = docs.select(whole.alias("row"), F.col(f"`{source}`").alias("s"), F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))).alias("h"))
+    df = df.withColumn("x", F.xxhash64("row"))
+    high = F.conv(F.substring("h", 1, 3), 16, 10).cast("int")
+    sizes = df.groupBy(F.col("s").alias("_s")).agg(F.count(F.lit(1)).alias("n"))
+    df = ranked(df, ["s"], [F.col("h"), F.col("x")], "r", high)
+    df = df.join(sizes, F.col("s").eqNullSafe(F.col("_s"))).drop("_s")
+    df = df.withColumn("mix_rank", (F.col("r") + F.lit(0.5)) / F.col("n"))
     spread = F.least(F.floor(F.col("mix_rank") * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-    df = df.withColumn("_one", F.lit(1))
-    df = ranked(df, ["_one"], [F.col("mix_rank"), F.col("_h"), F.xxhash64(*rest)], "_pos", spread)
-    total = docs.count()
-    which = F.expr(f"_pos * {shards} div {max(total, 1)}")
-    df = df.withColumn("shard", which.cast("int"))
-    start = F.expr(f"(shard * {max(total, 1)}L + {shards - 1}) div {shards}")
-    return df.withColumn("slot", (F.col("_pos") - start).cast("long")).drop("_h", "_r", "_n", "_one", "_pos")
+    df = ranked(df.withColumn("one", F.lit(1)), ["one"], [F.col("mix_rank"), F.col("h"), F.col("x")], "pos", spread)
+    total = max(docs.count(), 1)
+    which = F.expr(f"cast(pos * {shards} div {total} as int)")
+    start = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
+    df = df.withColumn("shard", which).withColumn("slot", (F.col("pos") - start).cast("long"))
+    return df.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "mix_rank", "shard", "slot")
 
 
 def digest(docs: DataFrame) -> DataFrame:
