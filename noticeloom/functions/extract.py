@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeloom.functions import rules, text
 from noticeloom.functions.rules import ASCII_EDGE, RulePack, java
 
 
+#: A length past the end of any array. slice() adds it to the start, so it must leave room in 32 bits.
+ALL = 1_000_000_000
+
 
 def none() -> Column:
     return F.array().cast("array<string>")
@@ -42,11 +45,30 @@ def any_match(c: Column, patterns: list[str], dialect: str, flags: str = "is") -
     return F.lit(False) if out is None else out
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body(c), with c computed once. The body is interpreted: hundreds of rules as generated code take
+    seconds to compile and gain nothing, as their time goes to searching text."""
+    return F.transform(F.array(c), body)[0]
+
+
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """df with these columns computed at this place, last in order. What follows refers to results, not
+    to expressions: fields of structs would be inlined wherever they are used, and plans that build on
+    each other's structs would grow without bound."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in names]))))
+
+
+def labels_of(rules_of: dict[str, list[str]], dialect: str, flags: str) -> Callable[[Column], Column]:
+    """The names of the rules that match a folded text, in order."""
+    return lambda f: F.array_compact(F.array(*[F.when(any_match(f, patterns, dialect, flags), F.lit(name)) for name, patterns in rules_of.items()]))
+
+
 def event_types(folded: Column, pack: RulePack) -> Column:
     """Types whose rules match, in rule order, suppressed ones removed."""
-    found = F.array_compact(F.array(*[F.when(any_match(folded, patterns, pack.dialect), F.lit(name)) for name, patterns in pack.events.items()]))
+    found = let(folded, labels_of(pack.events, pack.dialect, "is"))
     for present, dropped in pack.suppress:
-        found = F.transform(F.array(found), lambda t: F.when(F.array_contains(t, present), F.array_remove(t, dropped)).otherwise(t))[0]  # noqa: B023
+        found = let(found, lambda t: F.when(F.array_contains(t, present), F.array_remove(t, dropped)).otherwise(t))  # noqa: B023
     return found
 
 
@@ -55,7 +77,7 @@ def has_event(folded: Column, pack: RulePack) -> Column:
 
 
 def cities(folded: Column, pack: RulePack) -> Column:
-    return F.array_compact(F.array(*[F.when(any_match(folded, patterns, pack.dialect, "i"), F.lit(city)) for city, patterns in pack.cities.items()]))
+    return let(folded, labels_of(pack.cities, pack.dialect, "i"))
 
 
 def legal_form(raw: Column, folded: Column, pack: RulePack) -> Column:
@@ -185,7 +207,7 @@ def register_number(lines: Column, folded: Column, name: Column, pack: RulePack)
     direct = F.array(*[F.nullif(F.regexp_extract(joined, ("(?isu)" if js else "(?iuU)") + p, 1), F.lit("")) for p in REGISTER[pack.dialect]])
     direct = F.try_element_at(F.filter(direct, lambda v: plausible_register(v, "js") if js else v.isNotNull()), F.lit(1))
     first = F.greatest(first_where(lines, lambda x: x.contains(name)), F.lit(1))
-    rest = F.slice(lines, first + 1, F.lit(2**31 - 2))
+    rest = F.slice(lines, first + 1, F.lit(ALL))
     dated = first_where(rest, lambda x: x.rlike(r"20\d{2}"))
     window = F.when(dated > 0, until(rest, dated)).otherwise(F.slice(rest, F.lit(1), F.lit(29)))
     bent = F.slice(folded, first + 1, F.greatest(F.size(window), F.lit(0)))

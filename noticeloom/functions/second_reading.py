@@ -26,7 +26,7 @@ def dates_of(c: Column) -> Column:
 def block(lines: Column, packed: Column, starts: Callable[[Column], Column], ends: Callable[[Column], Column]) -> Column:
     """From the first start line to before the first later end line; the first line from its colon."""
     s = first_where(packed, starts)
-    rest, bent = F.slice(lines, s + 1, F.lit(2**31 - 2)), F.slice(packed, s + 1, F.lit(2**31 - 2))
+    rest, bent = F.slice(lines, s + 1, F.lit(extract.ALL)), F.slice(packed, s + 1, F.lit(extract.ALL))
     body = until(rest, first_where(bent, ends))
     head = F.coalesce(extract.after_colon(at(lines, s), "py"), at(lines, s))
     return F.when(s > 0, text.clean_value(F.array_join(F.concat(F.array(head), body), " ")))
@@ -72,11 +72,11 @@ def fields(lines: Column, packed: Column, whole: Column, all_packed: Column, ben
     liquidator = F.transform(lines, lambda x: F.when(x.contains("مصفي"), F.nullif(F.regexp_extract(x, extract.PERSON, 1), F.lit(""))))
     liquidator = text.clean_value(F.try_element_at(F.array_compact(liquidator), F.lit(1)))
     m = first_where(packed, begins("المسيرمنطرف", "التسييرعينكمسير", "عينكمسير"))
-    rest = until(F.slice(lines, m + 1, F.lit(2**31 - 2)), first_where(F.slice(packed, m + 1, F.lit(2**31 - 2)), begins("السنهالاجتماعيه", "تمالايداعالقانوني")))
+    rest = until(F.slice(lines, m + 1, F.lit(extract.ALL)), first_where(F.slice(packed, m + 1, F.lit(extract.ALL)), begins("السنهالاجتماعيه", "تمالايداعالقانوني")))
     person = F.regexp_replace(F.array_join(F.concat(F.array(at(lines, m)), rest), " "), r"(?iu)\A.*?(?:المسير\s+من\s+طرف|التسيير\s*:\s*عين\s+كمسير\s*للشركة|عين\s+كمسير\s*للشركة)\s*:?\s*", "")
     manager = F.coalesce(liquidator, F.when(m > 0, text.clean_value(F.regexp_replace(person, r"\A\s*السيد\s*\(?ة?\)?\s*", ""))))
     f = first_where(packed, lambda c: c.contains("تمالايداعالقانوني"))
-    tail = F.array_join(F.slice(lines, F.greatest(f, F.lit(1)), F.lit(2**31 - 2)), " ")
+    tail = F.array_join(F.slice(lines, F.greatest(f, F.lit(1)), F.lit(extract.ALL)), " ")
     tail_bent = text.ocr_fold(tail)
     court = F.split(F.regexp_replace(tail, r"\A.*?تم\s+الإيداع\s+القانوني\s*", ""), rf"بتاريخ|{ASCII_EDGE}\d{{1,2}}[./-]\d{{1,2}}[./-]20\d{{2}}{ASCII_EDGE}")[0]
     before, behind = F.regexp_extract(tail_bent, r"(?<![./\d])(\d{1,9})\s+تحت\s*رقم", 1), F.regexp_extract(tail_bent, r"تحت\s*رقم\s*(\d{1,9}(?:[./-]\d{1,9})*)", 1)
@@ -100,9 +100,10 @@ def read(df: DataFrame, ocr: str, embedded: str, name: str, out: str) -> DataFra
     """Add `out`: the struct of candidate fields read from the columns of both texts."""
     clean = df.withColumns({"_whole": text.ocr_text(F.col(ocr)), "_own": text.ocr_text(F.col(embedded))})
     clean = clean.withColumn("_lines", F.filter(F.split("_whole", "\n"), lambda x: x != ""))
+    clean = extract.settled(clean, "_whole", "_own", "_lines")
     clean = clean.withColumns({"_packed": F.transform("_lines", text.compact), "_all": text.compact(F.col("_whole")), "_bent": text.ocr_fold(F.col("_whole"))})
     found = fields(*[F.col(c) for c in ("_lines", "_packed", "_whole", "_all", "_bent", "_own", name)])
-    return clean.withColumn(out, as_struct(found)).drop("_whole", "_own", "_lines", "_packed", "_all", "_bent")
+    return extract.settled(clean.withColumn(out, as_struct(found)).drop("_whole", "_own", "_lines", "_packed", "_all", "_bent"), out)
 
 
 def as_struct(f: dict[str, Column]) -> Column:
@@ -141,9 +142,7 @@ def mixed_script(c: Column) -> Column:
 
 def union_cities(current: Column, *texts: Column) -> Column:
     folded = text.fold(text.normalise(F.concat_ws("\n", *[F.nullif(t, F.lit("")) for t in texts])))
-    # one-element transform: the folded text is computed once for all the patterns
-    found = F.transform(F.array(folded), lambda f: extract.cities(f, rules.pack("js")))[0]
-    return F.array_union(F.coalesce(current, none()), found)
+    return F.array_union(F.coalesce(current, none()), extract.cities(folded, rules.pack("js")))
 
 
 def still(missing: dict[str, Column]):
@@ -160,7 +159,8 @@ def enhance(records: DataFrame, reading: str = "second") -> DataFrame:
     """Take second-pass fields (struct column) into records of the OCR import: prose by length, the
     rest where missing; reasons resolved by it go; the confidence stays."""
     n = lambda f: F.col(f"{reading}.{f}")
-    df = records.withColumn("company", F.col("company").withField("registered_address", prefer(F.col("company.registered_address"), n("registered_address")))
+    df = extract.settled(records, "company", "event", "review_reasons", "confidence", reading)
+    df = df.withColumn("company", F.col("company").withField("registered_address", prefer(F.col("company.registered_address"), n("registered_address")))
                             .withField("legal_form", fill_missing(F.col("company.legal_form"), n("legal_form")))
                             .withField("commercial_register_number", fill_missing(F.col("company.commercial_register_number"), n("commercial_register_number"))))
     df = df.withColumn("event", F.col("event").withField("business_purpose", prefer(F.col("event.business_purpose"), n("business_purpose")))
@@ -169,7 +169,9 @@ def enhance(records: DataFrame, reading: str = "second") -> DataFrame:
                        .withField("decision_date", fill_missing(F.col("event.decision_date"), n("decision_date")))
                        .withField("capital_mad", F.coalesce("event.capital_mad", n("capital_mad")))
                        .withField("filing", F.struct(*[fill_missing(F.col(f"event.filing.{a}"), n(b)).alias(a) for a, b in (("court", "court"), ("date", "filing_date"), ("number", "filing_number"))])))
+    df = extract.settled(df, "company", "event")
     df = df.withColumn("company", F.col("company").withField("cities_mentioned", union_cities(F.col("company.cities_mentioned"), F.col("raw_text"), F.col("company.registered_address"), F.col("event.branch_address"), F.col("event.filing.court"))))
+    df = extract.settled(df, "company")
     ending = F.arrays_overlap("event.types", F.array(F.lit("DISSOLUTION"), F.lit("LIQUIDATION")))
     keep = still({
         "commercial_register_number_missing": F.col("company.commercial_register_number").isNull(), "legal_form_missing": F.col("company.legal_form").isNull(), "event_date_missing": F.col("event.decision_date").isNull(),
@@ -177,12 +179,13 @@ def enhance(records: DataFrame, reading: str = "second") -> DataFrame:
         "city_not_detected": F.size("company.cities_mentioned") == 0,
     })
     df = df.withColumn("review_reasons", F.filter("review_reasons", keep))
-    return df.withColumn("needs_review", (F.size("review_reasons") > 0) | (F.col("confidence") < 0.85))
+    df = df.withColumn("needs_review", (F.size("review_reasons") > 0) | (F.col("confidence") < 0.85))
+    return df.select(*records.columns)
 
 
 def merge(records: DataFrame, ocr: str = "ocr") -> DataFrame:
     """Merge a second reading (struct: text, confidence, fields, ...; null: none) into each record."""
-    had, out = records, records
+    had = extract.settled(records, "company", "event", "review_reasons", "confidence", ocr)
     o = lambda f: F.col(f"{ocr}.fields.{f}")
     some = F.col(f"{ocr}.fields").isNotNull()
     score = F.coalesce(F.col(f"{ocr}.confidence"), F.lit(0.0))
@@ -199,8 +202,10 @@ def merge(records: DataFrame, ocr: str = "ocr") -> DataFrame:
                          .withField("filing", F.struct(replace_prose(e["filing"]["court"], o("court")).alias("court"), fill_missing(e["filing"]["date"], o("filing_date")).alias("date"), fill_missing(e["filing"]["number"], o("filing_number")).alias("number"))))
     out = out.withColumn("_company", c.withField("registered_address", replace_prose(c["registered_address"], o("registered_address"))).withField("legal_form", fill_missing(c["legal_form"], o("legal_form")))
                          .withField("commercial_register_number", fill_missing(c["commercial_register_number"], o("commercial_register_number"))))
+    out = extract.settled(out, "_event", "_company", "_was", "_prior")
     ev, co = F.col("_event"), F.col("_company")
     out = out.withColumn("_company", co.withField("cities_mentioned", union_cities(co["cities_mentioned"], F.col(f"{ocr}.text"), co["registered_address"], ev["branch_address"], ev["filing"]["court"])))
+    out = extract.settled(out, "_company")
     resolved = (score >= 55) & (F.coalesce(F.col(f"{ocr}.text"), F.lit("")) != "")
     keep = still({name: ~resolved for name in MAPPING_REASONS} | {
         "commercial_register_number_missing": co["commercial_register_number"].isNull(), "legal_form_missing": co["legal_form"].isNull(), "event_date_missing": ev["decision_date"].isNull(),
@@ -224,3 +229,28 @@ def merge(records: DataFrame, ocr: str = "ocr") -> DataFrame:
         }.get(name, F.col(name)).alias(name)
         for name in records.columns
     ])
+
+
+def queue(records: DataFrame, key: str, inputs: list[str], recognise: Callable, result: str) -> DataFrame:
+    """key, ocr (DDL `result`), error of every record, from recognise(dict of `inputs`) -> dict.
+
+    The recogniser is built outside this engine. A record that it fails on gives a null result and the
+    error's text, and no other record is touched; nor does the caller's merge() change that record.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                given = dict(zip(inputs, row[1:], strict=True))
+                try:
+                    out.append((row[0], recognise(given), None))
+                except Exception as e:  # one record's failure is that record's result
+                    out.append((row[0], None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=[key, "ocr", "error"])
+
+    kind = records.schema[key].dataType.simpleString()
+    return records.select(key, *inputs).mapInPandas(run, f"`{key}` {kind}, ocr {result}, error string")

@@ -171,6 +171,35 @@ def html_to_text(c: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
+# Titles that name no company, without accents and stops.
+GENERIC_TITLES = ["SA", "SARL", "SARL AU", "SARLAU", "SAS", "SOCIETE A RESPONSABILITE LIMITEE", "SOCIETE A RESPONSABILITE LIMITEE A ASSOCIE UNIQUE"]
+TITLE_LEAST, TITLE_MOST, TITLE_UPPER = 2, 160, 0.76
+
+
 def clean_title(c: Column) -> Column:
+    """Normalised text without heading marks and the quotes and punctuation around it."""
     c = F.regexp_replace(c, r"\A#{1,6}\s*", "")
     return strip(F.regexp_replace(c, r"""\A[«"' .:،;\-]+|[»"' .:،;\-]+\z""", ""))
+
+
+def meaningful_title(c: Column) -> Column:
+    """Whether a clean title of 2 to 160 characters has a Latin letter and is more than a legal form."""
+    bare = F.regexp_replace(F.regexp_replace(nfkd(c), r"[\p{M}.]", ""), r"(?U)\s+", " ")
+    fits = F.length(c).between(TITLE_LEAST, TITLE_MOST) & c.rlike(r"\p{IsLatin}")
+    return F.coalesce(fits & ~F.upper(strip(bare)).isin(*GENERIC_TITLES), F.lit(False))
+
+
+def looks_like_title(c: Column) -> Column:
+    """Whether a text reads as a title: meaningful, not Arabic, Latin letters mostly upper-case (letters
+    without case count as upper)."""
+    title = clean_title(c)
+    latin = F.length(F.regexp_replace(title, r"[^\p{IsLatin}]", ""))
+    small = F.length(F.regexp_replace(title, r"[^\p{IsLatin}]|[^\p{Ll}\p{Lt}]", ""))
+    return meaningful_title(title) & ~title.rlike(r"\p{IsArabic}") & ((latin - small) >= latin * TITLE_UPPER)
+
+
+def clean_block(c: Column) -> Column:
+    """Normalised text of an OCR block: tables as text, line ends as line breaks, no heading marks."""
+    tagged = c.rlike(r"(?i)<\s*(?:table|tr|td|th)\b")
+    c = F.when(tagged, html_to_text(F.when(tagged, c))).otherwise(c)
+    return normalise(F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"(?m)^#{1,6}\s*", ""))

@@ -8,6 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noticeloom.functions import rules
+from noticeloom.plans.notices import MAPPING_REASONS, REGIONS
+
+REGION = REGIONS.removeprefix("array<").removesuffix(">")
 DEFAULT_LIMIT, MAX_LIMIT = 100, 500
 SEARCHED = ("company.name", "company.commercial_register_number", "company.registered_address", "event.primary_type", "event.business_purpose", "event.branch_address", "event.manager_or_liquidator")
 
@@ -90,6 +94,64 @@ def select(records: DataFrame, query: Query, fields: tuple[str, ...] = SEARCHED)
     return out
 
 
+UNKNOWN_CITY = "__unknown__"
+LISTED = ("company.name", "company.legal_form", "company.commercial_register_number", "company.registered_address", "company.cities_mentioned", "event.primary_type", "event.business_purpose", "event.branch_address", "event.manager_or_liquidator", "source.notice_reference")
+
+
+def listed(records: DataFrame, city: str = "", event: str = "", review: str = "", query: str = "") -> DataFrame:
+    """Records as a result list filters them: an exact city, or UNKNOWN_CITY for records without one; the
+    primary event; `review` or `ready`; and text in any of ten fields. Blank means any."""
+    out = records
+    if review in ("review", "ready"):
+        out = out.where(F.col("needs_review") == (review == "review"))
+    if event:
+        out = out.where(F.col("event.primary_type") == event)
+    if city == UNKNOWN_CITY:
+        out = out.where(F.coalesce(F.size("company.cities_mentioned"), F.lit(0)) == 0)
+    elif city:
+        out = out.where(F.coalesce(F.array_contains("company.cities_mentioned", city), F.lit(False)))
+    if query.strip():
+        said = F.concat_ws(" ", *[F.nullif(F.array_join(f, " ") if f == "company.cities_mentioned" else F.col(f), F.lit("")) for f in LISTED])
+        out = out.where(holds(said, query.strip()))
+    return out
+
+
+def city_facet(records: DataFrame) -> DataFrame:
+    """value, n of the cities of a result list, in order of name; records without one last, if any."""
+    return facets(records, "company.cities_mentioned", "not detected").orderBy(F.col("value") == "not detected", "value")
+
+
+def title_case(name: Column) -> Column:
+    """AN_EVENT as `An Event`."""
+    return F.array_join(F.transform(F.split(F.lower(name), "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " ")
+
+
+def event_label(name: Column) -> Column:
+    """The display label of an event type."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in rules.LABELS.items() for x in pair]), name), title_case(name))
+
+
+def event_facet(records: DataFrame) -> DataFrame:
+    """value, label of the primary events, in order of name."""
+    return records.select(F.col("event.primary_type").alias("value")).distinct().select("value", event_label(F.col("value")).alias("label")).orderBy("value")
+
+
+def valid_regions(regions: Column) -> Column:
+    """Regions with a page and a finite box of positive size."""
+    real = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    whole = lambda r: r["page"].isNotNull() & real(r["left"]) & real(r["right"]) & real(r["top"]) & real(r["bottom"])
+    return F.filter(F.coalesce(regions, F.array().cast(REGIONS)), lambda r: F.coalesce(whole(r) & (r["right"] > r["left"]) & (r["top"] > r["bottom"]), F.lit(False)))
+
+
+def source_slices(regions: Column, pages: Column) -> Column:
+    """Where a record is shown: struct(page, region) for each region with finite sides, else for each page."""
+    real = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    finite = F.filter(F.coalesce(regions, F.array().cast(REGIONS)), lambda r: F.coalesce(r["page"].isNotNull() & real(r["left"]) & real(r["right"]) & real(r["top"]) & real(r["bottom"]), F.lit(False)))
+    by_region = F.transform(finite, lambda r: F.struct(r["page"].alias("page"), r.alias("region")))
+    by_page = F.transform(F.array_compact(F.coalesce(pages, F.array().cast("array<int>"))), lambda p: F.struct(p.alias("page"), F.lit(None).cast(REGION).alias("region")))
+    return F.when(F.size(finite) > 0, by_region).otherwise(by_page)
+
+
 def page(df: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
     """One page in `order`, which must be total."""
     return df.orderBy(*order).offset(offset).limit(limit)
@@ -108,10 +170,12 @@ def facets(records: DataFrame, items: str, unknown: str = "not detected") -> Dat
     return own.select(F.explode("v").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def summary(records: DataFrame) -> DataFrame:
-    return records.agg(
-        F.count(F.lit(1)).alias("records"), F.count_if("needs_review").alias("needs_review"), F.count_if(F.size("source.pdf_pages") > 1).alias("multi_page"),
-        F.count_if("source.notice_reference_inferred").alias("inferred_references"), F.count_if(F.col("source.notice_reference").isNull()).alias("without_reference"),
+def summary(records: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Counts of records, by `keys` if given; records_with_ocr where there is an ocr column."""
+    done = [F.count_if(F.col("ocr.status") == "complete").alias("records_with_ocr")] if "ocr" in records.columns else []
+    return records.groupBy(*(keys or [])).agg(
+        F.count(F.lit(1)).alias("records"), F.count_if("needs_review").alias("records_needing_review"), F.count_if(F.size("source.pdf_pages") > 1).alias("multi_page"),
+        F.count_if("source.notice_reference_inferred").alias("inferred_references"), F.count_if(F.coalesce("source.notice_reference", F.lit("")) == "").alias("records_without_notice_reference"), *done,
     )
 
 
@@ -135,25 +199,38 @@ def document_key(name: Column, size: Column, day: Column, issue: Column) -> Colu
     return F.concat_ws("|", F.lit("v1"), *[F.coalesce(c.cast("string"), F.lit("")) for c in (name, size, day, issue)])
 
 
-def needs_second_reading(valid_regions: Column) -> Column:
-    """No finished second reading, a valid region, and a mapping reason or Arabic text."""
+def needs_second_reading() -> Column:
+    """No finished second reading, a valid region, and a mapping reason or Arabic text; of records with an
+    ocr column."""
     done = F.coalesce(F.col("ocr.status") == "complete", F.lit(False))
-    reason = F.arrays_overlap("review_reasons", F.array(F.lit("source_text_has_unmapped_glyphs"), F.lit("source_text_has_suspect_font_mapping")))
-    return ~done & valid_regions & (reason | F.coalesce(F.col("raw_text").rlike("[\\u0600-\\u06ff]"), F.lit(False)))
+    reason = F.coalesce(F.arrays_overlap("review_reasons", F.array(*map(F.lit, MAPPING_REASONS))), F.lit(False))
+    return ~done & (F.size(valid_regions(F.col("source.regions"))) > 0) & (reason | F.coalesce(F.col("raw_text").rlike("[\\u0600-\\u06ff]"), F.lit(False)))
+
+
+def targeted(records: DataFrame, wanted: list[str]) -> DataFrame:
+    """Records whose company name or reference is one of `wanted`."""
+    return records.where(F.col("company.name").isin(wanted) | F.col("source.notice_reference").isin(wanted))
 
 
 def flat(records: DataFrame, browser: bool = False) -> DataFrame:
-    """Records as flat string columns for CSV: lists joined by a bar; `browser` adds its 7 columns."""
+    """Records as the flat string columns of the CSV exports, lists joined by a bar: 25, or the 32 of the
+    `browser` form, which adds the inferred flag, the engine, the second reading and the raw text."""
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "|")
     s, c, e = "source.", "company.", "event."
+    own = lambda name: F.col(f"ocr.{name}") if "ocr" in records.columns else F.lit(None)
+    extra = {
+        "notice_reference": {"notice_reference_inferred": s + "notice_reference_inferred"}, "source_url": {"extraction_engine": s + "extraction_engine"},
+        "review_reasons": {"ocr_status": own("status"), "ocr_confidence": own("confidence"), "ocr_processed_at": own("processed_at"), "ocr_text": own("text"), "raw_text": "raw_text"},
+    }
     cols = {
-        "schema_version": "schema_version", "series": s + "series", "issue_number": s + "issue_number", "publication_date": s + "publication_date", "pdf_path": s + "pdf_path", "source_url": s + "source_url",
-        "pdf_pages": joined(s + "pdf_pages"), "printed_pages": joined(s + "printed_pages"), "notice_reference": s + "notice_reference", "company_name": c + "name", "legal_form": c + "legal_form",
-        "commercial_register_number": c + "commercial_register_number", "registered_address": c + "registered_address", "cities_mentioned": joined(c + "cities_mentioned"),
-        "primary_event": e + "primary_type", "event_types": joined(e + "types"), "decision_date": e + "decision_date", "effective_date": e + "effective_date", "business_purpose": e + "business_purpose",
+        "company_name": c + "name", "legal_form": c + "legal_form", "commercial_register_number": c + "commercial_register_number", "registered_address": c + "registered_address", "cities_mentioned": joined(c + "cities_mentioned"),
+        "event_type": e + "primary_type", "event_types": joined(e + "types"), "decision_date": e + "decision_date", "effective_date": e + "effective_date", "business_purpose": e + "business_purpose",
         "capital_mad": e + "capital_mad", "branch_address": e + "branch_address", "manager_or_liquidator": e + "manager_or_liquidator", "filing_court": e + "filing.court", "filing_date": e + "filing.date", "filing_number": e + "filing.number",
+        "issue_number": s + "issue_number", "publication_date": s + "publication_date", "pdf_pages": joined(s + "pdf_pages"), "printed_pages": joined(s + "printed_pages"), "notice_reference": s + "notice_reference", "source_url": s + "source_url",
         "confidence": "confidence", "needs_review": "needs_review", "review_reasons": joined("review_reasons"),
     }
-    if browser:
-        cols |= {"reference_inferred": s + "notice_reference_inferred", "extraction_engine": s + "extraction_engine", "raw_text": "raw_text"}
-    return records.select(*[(F.col(v) if isinstance(v, str) else v).cast("string").alias(k) for k, v in cols.items()])
+    whole = {}
+    for name, value in cols.items():
+        whole[name] = value
+        whole |= extra.get(name, {}) if browser else {}
+    return records.select(*[(F.col(v) if isinstance(v, str) else v).cast("string").alias(k) for k, v in whole.items()])

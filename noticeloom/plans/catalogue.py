@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticeloom.functions import extract, rules, second_reading, text
-from noticeloom.operators import html_table, layout, ocr_notices, records, segment
+from noticeloom.operators import layout, records, segment
 from noticeloom.plans import notices
-from noticeloom.sources import scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,8 +52,8 @@ TYPES_SQL = "concat_ws('|', CASE WHEN lic THEN 'LICENCE' END, CASE WHEN con AND
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.withColumn("types", extract.event_types(F.lower("text"), GENERIC))
+    d = table(spark, sf_dir, "documents").withColumn("low", F.lower("text"))
+    return extract.settled(d.withColumn("types", extract.event_types(F.col("low"), GENERIC)).drop("low"), "types")
 
 
 @query(f"SELECT doc_id, {TYPES_SQL} AS types FROM ({GENERIC_SQL}) WHERE {TYPES_SQL} <> ''")
@@ -67,10 +66,14 @@ def primary_category(spark, sf_dir):
     return classified(spark, sf_dir).where(F.size("types") > 0).select("doc_id", F.col("types")[0].alias("category"))
 
 
-@query(f"SELECT doc_id FROM ({GENERIC_SQL}) WHERE lic AND con")
+@query("""SELECT doc_id, concat_ws('|', CASE WHEN contains(lower(text), 'the') THEN 'LICENCE' END, CASE WHEN contains(lower(text), ' de ') THEN 'SECRET' END, CASE WHEN contains(lower(text), ' in') AND NOT contains(lower(text), 'the') THEN 'CONTACT' END) AS kept, contains(lower(text), 'the') AND contains(lower(text), ' in') AS suppressed FROM documents""")
 def suppressed_category(spark, sf_dir):
-    both = F.col("raw_con") & F.array_contains("types", "LICENCE")
-    return classified(spark, sf_dir).withColumn("raw_con", extract.any_match(F.lower("text"), GENERIC.events["CONTACT"], "js")).where(both).select("doc_id")
+    """A type that another one drops wherever both rules match."""
+    common = rules.RulePack("js", {"LICENCE": ["the"], "SECRET": [" de "], "CONTACT": [" in"]}, {}, [], [], (("LICENCE", "CONTACT"),))
+    free = rules.RulePack("js", common.events, {}, [], [], ())
+    low = F.lower("text")
+    both = lambda t: F.array_contains(t, "LICENCE") & F.array_contains(t, "CONTACT")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(extract.event_types(low, common), "|").alias("kept"), both(extract.event_types(low, free)).alias("suppressed"))
 
 
 @query("SELECT doc_id, CASE WHEN source = 'src0' THEN 'first' ELSE 'teen' END AS place FROM documents WHERE regexp_matches(source, 'src0|src1[0-9]')")
@@ -86,12 +89,12 @@ def fold_lines(spark, sf_dir):
     return d.select("doc_id", text.fold(F.col("t")).alias("folded"), F.size(text.lines_of(F.col("t"))).alias("n_lines"))
 
 
-@query("""SELECT doc_id, CAST(floor(1000.0 * length(regexp_replace(text, '[^\\p{Lu}]', '', 'g')) / length(regexp_replace(text, '[^\\p{L}]', '', 'g'))) AS BIGINT) AS permille
+@query("""SELECT doc_id, CAST(floor(1000.0::DOUBLE * length(regexp_replace(text, '[^\\p{Lu}]', '', 'g')) / length(regexp_replace(text, '[^\\p{L}]', '', 'g')) + 1e-9) AS BIGINT) AS permille
   FROM documents WHERE length(regexp_replace(text, '[^\\p{L}]', '', 'g')) > 0""")
 def uppercase_ratio(spark, sf_dir):
-    up, all_ = (F.length(F.regexp_replace("text", p, "")) for p in (r"[^\p{Lu}]", r"[^\p{L}]"))
     d = table(spark, sf_dir, "documents").withColumn("r", text.uppercase_ratio(F.col("text"))).where("r IS NOT NULL")
-    return d.select("doc_id", F.floor(F.lit(1000.0) * up / all_).alias("permille"))
+    # the ratio is a double; the smallest step of 1 in 20,000 letters is far over its error
+    return d.select("doc_id", F.floor(F.col("r") * 1000 + 1e-9).cast("long").alias("permille"))
 
 
 POINTS_SQL = """SELECT d.doc_id, 30 + CASE WHEN d.n_chars >= 100 THEN 25 ELSE 0 END + CASE WHEN l.quality = 1 THEN 15 ELSE 0 END + CASE WHEN d.lang = 'en' THEN 10 ELSE 0 END
@@ -101,8 +104,10 @@ POINTS_SQL = """SELECT d.doc_id, 30 + CASE WHEN d.n_chars >= 100 THEN 25 ELSE 0
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    has = lambda k: extract.any_match(F.lower("text"), GENERIC.events[k], "js")
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    d = table(spark, sf_dir, "documents").withColumn("low", F.lower("text"))
+    hits = F.struct(*[extract.any_match(F.col("low"), patterns, "js").alias(k) for k, patterns in GENERIC.events.items()])
+    d = extract.settled(d.select("doc_id", "source", "n_chars", "lang", hits.alias("has")), "has").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    has = lambda k: F.col(f"has.{k}")
     p = notices.points(F.col("n_chars") >= 100, F.col("quality") == 1, F.col("lang") == "en", has("LICENCE"), has("CONTACT"), has("SECRET"), has("SHOUTING"))
     r = notices.reasons([(F.col("n_chars") < 100, "text_short"), (F.col("quality").isNull(), "label_missing"), (has("SHOUTING"), "shouting")])
     return d.select("doc_id", "source", "n_chars", p.alias("p"), r.alias("review_reasons"))
@@ -209,7 +214,7 @@ def last_match(spark, sf_dir):
 def first_match_block(spark, sf_dir):
     d = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("e"))
     s = extract.first_where(F.col("e"), lambda x: x["role"] == "user")
-    rest = F.slice("e", s, F.lit(2**31 - 2))
+    rest = F.slice("e", s, F.lit(extract.ALL))
     body = extract.until(rest, extract.first_where(rest, lambda x: x["role"] == "assistant"))
     return d.where(s > 0).select("conv_id", F.array_join(F.transform(body, lambda x: x["text"]), " ").alias("block"))
 
@@ -255,14 +260,6 @@ def bbox_union(spark, sf_dir):
     return layout.box_regions(d, ["issue"]).select("issue", "column", "left", "bottom", "line_count")
 
 
-@query()
-def line_cluster(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    items = e.select((F.col("user_id") % 40).alias("issue"), F.lit(1).alias("page"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), (F.col("event_id") % 600).cast("double").alias("x"), (F.col("value") % 800).alias("y"),
-                     F.col("event_type").alias("str"), F.lit(9.0).alias("item_height"), F.lit("f").alias("font"), F.col("event_id").alias("source"), F.lit(10.0).alias("item_width"))
-    return layout.lines(items).select("issue", "column", "position", F.round("y", 6).alias("y"), "reading_text")
-
-
 @query("""SELECT o_custkey, CAST(floor(sum(o_totalprice * greatest(1, length(o_orderpriority))) / sum(greatest(1, length(o_orderpriority))) * 10 + 0.5) / 10 AS DOUBLE) AS confidence FROM
   (SELECT o_custkey, CAST(CAST(o_totalprice AS BIGINT) AS DOUBLE) AS o_totalprice, o_orderpriority FROM orders) GROUP BY o_custkey""")
 def weighted_mean(spark, sf_dir):
@@ -289,46 +286,12 @@ def url_parts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", part("PROTOCOL").alias("scheme"), part("HOST").alias("host"), part("PATH").alias("path"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'https://www.sgg.gov.ma/BO/AR/2873/2026/BOAL_5922.pdf'), (2, NULL), (3, NULL), (4, NULL)) t(id, official)""")
-def official_url(spark, sf_dir):
-    rows = [(1, "https://www.sgg.gov.ma/BO/AR/2873/2026/BOAL_5922.pdf"), (2, "http://www.sgg.gov.ma/BO/AR/2873/2026/BOAL_5922.pdf"), (3, "https://example.com/BO/AR/1/2026/a.pdf"), (4, "https://sgg.gov.ma/x.pdf")]
-    return spark.createDataFrame(rows, "id int, url string").select("id", scans.official_url(F.col("url")).alias("official"))
-
-
-@query("SELECT * FROM (VALUES (1, 0::BIGINT, 99::BIGINT, 200::BIGINT), (2, NULL, NULL, NULL), (3, NULL, NULL, NULL)) t(id, first_byte, last_byte, total)")
-def content_range(spark, sf_dir):
-    d = spark.createDataFrame([(1, "bytes 0-99/200"), (2, "bytes 9-3/200"), (3, "bytes */200")], "id int, h string").select("id", scans.content_range(F.col("h")).alias("r"))
-    return d.select("id", F.col("r.start").alias("first_byte"), F.col("r.end").alias("last_byte"), "r.total")
-
-
-@query("SELECT * FROM (VALUES (1, '2026-04-29', '2026-04-29'), (2, NULL, NULL)) t(id, http_day, pdf_day)")
-def header_dates(spark, sf_dir):
-    d = spark.createDataFrame([(1, "Wed, 29 Apr 2026 10:51:30 GMT", "D:20260429105130+01'00'"), (2, "nonsense", "D:20260231")], "id int, h string, p string")
-    return d.select("id", extract.http_date(F.col("h")).alias("http_day"), extract.pdf_date(F.col("p")).alias("pdf_day"))
-
-
 @query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, len(json_keys(props)) AS n_keys FROM events")
 def json_props(spark, sf_dir):
     keys = F.json_object_keys("props")
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>")[keys[0]].alias("first_value"), F.size(keys).cast("long").alias("n_keys"))
 
 
-@query("""SELECT * FROM (VALUES ('a', 0, 0, 1, 'x'), ('a', 0, 1, 2, 'y & z'), ('a', 1, 1, 1, 'p'), ('a', 1, 2, 1, 'q')) t(id, "row", cell, colspan, text)""")
-def html_table_grid(spark, sf_dir):
-    html = "<table><tr><td rowspan=2>x</td><th colspan='2'>y &amp; z</th></tr><tr><td>p</td><td>q</td></tr></table>"
-    return html_table.cells(spark.createDataFrame([("a", html), ("b", "no table")], "id string, html string"), "id", "html").select("id", "row", "cell", "colspan", "text")
-
-
-@query("SELECT * FROM (VALUES ('i', 0, NULL, 'ACME', 'INCORPORATION'), ('i', 1, '42P', 'BETA', 'DISSOLUTION')) t(issue, segment, reference, hint, event)")
-def ocr_segments(spark, sf_dir):
-    texts = ["# ACME", "constitution d'une societe a rabat", "BETA", "dissolution de la societe", "42 P", "tail text"]
-    rows = [("i", 1 + k // 3, 3, float(k), k, k in (0, 2), t) for k, t in enumerate(texts)]
-    blocks = spark.createDataFrame(rows, "issue string, page int, column int, top double, source_index int, is_title boolean, text string")
-    found = ocr_notices.segments(blocks.withColumn("review_reasons", F.array().cast("array<string>")))
-    parsed = notices.parse(found, rules.pack("js"))
-    return parsed.select("issue", "segment", F.col("source.notice_reference").alias("reference"), F.col("company.name").alias("hint"), F.col("event.primary_type").alias("event"))
-
-
 # --- round trips: notices written from rows, read back -------------------------------------------
 
 
@@ -339,7 +302,8 @@ def written(spark: SparkSession, sf_dir: str, shift: bool = True) -> DataFrame:
     day = F.add_months(day, 240) if shift else day
     body = F.concat_ws("\n", F.upper(F.translate("c_name", "#", " ")), F.lit("SARL"), F.concat(F.lit("registre de commerce "), (F.col("c_custkey") + 100000).cast("string")), F.lit("constitution societe a settat"),
                        F.concat(F.lit("le "), F.date_format(day, "yyyy/MM/dd")), F.concat(F.lit("capital "), (F.col("o_orderkey") + 1000).cast("string"), F.lit(" dhs")))
-    return o.select("o_orderkey", body.alias("text"))
+    # the tables are few files; the texts are work for every core
+    return o.select("o_orderkey", body.alias("text")).repartition(spark.sparkContext.defaultParallelism)
 
 
 def read_back(spark: SparkSession, sf_dir: str, shift: bool = True) -> DataFrame:
@@ -377,19 +341,14 @@ def roundtrip_name(spark, sf_dir):
 
 @query(f"SELECT o_orderkey, 0.95::DOUBLE AS confidence, false AS needs_review, '' AS reasons {FROM_ORDERS}")
 def flat_records(spark, sf_dir):
-    d = records.flat(read_back(spark, sf_dir).withColumn("schema_version", F.col("o_orderkey").cast("string")))
-    return d.select(F.col("schema_version").cast("long").alias("o_orderkey"), F.col("confidence").cast("double").alias("confidence"), F.col("needs_review").cast("boolean").alias("needs_review"), F.col("review_reasons").alias("reasons"))
+    d = read_back(spark, sf_dir)
+    d = records.flat(d.withColumn("source", F.col("source").withField("source_url", F.col("o_orderkey").cast("string"))))
+    return d.select(F.col("source_url").cast("long").alias("o_orderkey"), F.col("confidence").cast("double").alias("confidence"), F.col("needs_review").cast("boolean").alias("needs_review"), F.col("review_reasons").alias("reasons"))
 
 
 # --- reconciliation ------------------------------------------------------------------------------
 
 
-@query("SELECT d.doc_id, l.quality, l.doc_id IS NOT NULL AS restored FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
-def cache_restore(spark, sf_dir):
-    kept = table(spark, sf_dir, "labels").withColumn("hit", F.lit(True))
-    return table(spark, sf_dir, "documents").join(kept, "doc_id", "left").select("doc_id", "quality", F.coalesce("hit", F.lit(False)).alias("restored"))
-
-
 PAIR = "FROM documents d LEFT JOIN benchmark b ON d.doc_id = b.item_id"
 
 
@@ -432,7 +391,9 @@ def new_records(spark, sf_dir):
     return half_years(spark, sf_dir)[2]
 
 
-@query("SELECT * FROM (VALUES (1, 'Settat|Rabat|Fes'), (2, 'Rabat')) t(id, cities)")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Rabat|' END || 'Settat' || CASE WHEN o_orderkey % 3 = 0 THEN '|Rabat' ELSE '' END || CASE o_custkey % 2 WHEN 0 THEN '|Fes' ELSE '' END AS cities FROM orders""")
 def array_union_ordered(spark, sf_dir):
-    d = spark.createDataFrame([(1, ["Settat", "Rabat"], "fes, Rabat"), (2, None, "a Rabat")], "id int, had array<string>, t string")
-    return d.select("id", F.array_join(second_reading.union_cities(F.col("had"), F.col("t")), "|").alias("cities"))
+    """Cities had, then those found in texts, in the order of the rules, each once."""
+    had = F.when(F.col("o_orderkey") % 3 != 0, F.array(F.lit("Rabat"), F.lit("Settat")))
+    found = second_reading.union_cities(had, F.lit("RABAT, Settat"), F.when(F.col("o_custkey") % 2 == 0, F.lit("à fes")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(found, "|").alias("cities"))

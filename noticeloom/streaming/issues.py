@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SEGMENT = "issue string, reference string, text string, pdf_pages array<int>"
-STATE = "lines array<string>, pages array<int>"
+STATE = "lines array<string>, pages array<int>, next int, early array<struct<page:int,body:string>>"
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -18,34 +18,59 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("text").option("wholetext", "true").load(path).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
 
 
-def segments(pages: DataFrame) -> DataFrame:
-    """Segments of a stream of pages(issue, page, body), pages of an issue arriving in order.
+def segments(pages: DataFrame, idle_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
+    """Segments of a stream of pages(issue, page, body); pages count from 1.
 
-    State per issue: the pending lines and their pages. A line that is a whole reference ends the
-    pending segment. An empty body ends the issue: what is pending goes out without a reference.
+    State per issue: the pending lines and their pages, the page that comes next, and pages that came
+    before their turn, which wait for it. A line that is a whole reference ends the pending segment.
+    An empty body ends the issue in its turn: what is pending goes out without a reference and the
+    state is removed. An issue that stays silent for `idle_ms` ends too, its early pages in order
+    first. A page that comes again, or after its turn, is left out.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import re
 
-        lines, at = ([*x] for x in state.get) if state.exists else ([], [])
-        out = []
-        for pdf in batches:
-            for page, body in pdf.sort_values("page")[["page", "body"]].itertuples(index=False):
-                if not body:
-                    if lines:
-                        out.append((key[0], None, "\n".join(lines), list(at)))
-                    lines, at = [], []
-                for line in map(str.strip, (body or "").splitlines()):
-                    m = re.fullmatch(r"(\d{1,7})\s*([A-Z])", line)
-                    if m and lines:
-                        out.append((key[0], m[1] + m[2], "\n".join(lines), list(at)))
-                        lines, at = [], []
-                    elif line and not m:
-                        lines.append(line)
-                        if int(page) not in at:
-                            at.append(int(page))
-        state.update((lines, at))
+        lines, at, turn, early = [], [], 1, {}
+        if state.exists:
+            held = state.get
+            lines, at, turn, early = [*held[0]], [*held[1]], held[2], {p[0]: p[1] for p in held[3]}
+        out, over = [], False
+
+        def take(page: int, body: str) -> None:
+            for line in map(str.strip, body.splitlines()):
+                m = re.fullmatch(r"([0-9]{1,7})\s*([A-Z])", line)
+                if m and lines:
+                    out.append((key[0], m[1] + m[2], "\n".join(lines), list(at)))
+                if m:
+                    lines.clear()
+                    at.clear()
+                elif line:
+                    lines.append(line)
+                    if page not in at:
+                        at.append(page)
+
+        if state.hasTimedOut:
+            for page in sorted(early):
+                take(page, early[page])
+            over = True
+        else:
+            for pdf in batches:
+                for page, body in pdf[["page", "body"]].itertuples(index=False):
+                    if page >= turn:
+                        early.setdefault(int(page), body or "")
+            while turn in early and not over:
+                body = early.pop(turn)
+                over = not body
+                take(turn, body)
+                turn += 1
+        if over:
+            if lines:
+                out.append((key[0], None, "\n".join(lines), at))
+            state.remove()
+        else:
+            state.update((lines, at, turn, list(early.items())))
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["issue", "reference", "text", "pdf_pages"])
 
-    return pages.groupBy("issue").applyInPandasWithState(run, SEGMENT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return pages.groupBy("issue").applyInPandasWithState(run, SEGMENT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
