@@ -15,6 +15,38 @@ from noticeloom.functions import rules, text
 from noticeloom.functions.rules import ASCII_EDGE, RulePack, java
 
 
+# --- Fixed values: words and patterns of the fields ----------------------------------------------
+
+NAME_LABEL = "تسميه"
+REGISTER = {
+    "js": [r"(?:السجل.{0,20}التجاري|التجاري.{0,20}السجل)[^\d]{0,45}(\d{2,10})", rf"(?:registre\s+de\s+commerce|registre\s+commercial|{ASCII_EDGE}RC{ASCII_EDGE})[^\d]{{0,20}}(\d{{2,10}})"],
+    "py": [r"(?:رقم\s+)?(?:التقييد\s+في\s+)?السجل\s+التجاري[^\d]{0,25}(\d{2,10})", r"(?:registre\s+de\s+commerce|registre\s+commercial|\bRC\b)[^\d]{0,15}(\d{2,10})"],
+}
+REGISTER_CONTEXT = r"(?iu)رقم|سجل|registre"
+NUMBER_LABEL, REGISTER_WORDS = "رقم", ["السجل", "registre"]
+CAPITAL = [r"(?iu)(?:رأس\s*مال|رأسمال|راسمال)[^\d]{0,30}([\d .]{3,20})\s*(?:درهم|د\.?\s*م)", r"(?iu)capital[^\d]{0,20}([\d .]{3,20})\s*(?:dhs?|mad)"]
+JS_STOP_LABELS = ["تجاري"]
+ADDRESS_LABEL = {"py": "اجتماعي", "js": "جتماعي"}
+PURPOSE_WORDS, PURPOSE = ["غرض", "ايجاز"], r"(?u)غرض.{0,30}(?:شرك|ايجاز|إيجاز)"
+BRANCH_EVENT = {"py": "انشاء فرع", "js": r"(?u)انشاء\s+فرع|فتح\s+فرع"}
+BRANCH_PLACE = {"py": "كاين|العنوان التالي", "js": r"(?u)كائن|كاين|عنوان\s+التالي|عنوان\s+تالي"}
+BRANCH_END = {"py": "المسير|ولمسير|تم الايداع", "js": r"(?u)مسير|ملسير|مصفي|تم\s+الايداع"}
+PERSON = r"(?u)السيد(?:ة)?\s*\)?\s*([\p{IsArabic} ]{3,80}?)(?=\s+(?:و\s*)?عنوان|\s+بصفته|\s+كمصفي|\s+مصفيا|$)"
+LIQUIDATOR = "مصفي"
+NAME_STOPS = ["المسير", "ملسير", "المصفي", "مصفي", "مصفية", "من", "طرف", "السيد", "السيدة", "تعيين", "وذ", "و", "سي", "سيوذ"]
+NAME_PARTS = "مسير|ملسير|مصفي|طرف|سيد|تعيين"
+MANAGER_LINE = {"py": "المسير|ولمسير|مصفي|مصفية", "js": "المسير|ملسير|مصفي|مصفية"}
+BEFORE_PERSON = [r"(?iuU)\A.*?(?:من\s+طرف|تعيين|بصفته|بصفتها)\s*", r"(?uU)السيد(?:ة)?\s*(?:\([^)]*\))?\s*", r"\A(?:وذسي|السي)\s*"]
+NO_PERSON = "عنوان|شارع|تجزيه|المغرب|سطات|الدار البيضاء"
+ARABIC_WORD = r"([؀-ۿ]{2,})"
+COURT, COURT_WORDS = "محكم|ملحكم", ("المحكمه", "محكمة")
+COURT_END = rf"(?iu)بتاريخ|تحت\s+رقم|{ASCII_EDGE}\d{{1,2}}[./-]\d{{1,2}}[./-]20\d{{2}}{ASCII_EDGE}"
+FILED, FILED_LINE, DONE = "ايداع", "ايداع|اليداع|الي", "تم"
+FILING_NUMBER = {"py": r"(?U)تحت\s+رقم\s*[:\-]?\s*(\d{1,10})", "js": r"تحت\s+رقم\s*[:\-]?\s*(\d{1,10}(?:[./-]\d{1,10})*)"}
+FILING_NUMBER_BEFORE = r"(?<![./\d])(\d{1,10})\s+تحت\s+رقم"
+
+# --- end of fixed values --------------------------------------------------------------------------
+
 #: A length past the end of any array. slice() adds it to the start, so it must leave room in 32 bits.
 ALL = 1_000_000_000
 
@@ -180,7 +212,7 @@ def company_name(lines: Column, folded: Column, found: Column, pack: RulePack) -
         following = trimmed(following) if pack.dialect == "py" else following
         return F.when(valid_arabic_name(own), own).when(valid_arabic_name(following), following)
 
-    labels = F.filter(F.transform(folded, lambda x, i: F.when(x.contains("تسميه"), i + 1)), lambda i: i.isNotNull())
+    labels = F.filter(F.transform(folded, lambda x, i: F.when(x.contains(NAME_LABEL), i + 1)), lambda i: i.isNotNull())
     arabic = F.try_element_at(F.filter(F.transform(labels, named), lambda v: v.isNotNull()), F.lit(1))
     return F.coalesce(best, arabic)
 
@@ -194,13 +226,6 @@ def plausible_register(value: Column, dialect: str) -> Column:
     return F.coalesce(ok & (n != 26000) if dialect == "js" else ok, F.lit(False))
 
 
-# Explicit register patterns of both dialects.
-REGISTER = {
-    "js": [r"(?:السجل.{0,20}التجاري|التجاري.{0,20}السجل)[^\d]{0,45}(\d{2,10})", rf"(?:registre\s+de\s+commerce|registre\s+commercial|{ASCII_EDGE}RC{ASCII_EDGE})[^\d]{{0,20}}(\d{{2,10}})"],
-    "py": [r"(?:رقم\s+)?(?:التقييد\s+في\s+)?السجل\s+التجاري[^\d]{0,25}(\d{2,10})", r"(?:registre\s+de\s+commerce|registre\s+commercial|\bRC\b)[^\d]{0,15}(\d{2,10})"],
-}
-
-
 def register_number(lines: Column, folded: Column, name: Column, pack: RulePack) -> Column:
     joined = F.array_join(lines, "\n")
     js = pack.dialect == "js"
@@ -217,9 +242,9 @@ def register_number(lines: Column, folded: Column, name: Column, pack: RulePack)
         context = F.slice(bent, F.greatest(i - 1, F.lit(1)), F.least(i + 1, F.lit(3)))
         joined_context = F.array_join(context, " ")
         if js:
-            labelled = joined_context.rlike(r"(?iu)رقم|سجل|registre")
+            labelled = joined_context.rlike(REGISTER_CONTEXT)
         else:
-            labelled = F.exists(context, lambda x: x.startswith("رقم")) | joined_context.contains("السجل") | joined_context.contains("registre")
+            labelled = F.exists(context, lambda x: x.startswith(NUMBER_LABEL)) | joined_context.contains(REGISTER_WORDS[0]) | joined_context.contains(REGISTER_WORDS[1])
         return F.when(plausible_register(value, pack.dialect) & labelled, F.struct(value.try_cast("bigint").alias("n"), (-i).alias("o"), value.alias("v")))
 
     near = F.array_max(F.filter(F.transform(window, candidate), lambda c: c.isNotNull()))["v"]
@@ -266,7 +291,7 @@ def dates(normal: Column, folded: Column, pack: RulePack) -> Column:
 def capital(normal: Column) -> Column:
     """Capital in dirhams; all non-digits of the amount go, decimals included."""
     found = []
-    for p in (r"(?iu)(?:رأس\s*مال|رأسمال|راسمال)[^\d]{0,30}([\d .]{3,20})\s*(?:درهم|د\.?\s*م)", r"(?iu)capital[^\d]{0,20}([\d .]{3,20})\s*(?:dhs?|mad)"):
+    for p in CAPITAL:
         digits = F.regexp_replace(F.regexp_extract(normal, p, 1), r"\D", "")
         found.append(F.nullif(digits, F.lit("")).try_cast("decimal(20,0)").try_cast("bigint"))
     return F.coalesce(*found)
@@ -276,8 +301,8 @@ def capital(normal: Column) -> Column:
 
 
 def is_label(folded: Column, dialect: str) -> Column:
-    terms = rules.STOP_LABELS + (["تجاري"] if dialect == "js" else [])
-    out = folded.startswith("رقم")
+    terms = rules.STOP_LABELS + (JS_STOP_LABELS if dialect == "js" else [])
+    out = folded.startswith(NUMBER_LABEL)
     for term in terms:
         out = out | folded.contains(term)
     return out
@@ -296,37 +321,37 @@ def field_block(lines: Column, folded: Column, test: Callable[[Column], Column],
 
 
 def registered_address(lines: Column, folded: Column, dialect: str) -> Column:
-    label = "اجتماعي" if dialect == "py" else "جتماعي"
+    label = ADDRESS_LABEL[dialect]
     return field_block(lines, folded, lambda x: x.contains(label), 3, dialect)
 
 
 def business_purpose(lines: Column, folded: Column, dialect: str) -> Column:
     if dialect == "py":
-        return field_block(lines, folded, lambda x: x.contains("غرض") & x.contains("ايجاز"), 8, dialect)
-    return field_block(lines, folded, lambda x: x.rlike(r"(?u)غرض.{0,30}(?:شرك|ايجاز|إيجاز)"), 8, dialect)
+        return field_block(lines, folded, lambda x: x.contains(PURPOSE_WORDS[0]) & x.contains(PURPOSE_WORDS[1]), 8, dialect)
+    return field_block(lines, folded, lambda x: x.rlike(PURPOSE), 8, dialect)
 
 
 def branch_address(lines: Column, folded: Column, dialect: str) -> Column:
     if dialect == "py":
-        begins = lambda x: x.contains("كاين") | x.contains("العنوان التالي")
-        start = last_where(folded, lambda x: x.contains("انشاء فرع"))
+        begins = lambda x: x.rlike(BRANCH_PLACE["py"])
+        start = last_where(folded, lambda x: x.contains(BRANCH_EVENT["py"]))
         ahead, bent = F.slice(lines, start + 1, F.lit(11)), F.slice(folded, start + 1, F.lit(11))
-        stop = first_where(bent, lambda x: x.contains("المسير") | x.contains("ولمسير") | x.contains("تم الايداع"))
+        stop = first_where(bent, lambda x: x.rlike(BRANCH_END["py"]))
         ahead, bent = until(ahead, stop), until(bent, stop)
         suffix = lambda line: some(trimmed(text.strip(F.coalesce(after_colon(line, "py"), F.lit(""))), r" \-"))
         t = first_where(bent, begins)
         inside = F.when(t > 0, F.concat(suffix(at(ahead, t)), F.slice(ahead, t + 1, F.lit(20)))).otherwise(none())
         values = F.when(begins(at(folded, start)), F.concat(suffix(at(lines, start)), ahead)).otherwise(inside)
         return F.when(start > 0, F.nullif(trimmed(F.array_join(values, " ")), F.lit("")))
-    begins = lambda x: x.rlike(r"(?u)كائن|كاين|عنوان\s+التالي|عنوان\s+تالي")
-    start = last_where(folded, lambda x: x.rlike(r"(?u)انشاء\s+فرع|فتح\s+فرع"))
+    begins = lambda x: x.rlike(BRANCH_PLACE["js"])
+    start = last_where(folded, lambda x: x.rlike(BRANCH_EVENT["js"]))
     both = F.slice(F.arrays_zip(lines.alias("l"), folded.alias("f")), F.greatest(start, F.lit(1)), F.lit(13))
     t = first_where(both, lambda x: begins(x["f"]))
     window = F.slice(both, F.greatest(t, F.lit(1)), F.lit(13))
     state = F.struct(F.lit(False).alias("over"), none().alias("v"))
 
     def step(acc: Column, x: Column) -> Column:
-        over = acc["over"] | (x["f"].rlike(r"(?u)مسير|ملسير|مصفي|تم\s+الايداع") & (F.size(acc["v"]) > 0))
+        over = acc["over"] | (x["f"].rlike(BRANCH_END["js"]) & (F.size(acc["v"]) > 0))
         own = text.strip(F.coalesce(after_colon(x["l"], "js"), x["l"]))
         return F.struct(over.alias("over"), F.when(over, acc["v"]).otherwise(F.concat(acc["v"], some(own))).alias("v"))
 
@@ -334,35 +359,29 @@ def branch_address(lines: Column, folded: Column, dialect: str) -> Column:
     return F.when((start > 0) & (t > 0), text.clean_field(F.array_join(values, " ")))
 
 
-PERSON = r"(?u)السيد(?:ة)?\s*\)?\s*([\p{IsArabic} ]{3,80}?)(?=\s+(?:و\s*)?عنوان|\s+بصفته|\s+كمصفي|\s+مصفيا|$)"
-# Words that are no part of a manager's name.
-NAME_STOPS = ["المسير", "ملسير", "المصفي", "مصفي", "مصفية", "من", "طرف", "السيد", "السيدة", "تعيين", "وذ", "و", "سي", "سيوذ"]
-NAME_PARTS = "مسير|ملسير|مصفي|طرف|سيد|تعيين"
-
-
 def manager(lines: Column, folded: Column, dialect: str) -> Column:
     """Manager or liquidator named in the first line that gives one."""
     at_lines = F.arrays_zip(lines.alias("l"), folded.alias("f"), F.slice(F.concat(lines, F.array(null())), F.lit(2), F.greatest(F.size(lines), F.lit(1))).alias("next"))
     if dialect == "py":
 
         def person(x: Column) -> Column:
-            v = F.regexp_replace(x["l"], r"(?iuU)\A.*?(?:من\s+طرف|تعيين|بصفته|بصفتها)\s*", "")
-            v = F.regexp_replace(v, r"(?uU)السيد(?:ة)?\s*(?:\([^)]*\))?\s*", "")
-            v = F.regexp_replace(v, r"\A(?:وذسي|السي)\s*", "")
+            v = x["l"]
+            for p in BEFORE_PERSON:
+                v = F.regexp_replace(v, p, "")
             v = trimmed(F.when((F.length(trimmed(v)) < 3) & x["next"].isNotNull(), x["next"]).otherwise(v))
-            bad = v.rlike(r"(?U)\b\d{5}\b") | text.fold(v).rlike("عنوان|شارع|تجزيه|المغرب|سطات|الدار البيضاء")
-            return F.when(x["f"].rlike("المسير|ولمسير|مصفي|مصفية") & ~bad, F.struct(F.nullif(v, F.lit("")).alias("v")))
+            bad = v.rlike(r"(?U)\b\d{5}\b") | text.fold(v).rlike(NO_PERSON)
+            return F.when(x["f"].rlike(MANAGER_LINE["py"]) & ~bad, F.struct(F.nullif(v, F.lit("")).alias("v")))
 
         return F.try_element_at(F.filter(F.transform(at_lines, person), lambda p: p.isNotNull()), F.lit(1))["v"]
-    named = F.transform(lines, lambda x: F.when(x.contains("مصفي"), text.strip(F.regexp_replace(F.regexp_extract(x, PERSON, 1), r"\s+", " "))))
+    named = F.transform(lines, lambda x: F.when(x.contains(LIQUIDATOR), text.strip(F.regexp_replace(F.regexp_extract(x, PERSON, 1), r"\s+", " "))))
     liquidator = F.try_element_at(F.filter(named, lambda v: F.length(v) >= 3), F.lit(1))
 
     def words(x: Column) -> Column:
-        all_words = F.regexp_extract_all(F.concat_ws(" ", x["l"], x["next"]), F.lit(r"([؀-ۿ]{2,})"), F.lit(1))
+        all_words = F.regexp_extract_all(F.concat_ws(" ", x["l"], x["next"]), F.lit(ARABIC_WORD), F.lit(1))
         kept = F.filter(all_words, lambda w: ~text.fold(w).isin(*NAME_STOPS) & ~text.fold(w).rlike(NAME_PARTS))
         last = F.slice(kept, F.greatest(F.size(kept) - 3, F.lit(1)), F.lit(4))
         v = text.strip(F.regexp_replace(F.array_join(last, " "), r"[.,:;\-]+\z", ""))
-        return F.when(x["f"].rlike("المسير|ملسير|مصفي|مصفية") & (F.length(v) >= 3) & ~v.rlike(r"\b\d{5}\b"), v)
+        return F.when(x["f"].rlike(MANAGER_LINE["js"]) & (F.length(v) >= 3) & ~v.rlike(r"\b\d{5}\b"), v)
 
     return F.coalesce(liquidator, F.try_element_at(F.filter(F.transform(at_lines, words), lambda v: v.isNotNull()), F.lit(1)))
 
@@ -377,20 +396,20 @@ def filing(lines: Column, folded: Column, found: Column, dialect: str) -> Column
     date = F.when(F.size(found) > 1, F.try_element_at(found, F.lit(-1)))
     if dialect == "py":
         both = F.arrays_zip(lines.alias("l"), folded.alias("f"))
-        c = last_where(both, lambda x: x["f"].contains("المحكمه") | x["l"].contains("محكمة"))
+        c = last_where(both, lambda x: x["f"].contains(COURT_WORDS[0]) | x["l"].contains(COURT_WORDS[1]))
         court = F.when(c > 0, trimmed(at(lines, c)))
-        i = last_where(folded, lambda x: x.contains("ايداع"))
+        i = last_where(folded, lambda x: x.contains(FILED))
         tail = F.array_join(run_from(lines, i, F.lit(5)), " ")
-        number = F.when(i > 0, F.nullif(F.regexp_extract(tail, r"(?U)تحت\s+رقم\s*[:\-]?\s*(\d{1,10})", 1), F.lit("")))
+        number = F.when(i > 0, F.nullif(F.regexp_extract(tail, FILING_NUMBER["py"], 1), F.lit("")))
     else:
-        c = last_where(folded, lambda x: x.rlike("محكم|ملحكم"))
+        c = last_where(folded, lambda x: x.rlike(COURT))
         more = F.coalesce(at(lines, c + 1), F.lit(""))
-        more = text.strip(F.split(more, rf"(?iu)بتاريخ|تحت\s+رقم|{ASCII_EDGE}\d{{1,2}}[./-]\d{{1,2}}[./-]20\d{{2}}{ASCII_EDGE}")[0])
+        more = text.strip(F.split(more, COURT_END)[0])
         court = F.when(c > 0, text.clean_field(F.concat_ws(" ", at(lines, c), F.nullif(more, F.lit("")))))
-        i = last_where(folded, lambda x: x.rlike("ايداع|اليداع|الي") | (x.rlike("محكم|ملحكم") & x.contains("تم")))
+        i = last_where(folded, lambda x: x.rlike(FILED_LINE) | (x.rlike(COURT) & x.contains(DONE)))
         tail = F.array_join(run_from(lines, i, F.lit(6)), " ")
-        before = F.nullif(F.regexp_extract(tail, r"(?<![./\d])(\d{1,10})\s+تحت\s+رقم", 1), F.lit(""))
-        behind = F.nullif(F.regexp_extract(tail, r"تحت\s+رقم\s*[:\-]?\s*(\d{1,10}(?:[./-]\d{1,10})*)", 1), F.lit(""))
+        before = F.nullif(F.regexp_extract(tail, FILING_NUMBER_BEFORE, 1), F.lit(""))
+        behind = F.nullif(F.regexp_extract(tail, FILING_NUMBER["js"], 1), F.lit(""))
         number = F.when(i > 0, F.when(valid_filing(before), before).when(valid_filing(behind), behind))
     return F.struct(court.alias("court"), date.alias("date"), number.alias("number"))
 

@@ -11,7 +11,7 @@ from re import _parser as _regex
 
 DIALECTS = ("py", "js")
 
-# --- Fixed values of the notice format ---------------------------------------------------------
+# --- Fixed values of the notice format; of two city patterns where one includes the other, the wider --
 EVENTS = {
     "CONTINUATION_AFTER_LOSSES": [r"عدم\s+حل.*الاستمرار\s+في\s+النشاط", r"continuation\s+de\s+l.?activit"],
     "REMOVAL_FROM_REGISTER": [r"التشطيب\s+(?:النهائي\s+)?من\s+السجل\s+التجاري", r"radiation\s+(?:definitive\s+)?du\s+registre"],

@@ -12,6 +12,29 @@ from noticeloom.functions.extract import ASCII_EDGE, at, first_where, none, stri
 from noticeloom.plans.notices import MAPPING_REASONS, reasons
 
 
+# --- Fixed values: words (in compact form) and patterns of a second reading -------------------------
+
+LIMITED, SOLE, JOINT_STOCK, SOLE_LATIN, LIMITED_LATIN, JOINT_STOCK_LATIN = "شركهذاتمسووليه", "الشريكالوحيد", "شركهمساهمه", "sarlau|sarldau", "sarl", rf"{ASCII_EDGE}sa{ASCII_EDGE}"
+BRANCH_KIND, INCORPORATION_KIND, TRANSFER_KIND = "انشاءفرعتابع|فتحفرع|creationdunesuccursale", "تاسيسشركه|constitutiondesociete", "تفويتالحصص|cessiondeparts"
+DISSOLUTION_KIND, DISSOLUTION_LATIN, LIQUIDATION_KIND = "(?s)حل.{0,24}شركه", "dissolutiondelasociete", "تصفيهالشركه"
+REGISTER_LABEL = "السجلالتجاري|registrecommercial"
+REGISTER_NUMBER, YEAR = rf"({ASCII_EDGE}\d{{3,8}}{ASCII_EDGE})", r"\A20\d{2}\z"
+ADDRESS_WORD, ADDRESS_LABELS, ADDRESS_END, ADDRESS_ENDS = "عنوانمقرهاالاجتماعي", ["الموقع", "siegesocial"], "السجلالتجاري", ["الهدف", "اليدف", "الغرض", "راسالمال"]
+PURPOSE_WORD, PURPOSE_LABELS, PURPOSE_ENDS = "غرضالشركه", ["الهدف", "اليدف", "objetsocial"], ["المده", "راسالمال", "التسيير", "السنهالاجتماعيه", "تمالايداعالقانوني"]
+BRANCH_WORDS, BRANCH_ENDS = ["الكاينبالعنوانالتالي", "عنوانالفرع"], ["المسير", "التسيير", "تمالايداعالقانوني"]
+MANAGER_LABELS, MANAGER_ENDS = ["المسيرمنطرف", "التسييرعينكمسير", "عينكمسير"], ["السنهالاجتماعيه", "تمالايداعالقانوني"]
+BEFORE_MANAGER = r"(?iu)\A.*?(?:المسير\s+من\s+طرف|التسيير\s*:\s*عين\s+كمسير\s*للشركة|عين\s+كمسير\s*للشركة)\s*:?\s*"
+MISTER = r"\A\s*السيد\s*\(?ة?\)?\s*"
+FILED, BEFORE_COURT, COURT_END = "تمالايداعالقانوني", r"\A.*?تم\s+الإيداع\s+القانوني\s*", rf"بتاريخ|{ASCII_EDGE}\d{{1,2}}[./-]\d{{1,2}}[./-]20\d{{2}}{ASCII_EDGE}"
+FILING_NUMBERS = [r"(?<![./\d])(\d{1,9})\s+تحت\s*رقم", r"تحت\s*رقم\s*(\d{1,9}(?:[./-]\d{1,9})*)"]
+CAPITAL_LABEL, CAPITAL = "راسالمال", r"(\d[\d., ]{1,18})\s*درهم"
+BEFORE_ADDRESS = r"\A(?:وعنوان\s+)?مقرها\s+الاجتماعي\s*:?\s*|\Aعنوان\s+المقر\s+الاجتماعي\s*:?\s*|\Aالموقع\s*:?\s*|\Asi[eè]ge\s+social\s*:?\s*"
+BEFORE_PURPOSE = r"\A(?:الهدف|اليدف|غرض\s+الشركة(?:\s+بإيجاز)?|objet\s+social)\s*:?\s*"
+BEFORE_BRANCH = r"\A.*?(?:الكائن|الكاين|الكاثن)\s+بالعنوان\s+التالي\s*:?\s*|\Aعنوان\s+الفرع\s*:?\s*"
+
+# --- end of fixed values --------------------------------------------------------------------------
+
+
 def dates_of(c: Column) -> Column:
     """Strict calendar dates of ASCII digits in order of appearance, either way round."""
     raw = F.regexp_extract_all(c, F.lit(rf"({ASCII_EDGE}20\d{{2}}[./-]\d{{1,2}}[./-]\d{{1,2}}{ASCII_EDGE}|{ASCII_EDGE}\d{{1,2}}[./-]\d{{1,2}}[./-]20\d{{2}}{ASCII_EDGE})"), F.lit(1))
@@ -49,48 +72,48 @@ def fields(lines: Column, packed: Column, whole: Column, all_packed: Column, ben
     """
     inside = lambda w: all_packed.contains(w)
     form = (
-        F.when(inside("شركهذاتمسووليه") & inside("الشريكالوحيد"), "SARL AU").when(all_packed.rlike("sarlau|sarldau"), "SARL AU")
-        .when(inside("شركهذاتمسووليه") | inside("sarl"), "SARL").when(inside("شركهمساهمه") | bent.rlike(rf"{ASCII_EDGE}sa{ASCII_EDGE}"), "SA")
+        F.when(inside(LIMITED) & inside(SOLE), "SARL AU").when(all_packed.rlike(SOLE_LATIN), "SARL AU")
+        .when(inside(LIMITED) | inside(LIMITED_LATIN), "SARL").when(inside(JOINT_STOCK) | bent.rlike(JOINT_STOCK_LATIN), "SA")
     )
     kind = (
-        F.when(all_packed.rlike("انشاءفرعتابع|فتحفرع|creationdunesuccursale"), "BRANCH_OPENING").when(all_packed.rlike("تاسيسشركه|constitutiondesociete"), "INCORPORATION")
-        .when(bent.rlike("(?s)حل.{0,24}شركه") | inside("dissolutiondelasociete"), "DISSOLUTION").when(all_packed.rlike("تفويتالحصص|cessiondeparts"), "SHARE_TRANSFER").when(inside("تصفيهالشركه"), "LIQUIDATION")
+        F.when(all_packed.rlike(BRANCH_KIND), "BRANCH_OPENING").when(all_packed.rlike(INCORPORATION_KIND), "INCORPORATION")
+        .when(bent.rlike(DISSOLUTION_KIND) | inside(DISSOLUTION_LATIN), "DISSOLUTION").when(all_packed.rlike(TRANSFER_KIND), "SHARE_TRANSFER").when(inside(LIQUIDATION_KIND), "LIQUIDATION")
     )
 
     def register(ls: Column) -> Column:
         def near(i: Column) -> Column:
-            found = F.regexp_extract_all(F.array_join(F.slice(ls, i, F.lit(3)), " "), F.lit(rf"({ASCII_EDGE}\d{{3,8}}{ASCII_EDGE})"), F.lit(1))
-            return F.try_element_at(F.filter(found, lambda v: ~v.rlike(r"\A20\d{2}\z")), F.lit(1))
+            found = F.regexp_extract_all(F.array_join(F.slice(ls, i, F.lit(3)), " "), F.lit(REGISTER_NUMBER), F.lit(1))
+            return F.try_element_at(F.filter(found, lambda v: ~v.rlike(YEAR)), F.lit(1))
 
-        labels = F.filter(F.transform(ls, lambda x, i: F.when(text.compact(x).rlike("السجلالتجاري|registrecommercial"), i + 1)), lambda i: i.isNotNull())
+        labels = F.filter(F.transform(ls, lambda x, i: F.when(text.compact(x).rlike(REGISTER_LABEL), i + 1)), lambda i: i.isNotNull())
         return F.try_element_at(F.array_compact(F.transform(labels, near)), F.lit(1))
 
     first = F.filter(F.split(embedded, "\n"), lambda x: x != "")
-    address = block(lines, packed, lambda c: c.contains("عنوانمقرهاالاجتماعي") | begins("الموقع", "siegesocial")(c), lambda c: c.contains("السجلالتجاري") | begins("الهدف", "اليدف", "الغرض", "راسالمال")(c))
-    purpose = block(lines, packed, lambda c: begins("الهدف", "اليدف", "objetsocial")(c) | c.contains("غرضالشركه"), begins("المده", "راسالمال", "التسيير", "السنهالاجتماعيه", "تمالايداعالقانوني"))
-    branch = block(lines, packed, lambda c: c.contains("الكاينبالعنوانالتالي") | c.contains("عنوانالفرع"), begins("المسير", "التسيير", "تمالايداعالقانوني"))
-    liquidator = F.transform(lines, lambda x: F.when(x.contains("مصفي"), F.nullif(F.regexp_extract(x, extract.PERSON, 1), F.lit(""))))
+    address = block(lines, packed, lambda c: c.contains(ADDRESS_WORD) | begins(*ADDRESS_LABELS)(c), lambda c: c.contains(ADDRESS_END) | begins(*ADDRESS_ENDS)(c))
+    purpose = block(lines, packed, lambda c: begins(*PURPOSE_LABELS)(c) | c.contains(PURPOSE_WORD), begins(*PURPOSE_ENDS))
+    branch = block(lines, packed, lambda c: c.contains(BRANCH_WORDS[0]) | c.contains(BRANCH_WORDS[1]), begins(*BRANCH_ENDS))
+    liquidator = F.transform(lines, lambda x: F.when(x.contains(extract.LIQUIDATOR), F.nullif(F.regexp_extract(x, extract.PERSON, 1), F.lit(""))))
     liquidator = text.clean_value(F.try_element_at(F.array_compact(liquidator), F.lit(1)))
-    m = first_where(packed, begins("المسيرمنطرف", "التسييرعينكمسير", "عينكمسير"))
-    rest = until(F.slice(lines, m + 1, F.lit(extract.ALL)), first_where(F.slice(packed, m + 1, F.lit(extract.ALL)), begins("السنهالاجتماعيه", "تمالايداعالقانوني")))
-    person = F.regexp_replace(F.array_join(F.concat(F.array(at(lines, m)), rest), " "), r"(?iu)\A.*?(?:المسير\s+من\s+طرف|التسيير\s*:\s*عين\s+كمسير\s*للشركة|عين\s+كمسير\s*للشركة)\s*:?\s*", "")
-    manager = F.coalesce(liquidator, F.when(m > 0, text.clean_value(F.regexp_replace(person, r"\A\s*السيد\s*\(?ة?\)?\s*", ""))))
-    f = first_where(packed, lambda c: c.contains("تمالايداعالقانوني"))
+    m = first_where(packed, begins(*MANAGER_LABELS))
+    rest = until(F.slice(lines, m + 1, F.lit(extract.ALL)), first_where(F.slice(packed, m + 1, F.lit(extract.ALL)), begins(*MANAGER_ENDS)))
+    person = F.regexp_replace(F.array_join(F.concat(F.array(at(lines, m)), rest), " "), BEFORE_MANAGER, "")
+    manager = F.coalesce(liquidator, F.when(m > 0, text.clean_value(F.regexp_replace(person, MISTER, ""))))
+    f = first_where(packed, lambda c: c.contains(FILED))
     tail = F.array_join(F.slice(lines, F.greatest(f, F.lit(1)), F.lit(extract.ALL)), " ")
     tail_bent = text.ocr_fold(tail)
-    court = F.split(F.regexp_replace(tail, r"\A.*?تم\s+الإيداع\s+القانوني\s*", ""), rf"بتاريخ|{ASCII_EDGE}\d{{1,2}}[./-]\d{{1,2}}[./-]20\d{{2}}{ASCII_EDGE}")[0]
-    before, behind = F.regexp_extract(tail_bent, r"(?<![./\d])(\d{1,9})\s+تحت\s*رقم", 1), F.regexp_extract(tail_bent, r"تحت\s*رقم\s*(\d{1,9}(?:[./-]\d{1,9})*)", 1)
+    court = F.split(F.regexp_replace(tail, BEFORE_COURT, ""), COURT_END)[0]
+    before, behind = (F.regexp_extract(tail_bent, p, 1) for p in FILING_NUMBERS)
     filing_date = F.when(f > 0, F.try_element_at(dates_of(tail), F.lit(1)))
     dated = F.array_sort(F.array_distinct(F.concat(dates_of(F.coalesce(embedded, F.lit(""))), dates_of(whole))))
-    k = first_where(packed, begins("راسالمال"))
-    amount = F.regexp_replace(F.regexp_extract(F.array_join(F.slice(lines, F.greatest(k, F.lit(1)), F.lit(4)), " "), r"(\d[\d., ]{1,18})\s*درهم", 1), r"\D", "")
+    k = first_where(packed, begins(CAPITAL_LABEL))
+    amount = F.regexp_replace(F.regexp_extract(F.array_join(F.slice(lines, F.greatest(k, F.lit(1)), F.lit(4)), " "), CAPITAL, 1), r"\D", "")
     return {
         "name": name, "legal_form": form, "commercial_register_number": F.coalesce(register(first), register(lines)),
-        "registered_address": without(address, r"\A(?:وعنوان\s+)?مقرها\s+الاجتماعي\s*:?\s*|\Aعنوان\s+المقر\s+الاجتماعي\s*:?\s*|\Aالموقع\s*:?\s*|\Asi[eè]ge\s+social\s*:?\s*"),
+        "registered_address": without(address, BEFORE_ADDRESS),
         "primary_type": kind, "decision_date": F.try_element_at(F.filter(dated, lambda d: ~d.eqNullSafe(filing_date)), F.lit(1)),
-        "business_purpose": without(purpose, r"\A(?:الهدف|اليدف|غرض\s+الشركة(?:\s+بإيجاز)?|objet\s+social)\s*:?\s*"),
+        "business_purpose": without(purpose, BEFORE_PURPOSE),
         "capital_mad": F.when(k > 0, F.nullif(amount, F.lit("")).try_cast("bigint")),
-        "branch_address": without(branch, r"\A.*?(?:الكائن|الكاين|الكاثن)\s+بالعنوان\s+التالي\s*:?\s*|\Aعنوان\s+الفرع\s*:?\s*"),
+        "branch_address": without(branch, BEFORE_BRANCH),
         "manager_or_liquidator": manager, "court": F.when(f > 0, text.clean_value(court)), "filing_date": filing_date,
         "filing_number": F.when(f > 0, F.coalesce(F.nullif(before, F.lit("")), F.nullif(behind, F.lit("")))),
     }
