@@ -18,14 +18,14 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("text").option("wholetext", "true").load(path).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
 
 
-def segments(pages: DataFrame, idle_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
+def segments(pages: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Segments of a stream of pages(issue, page, body); pages count from 1.
 
     State per issue: the pending lines and their pages, the page that comes next, and pages that came
     before their turn, which wait for it. A line that is a whole reference ends the pending segment.
     An empty body ends the issue in its turn: what is pending goes out without a reference and the
-    state is removed. An issue that stays silent for `idle_ms` ends too, its early pages in order
-    first. A page that comes again, or after its turn, is left out.
+    state is removed. With `idle_ms`, an issue that stays silent for so long ends too, its early pages in
+    order first; the query then runs batches without data as well, to find such issues. A page that comes again, or after its turn, is left out.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -70,7 +70,8 @@ def segments(pages: DataFrame, idle_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame
             state.remove()
         else:
             state.update((lines, at, turn, list(early.items())))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["issue", "reference", "text", "pdf_pages"])
 
-    return pages.groupBy("issue").applyInPandasWithState(run, SEGMENT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return pages.groupBy("issue").applyInPandasWithState(run, SEGMENT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
