@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from noticeloom.llm import decontaminate, langid, minhash, packing, suffix_dedup
+from noticeloom.llm.common import shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written as Parquet and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="noticeloom-")
-    at = os.path.join(folder, f"pipeline-{uuid.uuid4().hex}")
+    """All stages over documents; each stage's result is written as Parquet and read again.
+
+    Null texts and texts without a letter go in the first stage. Of rows equal in id and text one stays;
+    rows that share an id but not a text are documents of their own; rows without an id all stay until
+    packing, which needs no id. Texts emptied by the third stage are packed as empty documents. Further
+    columns are carried to the last stage; an empty table gives an empty result.
+    """
+    at = os.path.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")

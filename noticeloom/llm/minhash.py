@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import BYTE_LOWER, U64, Powers, components, cut, mix, per_text, shingle_set, utf8
+from noticeloom.llm.common import BYTE_LOWER, U64, Powers, components, cut, mix, per_text, release, shingle_set, utf8
 
 BANDS, ROWS = 26, 5
 HASHES = BANDS * ROWS
@@ -75,6 +75,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 [b.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f1, f2)), pa.array(sig, pa.binary())],
                 ["doc_id", "n_shingles", "f1", "f2", "sig"],
             )
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
 
@@ -225,7 +226,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = cut(confirm(star, classes, docs, words, percent))
     found = components(links)
     rest = bucket_rest(members, classes, found, docs, words, percent)
-    found = components(links.union(rest).union(copies))
+    stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    found = components(stars.union(rest).union(copies))
     out = base.select("doc_id", "n_shingles").join(found, base.doc_id == found.id, "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -242,5 +244,7 @@ def first_of_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     groups = groups.select(F.col("doc_id").alias("_key"), "component_id").distinct()
     named = groups.join(own.select("_key", "doc_id").distinct(), "_key")
     kept = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first")).select("first._key")
-    whole = own.join(kept, "_key", "left_semi").dropDuplicates(["_key"])
-    return whole.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    # rows equal in id and text: the first by a hash of all their columns, so that a task run again agrees
+    rows = own.select("_key", F.struct(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).alias("one"))
+    whole = rows.join(kept, "_key", "left_semi").groupBy("_key").agg(F.min_by("one.row", "one._h").alias("row"))
+    return whole.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))

@@ -9,13 +9,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import cut, ranked
+from noticeloom.llm.common import cut, ranked, release
 
 CAPACITY = 4096
 END = 2
 UNIT = 16
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 800_000
+CACHE = 400_000
 SHORT = 48
 NEAR = 5e-4
 
@@ -137,6 +137,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
                 take = pa.array(row, pa.int64())
                 got = [part.column(0).take(take), part.column(1).take(take), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
                 yield pa.RecordBatch.from_arrays([*got, pa.array(ids, pa.binary())] if with_ids else got, [*columns, "ids"] if with_ids else columns)
+        release()
 
     schema = ", ".join(f"{c} long" for c in columns) + (", ids binary" if with_ids else "")
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_hash"), "text")
