@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from noticeloom.llm.common import components, cut
@@ -17,7 +17,7 @@ APART = 0.75
 DEGREE = 24
 ALPHA = 1.2
 BEAMS = (64, 160)
-SAMPLE = 20_000
+SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
 AUDIT = 400
 RECALL = 0.95
 MAX_CENTROIDS = 8192
@@ -215,12 +215,28 @@ def vectors_of(column) -> np.ndarray:
     return unit(flat.astype(np.float64).reshape(len(column), -1))
 
 
+def sampled(reps: DataFrame) -> list[Row]:
+    """label and vec of at most SAMPLE vectors (smallest hashes), and of SAMPLE_BYTES at most, sent as
+    packed single-precision numbers."""
+    longest = reps.agg(F.max(F.size("vec"))).first()[0] or 1
+    some = reps.select("label", "vec", F.xxhash64("k").alias("h")).orderBy("h").limit(max(256, min(SAMPLE, SAMPLE_BYTES // (4 * longest))))
+
+    def pack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            vec = b.column(1)
+            ends, flat = vec.offsets.to_numpy(), vec.values.to_numpy(zero_copy_only=False).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([flat[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["label", "vec"])
+
+    return [Row(label=r.label, vec=np.frombuffer(r.vec, np.float32)) for r in some.select("label", "vec").mapInArrow(pack, "label int, vec binary").collect()]
+
+
 def links(reps: DataFrame, beam: int | None) -> tuple[DataFrame, DataFrame]:
     """(k, links, others) and (a, b) of distinct vectors reps(k, id, weight, label, vec): links counts rows,
     others distinct vectors. Without a beam the parts are compared whole, and no link is missed."""
     total = reps.count()
-    got = reps.select("label", "vec", F.xxhash64("k").alias("h")).orderBy("h").limit(SAMPLE).collect()
-    means = centroids(got, total)
+    means = reps.sparkSession.sparkContext.broadcast(centroids(sampled(reps), total))  # MAX_CENTROIDS vectors at most
 
     def assign(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -230,7 +246,7 @@ def links(reps: DataFrame, beam: int | None) -> tuple[DataFrame, DataFrame]:
             size = np.diff(vec.offsets.to_numpy())
             home, own = np.zeros(b.num_rows, np.int32), [[0]] * b.num_rows
             for key in set(zip(label, size.tolist(), strict=True)):
-                c = means.get(key)
+                c = means.value.get(key)
                 if c is None:
                     continue
                 at = np.flatnonzero([x == key for x in zip(label, size.tolist(), strict=True)])

@@ -125,6 +125,52 @@ def test_recall_counts_each_kind_and_vector():
     assert embedding_dedup.recall_of([(500, 1000, 1.0), (1, 1, 9.0)]) < 0.6
 
 
+def test_embeddings_of_odd_rows_and_columns(spark, monkeypatch):
+    """Null ids link with nothing; columns that clash with the operator's own don't disturb it."""
+    monkeypatch.setattr(embedding_dedup, "SAMPLE_BYTES", 1)
+    rows = [(k, [1.0, k * 0.001, 0.0], 0, 5, "x", 1.0) for k in range(6)] + [(None, [1.0, 0.0, 0.0], 0, 5, "x", 1.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, k int, n_links string, links double")
+    got = embedding_dedup.near_duplicates(df).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None) == [(k, 5, 0, k == 0) for k in range(6)]
+    assert [(r.n_links, r.component_id) for r in got if r.vec_id is None] == [(0, None)]
+
+
+def plain_tiling(doc, item, least=5):
+    """Words of item covered by greedy string tiling, every start tried at every step."""
+    free_d, free_i, out = [True] * len(doc), [True] * len(item), 0
+    least = max(1, min(least, len(item)))
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and free_i[i + n] and free_d[j + n] and item[i + n] == doc[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return out
+        out += n
+        free_i[i : i + n] = free_d[j : j + n] = [False] * n
+
+
+def test_decontamination_equals_plain_tiling(spark):
+    """Many short documents and items of few words, so that seeds are shared by most of them."""
+    rng = np.random.default_rng(12)
+    line = "this very common line of words stands nearly everywhere"
+    word = lambda: f"w{rng.integers(12)}"
+    docs = [(k, " ".join([line] * int(rng.integers(0, 2)) + [word() for _ in range(int(rng.integers(0, 60)))])) for k in range(60)]
+    items = [(k, " ".join([line] * int(rng.integers(0, 2)) + [word() for _ in range(int(rng.integers(1, 14)))])) for k in range(25)]
+    for k in range(10):  # passages of items, reordered
+        w = items[k][1].split()
+        docs.append((100 + k, " ".join([*w[len(w) // 2 :], word(), word(), *w[: len(w) // 2]])))
+    want = {(d, i) for d, t in docs for i, u in items if plain_tiling(t.split(), u.split()) >= 0.6 * len(u.split())}
+    assert 20 < len(want) < len(docs) * len(items) / 2
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 def test_few_clusters_where_vectors_have_structure(monkeypatch):
     monkeypatch.setattr(embedding_dedup, "CAPACITY", 64)
     monkeypatch.setattr(embedding_dedup, "TARGET", 8)
