@@ -66,25 +66,13 @@ def release() -> None:
         trim(0)
 
 
-HUBS = 512
-
-
-def beside(rows: DataFrame, low: DataFrame, bound: int) -> DataFrame:
-    """rows(u, v) with the m of their u in low(u, m, n). Vertices with more than `bound` of the rows are
-    broadcast, 2 * HUBS at most, so that no hub's rows meet in one task; the others join by shuffle."""
-    hubs = F.broadcast(low.where(F.col("n") > bound).select(F.col("u").alias("h"), F.col("m").alias("hm")))
-    marked = rows.join(hubs, rows.u == hubs.h, "left")
-    rest = marked.where("h IS NULL").select("u", "v").join(low.select("u", "m"), "u").select("v", "m")
-    return rest.union(marked.where("h IS NOT NULL").select("v", F.col("hm").alias("m")))
-
-
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(id, component): smallest id reachable over edges (a, b), for every id that has an edge.
 
     Alternates large-star and small-star steps; each step keeps at most one edge per input edge,
-    aggregates with map-side combine, sends the rows of hubs no further than they are (see beside)
-    and is checkpointed, so neither a long chain nor one hub with millions of neighbours lands in a
-    task or at the driver. Raises if `limit` rounds don't settle.
+    aggregates with map-side combine and is checkpointed, so no long chain lands in a task and nothing
+    at the driver. The rows of one hub meet in one task of the joins, two numbers a row. Raises if
+    `limit` rounds don't settle.
     """
     cur = cut(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -92,14 +80,16 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     )
     sign = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     for _ in range(limit):
-        bound = max(HUBS, sign[0] // HUBS)
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
-        large = beside(both.where("v > u"), low, bound).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: link each vertex's smaller neighbours to the smallest one
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = beside(large, least, bound).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        cur = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = (
+            large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+            .union(least.select("u", F.col("m").alias("v"))).distinct()
+        )
+        cur = cut(small)
         now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == sign:
             break
