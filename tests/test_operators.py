@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,7 @@ def test_streamed_pages_wait_for_their_turn(spark, tmp_path):
     """A page that comes early waits; a page that comes again is left out; an ended issue can start anew."""
     for k, rows in enumerate([[("i", 3, "c\n9 Z"), ("i", 1, "a")], [("i", 2, "b"), ("i", 1, "again")], [("i", 4, "")], [("i", 1, "new\n1 A")]]):
         (tmp_path / f"p{k}.json").write_text("\n".join(json.dumps({"issue": i, "page": p, "body": b}) for i, p, b in rows))
+        os.utime(tmp_path / f"p{k}.json", (1_700_000_000 + 60 * k,) * 2)  # files come in order of their times
     stream = spark.readStream.schema("issue string, page int, body string").option("maxFilesPerTrigger", 1).json(str(tmp_path))
     q = issues.segments(stream).writeStream.format("memory").queryName("turns").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
     q.processAllAvailable()
