@@ -58,7 +58,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     )
     pack = rules.pack("py")
     segments = issues.text_segments(wanted, known, a.include_incomplete, pack).cache()
-    parsed = notices.parse(segments.join(known, "issue"), pack, not a.without_raw_text)
+    # kept as it is: a filter on the confidence would be pushed below all that the confidence is made of
+    parsed = notices.parse(segments.join(known, "issue"), pack, not a.without_raw_text).cache()
     out = kept(parsed, a.min_confidence, a.city).orderBy("segment").drop("issue", "segment").cache()
     n, examined = out.count(), segments.count()
     path = a.output or a.pages.with_suffix(f".notices.{a.format}")
