@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeloom.llm import chat, decontaminate, embedding_dedup, langid, minhash, packing, quality, sharding, suffix_dedup, url_filter
+from noticeloom.llm import chat, decontaminate, embedding_dedup, langid, leaderboard, minhash, mixing, packing, quality, search, sharding, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +54,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaderboard.changes(*[table(spark, sf_dir, t) for t in ("sale_lines", "items", "vendors")])
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": chat.SQL}
+    return {"op8_chat": chat.SQL, "op11_mixing": mixing.SQL, "op12_leaderboard": leaderboard.SQL, "op13_search": search.SQL}
