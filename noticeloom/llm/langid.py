@@ -93,19 +93,21 @@ def fit_packed(packed: np.ndarray, labels: np.ndarray, landmarks: int = 160, rid
     return Model(names, marks.T @ (whiten @ beta).astype(np.float32), (my - mz @ beta).astype(np.float32))
 
 
-def fit(docs: DataFrame, sample: int = 1600) -> Model | None:
+def fit(docs: DataFrame, sample: int = 1600, most: int | None = None) -> Model | None:
     """Fit on at most `sample` rows of docs(doc_id, text, lang) outside the held-out fold.
 
-    Each of the labels gets an equal part of the sample: its rows with the smallest md5(doc_id). Of more
-    than 64 labels the commonest 64 (then by name) are learned. Executors send packed presence bits
-    (4 KB a row, whatever the length of the text). None without labelled rows.
+    Each of the labels gets an equal part of the sample, one row at least: its rows with the smallest
+    md5(doc_id), or of the text where the id is null. With `most`, only so many labels are learned, the
+    commonest first, then by name. Executors send packed presence bits (4 KB a row, whatever the length
+    of the text). None without labelled rows.
     """
     rows = (
         docs.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
         .where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLD, F.lit(0)) != 1)
-        .select("text", "lang", F.md5(F.col("doc_id").cast("string")).alias("h"))
+        .select("text", "lang", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))).alias("h"))
     )
-    known = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(64).collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang")
+    known = (counts.limit(most) if most else counts).collect()
     if not known:
         return None
     part = max(1, sample // len(known))
@@ -124,6 +126,8 @@ def fit(docs: DataFrame, sample: int = 1600) -> Model | None:
 
     first = Window.partitionBy("lang").orderBy("h", "bits")
     got = picked.mapInArrow(bits, "lang string, h string, bits binary").withColumn("k", F.row_number().over(first)).where(F.col("k") <= part).orderBy("h", "lang", "bits").collect()
+    if not got:
+        return None
     return fit_packed(np.array([np.frombuffer(r.bits, np.uint8) for r in got]), np.array([r.lang for r in got], object))
 
 

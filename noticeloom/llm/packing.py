@@ -14,6 +14,10 @@ from noticeloom.llm.common import cut, ranked, release
 CAPACITY = 4096
 END = 2
 UNIT = 16
+#: Lengths up to 64 are classes of their own, up to 128 they go by 2, up to 256 by 4, beyond by 16; pieces
+#: of classes up to EXACT go into patterns by bundles of one class.
+FINE, EXACT = 64, 256
+BUNDLES = (1, 2, 4, 8, 16)
 TOKENIZER = "word_bpe_49k.json"
 CACHE = 400_000
 SHORT = 48
@@ -144,48 +148,63 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
     return keyed.mapInArrow(run, schema)
 
 
-def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """Best pattern by dynamic programming over the room: any number of each item."""
+def bundles(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a pattern is made of: (class, pieces, units) of single pieces and, for lengths up to EXACT,
+    of bundles, whose rounding up to whole units is shared: 16 pieces waste nothing."""
+    row, count = (x.ravel() for x in np.meshgrid(np.arange(len(sizes)), BUNDLES, indexing="ij"))
+    keep = (sizes[row] <= EXACT) | (count == 1)
+    row, count = row[keep], count[keep]
+    return row, count, -(-count * sizes[row] // UNIT)
+
+
+def knapsack(values: np.ndarray, units: np.ndarray, room: int) -> tuple[float, np.ndarray]:
+    """Best choice by dynamic programming over the room: how often to take each bundle. Of bundles of
+    equal units only the most valuable counts."""
     best, pick = np.zeros(room + 1), np.full(room + 1, -1)
+    order = np.lexsort((-values, units))
+    order = order[np.diff(units[order], prepend=0) > 0]
+    ends = np.searchsorted(units[order], np.arange(room + 1), "right")
     for c in range(1, room + 1):
-        fit = sizes <= c
+        fit = order[: ends[c]]
         best[c], pick[c] = best[c - 1], -1
-        if fit.any():
-            v = np.where(fit, best[np.maximum(c - sizes, 0)] + values, -1.0)
+        if len(fit):
+            v = best[c - units[fit]] + values[fit]
             k = int(v.argmax())
             if v[k] > best[c] + 1e-12:
-                best[c], pick[c] = v[k], k
-    pattern, c = np.zeros(len(sizes), np.int64), room
+                best[c], pick[c] = v[k], fit[k]
+    pattern, c = np.zeros(len(units), np.int64), room
     while c > 0:
         k = pick[c]
         if k < 0:
             c -= 1
         else:
             pattern[k] += 1
-            c -= sizes[k]
+            c -= units[k]
     return float(best[room]), pattern
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
-    """Patterns and how often to cut each so that `demand[i]` items of `sizes[i]` all fit.
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
+    """Patterns and how often to cut each so that `demand[i]` pieces of at most `sizes[i]` tokens all fit.
 
     Revised simplex on the cutting-stock program; each entering column is the knapsack pattern of
     least reduced cost (or a surplus column where a price is negative). Stops within NEAR of the optimum or after
     `rounds`; any basis is feasible. Amounts are rounded down, and what is left over is packed
     largest first, so the surplus over the program is at most about one sequence a size.
     """
-    m = len(sizes)
-    columns = [np.where(np.arange(m) == i, room // sizes[i], 0) for i in range(m)]
+    m, room = len(sizes), capacity // UNIT
+    row, count, units = bundles(sizes)
+    columns = [np.where(np.arange(m) == i, capacity // sizes[i], 0) for i in range(m)]
     cost = np.ones(m)
-    inverse = np.diag(1.0 / (room // sizes))
-    x = demand / (room // sizes)
+    inverse = np.diag(1.0 / (capacity // sizes))
+    x = demand / (capacity // sizes)
     for step in range(rounds):
         price = cost @ inverse
         low = int(price.argmin())
         if price[low] < -1e-9:
             enter, c = -1 * (np.arange(m) == low), 0.0
         else:
-            value, enter = knapsack(np.maximum(price, 0), sizes, room)
+            value, taken = knapsack(np.maximum(price, 0)[row] * count, units, room)
+            enter = np.bincount(row, taken * count, m).astype(np.int64)
             c = 1.0
             if value <= 1 + 1e-7 or x @ cost * (1 - NEAR) <= price @ demand / value:
                 break  # optimal, or within NEAR of the lower bound that scaled prices give
@@ -197,9 +216,10 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds:
         x = np.maximum(x - ratio[r] * u, 0)
         x[r] = ratio[r]
         columns[r], cost[r] = enter, c
-        inverse[r] /= u[r]
-        others = np.arange(m) != r
-        inverse[others] -= np.outer(u[others], inverse[r])
+        own = inverse[r] / u[r]
+        u[r] = 0
+        inverse -= np.outer(u, own)
+        inverse[r] = own
         if step % 100 == 99:
             inverse = np.linalg.inv(np.array(columns, float).T)
             x = np.maximum(inverse @ demand, 0)
@@ -214,7 +234,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds:
                 left -= often * a
     order = np.argsort(-sizes)
     while left.sum():
-        a, free = np.zeros(m, np.int64), room
+        a, free = np.zeros(m, np.int64), capacity
         for i in order:
             k = min(left[i], free // sizes[i])
             a[i] += k
@@ -236,16 +256,16 @@ class Plan:
 
 
 def plan(histogram: dict[int, int], capacity: int) -> Plan:
-    room = capacity // UNIT
+    """The plan for so many pieces of each class: a class is the most tokens of its pieces."""
     classes = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[c] for c in classes.tolist()], np.int64)
     upto, base, each = ({int(c): [] for c in classes} for _ in range(3))
     done = dict.fromkeys(classes.tolist(), 0)
     sequence = 0
-    inner = classes < room
+    inner = classes < capacity
     patterns = [([(int(c), 1)], int(n)) for c, n in zip(classes[~inner], demand[~inner], strict=True)]
     if inner.any():
-        for a, often in column_generation(classes[inner], demand[inner].astype(float), room):
+        for a, often in column_generation(classes[inner], demand[inner].astype(float), capacity):
             patterns.append(([(int(classes[inner][i]), int(a[i])) for i in np.flatnonzero(a)], often))
     for parts, often in patterns:
         for c, k in parts:
@@ -260,13 +280,15 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to pieces (doc_id, doc_hash, start, length <= capacity, ...).
 
-    Lengths are classed by 16 tokens, so the histogram and the linear program have at most
-    capacity / 16 lines whatever the number of documents. Pieces are ranked within their class (by a
+    Lengths are classed the finer the shorter they are (see FINE), so the histogram and the linear program
+    have at most 128 + capacity / 16 lines whatever the number of documents. Pieces are ranked within their class (by a
     hash; classes are ranked in parts, so one frequent length is no single task), and a piece's rank
     decides its pattern, sequence and place. Offsets follow from the true lengths, without gaps. A
     sequence holds at most `capacity` tokens. No rows: no sequences.
     """
-    rows = cut(rows).withColumn("_class", F.ceil(F.col("length") / UNIT).cast("int"))
+    n, upto = F.col("length"), lambda step: F.ceil(F.col("length") / step) * step
+    most = F.when(n <= FINE, n).when(n <= 2 * FINE, upto(2)).when(n <= EXACT, upto(4)).otherwise(upto(UNIT))
+    rows = cut(rows).withColumn("_class", most.cast("int"))
     got = {r[0]: r[1] for r in rows.groupBy("_class").count().collect()}
     todo = plan(got, capacity)
     shuffled = F.xxhash64("doc_id", "doc_hash", "start")

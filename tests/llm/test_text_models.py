@@ -95,6 +95,15 @@ def test_each_language_has_its_part_of_the_sample(spark):
     assert got == 0
 
 
+def test_labels_without_ids_and_of_any_number_are_learned(spark):
+    names = [f"l{k:02}" for k in range(70)]
+    rows = [(None, f"{chr(97 + k // 26) * 3}{chr(97 + k % 26) * 4} {chr(97 + k % 26) * 3}{j}", n) for k, n in enumerate(names) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.labels == names and len(langid.fit(df, most=5).labels) == 5
+    assert {r.lang_pred for r in langid.identify(df).collect()} <= set(names) and langid.recognised(df).count() == len(rows)
+
+
 def test_quality_scores_and_edge_cases(spark, docs, no_docs, rows):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(20)] + [(None, 1, 0), (3, None, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.score(docs, labels).collect()
@@ -175,14 +184,36 @@ def first_fit(sizes, demand, room):
 
 def test_column_generation_meets_demand_and_beats_first_fit():
     rng = np.random.default_rng(2)
-    for least in (1, 12):
-        sizes = np.arange(least, 41)
+    for least in (17, 20):
+        sizes = np.arange(least, 57)
         demand = rng.integers(1, 60, len(sizes)).astype(float)
-        got = packing.column_generation(sizes, demand, 64)
+        got = packing.column_generation(sizes * 16, demand, 64 * 16)
         assert (sum(a * n for a, n in got) == demand).all() and all(a @ sizes <= 64 for a, _ in got)
         assert sum(n for _, n in got) <= first_fit(sizes, demand, 64) + 3
 
 
+@pytest.mark.parametrize(("least", "most"), [(1, 1), (17, 17), (19, 19), (129, 129), (1, 60), (1, 400)])
+def test_short_pieces_leave_little_room(least, most):
+    lengths = np.random.default_rng(3).integers(least, most + 1, 20_000)
+    step = np.select([lengths <= 64, lengths <= 128, lengths <= 256], [1, 2, 4], 16)
+    classes, counts = np.unique(-(-lengths // step) * step, return_counts=True)
+    plan = packing.plan(dict(zip(classes.tolist(), counts.tolist(), strict=True)), packing.CAPACITY)
+    used = np.zeros(20_000, np.int64)
+    for c, n in zip(classes.tolist(), counts.tolist(), strict=True):
+        rank = np.arange(n)
+        j = np.searchsorted(plan.upto[c], rank, "right")
+        before = np.where(j > 0, plan.upto[c][np.maximum(j - 1, 0)], 0)
+        np.add.at(used, plan.base[c][j] + (rank - before) // plan.each[c][j], c)
+    used = used[: np.flatnonzero(used).max() + 1]
+    assert used.all() and used.max() <= packing.CAPACITY and lengths.sum() / packing.CAPACITY / len(used) > 0.95
+
+
+def test_many_short_texts_share_sequences(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("")).alias("text"))
+    got = packing.pack(packing.pieces(df)).collect()
+    assert {r.sequence_id for r in got} == {0} and sorted(r.offset for r in got) == list(range(3000))
+
+
 def test_odd_texts_encode_alike():
     from tokenizers import Tokenizer
 
