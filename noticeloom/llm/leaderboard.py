@@ -25,7 +25,7 @@ HELD = 200_000
 
 LINE = "nation_id int, item_id long, day long, arrival_day long, cents long"
 SUM = "nation_id int, shard int, arrival_day long, item_id long, cents long"
-LOCAL = "nation_id int, arrival_day long, item_id long, cents long, listed boolean"
+LISTED = "nation_id int, arrival_day long, item_id long, cents long, listed boolean"
 CHANGE = "nation_id int, arrival_day long, item_id long, change string, old_rank int, new_rank int, revenue long"
 
 
@@ -91,6 +91,20 @@ def best(ids: np.ndarray, cents: np.ndarray, top: int = TOP) -> np.ndarray:
     return at[np.lexsort((ids[at], -cents[at]))][:top]
 
 
+def gathered(rows: Iterator[pd.DataFrame], *columns: str) -> list[np.ndarray]:
+    """Columns of a key's rows, in order of arrival day."""
+    frames = list(rows)
+    out = [np.concatenate([f[c].to_numpy() for f in frames]) for c in columns]
+    order = np.argsort(out[0], kind="stable")
+    return [x[order] for x in out]
+
+
+def runs(days: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of equal days."""
+    edge = np.flatnonzero(np.diff(days, prepend=days[0] - 1, append=days[-1] + 1)).tolist()
+    return zip(edge[:-1], edge[1:], strict=True)
+
+
 def packed(*arrays: np.ndarray) -> tuple[bytes, ...]:
     return tuple(x.astype(np.int64).tobytes() for x in arrays)
 
@@ -111,25 +125,22 @@ class Shard(StatefulProcessor):
         self.sums = handle.getValueState("sums", "ids binary, cents binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).groupby(["arrival_day", "item_id"])["cents"].sum().reset_index()
-        days, items, added = (new[c].to_numpy() for c in ("arrival_day", "item_id", "cents"))
+        days, items, added = gathered(rows, "arrival_day", "item_id", "cents")
         ids, sums = unpacked(self.sums) or (np.zeros(0, np.int64),) * 2
         every = np.union1d(ids, items)
         total = np.zeros(len(every), np.int64)
         total[np.searchsorted(every, ids)] = sums
-        at, listed = np.searchsorted(every, items), best(every, total)
-        out, edge = [], np.flatnonzero(np.diff(days, prepend=days[0] - 1, append=days[-1] + 1))
-        for i, j in zip(edge[:-1], edge[1:], strict=True):
-            touched = at[i:j]
-            total[touched] += added[i:j]
-            now = best(every, total)
-            told = np.union1d(np.setxor1d(listed, now), np.intersect1d(now, touched[added[i:j] != 0]))
-            if len(told):
-                out.append(pd.DataFrame({"nation_id": np.int32(key[0]), "arrival_day": days[i], "item_id": every[told], "cents": total[told], "listed": np.isin(told, now)}))
+        at, listed, out = np.searchsorted(every, items), best(every, total).tolist(), []
+        for i, j in runs(days):
+            np.add.at(total, at[i:j], added[i:j])
+            now = best(every, total).tolist()
+            told = set(listed).symmetric_difference(now) | set(now).intersection(at[i:j].tolist())
+            out += [(days[i], x, total[x], x in now) for x in sorted(told)]
             listed = now
         self.sums.update(packed(every, total))
         if out:
-            yield pd.concat(out)
+            day, which, cents, on = (np.array(x) for x in zip(*out, strict=True))
+            yield pd.DataFrame({"nation_id": np.full(len(out), key[0], np.int32), "arrival_day": day, "item_id": every[which], "cents": cents, "listed": on})
 
     def close(self) -> None:
         pass
@@ -146,16 +157,14 @@ class Merger(StatefulProcessor):
         self.lists = handle.getValueState("lists", "ids binary, cents binary, board binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["arrival_day", "item_id"])
-        days, items, value, listed = (new[c].to_numpy() for c in ("arrival_day", "item_id", "cents", "listed"))
+        days, items, value, listed = gathered(rows, "arrival_day", "item_id", "cents", "listed")
         ids, sums, board = unpacked(self.lists) or (np.zeros(0, np.int64),) * 3
         every = np.union1d(ids, items)
         total, inside = np.zeros(len(every), np.int64), np.zeros(len(every), bool)
         at, old = np.searchsorted(every, ids), np.searchsorted(every, board)
         total[at], inside[at] = sums, True
         at, out = np.searchsorted(every, items), []
-        edge = np.flatnonzero(np.diff(days, prepend=days[0] - 1, append=days[-1] + 1))
-        for i, j in zip(edge[:-1], edge[1:], strict=True):
+        for i, j in runs(days):
             total[at[i:j]], inside[at[i:j]] = value[i:j], listed[i:j]
             now = best(every, np.where(inside, total, 0))
             was, is_ = ({x: k + 1 for k, x in enumerate(b.tolist())} for b in (old, now))
@@ -179,7 +188,10 @@ STREAM = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",  # file systems keep checksums of their own
 }
+#: For folders of the file scheme: the default manager starts a process for each file that it renames there.
+LOCAL = {"spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"}
 
 
 def moved(spark: SparkSession, path: str, to: str) -> bool:
@@ -202,7 +214,7 @@ def feed(spark: SparkSession, at: str, earlier: int | None, shards: int) -> None
         lines = lines.where(F.col("day") + LATENESS >= earlier)
     keyed = lines.select("nation_id", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int").alias("shard"), "arrival_day", "item_id", "cents")
     sums = keyed.mapInArrow(combined, SUM)
-    local = sums.groupBy("nation_id", "shard").transformWithStateInPandas(Shard(), LOCAL, "append", "none")
+    local = sums.groupBy("nation_id", "shard").transformWithStateInPandas(Shard(), LISTED, "append", "none")
     boards = local.groupBy("nation_id").transformWithStateInPandas(Merger(), CHANGE, "append", "none")
     query = boards.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/changes").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -230,9 +242,10 @@ def changes(lines: DataFrame, items: DataFrame, vendors: DataFrame, batches: int
     dated = timed(lines, batches)
     latest = dict(dated.groupBy("batch").agg(F.max("day")).collect())  # a row a batch
     priced(dated, items, vendors).write.partitionBy("batch").parquet(f"{at}/lines")
-    before, fed = {k: spark.conf.get(k, None) for k in STREAM}, False
+    settings, fed = STREAM | (LOCAL if at.startswith(("file:", "/")) else {}), False
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
-        for k, v in STREAM.items():
+        for k, v in settings.items():
             spark.conf.set(k, v)
         for k in sorted(latest):
             if moved(spark, f"{at}/lines/batch={k}", f"{at}/fed/{k}"):
