@@ -82,6 +82,22 @@ def ocr_summary(spark, sf_dir):
     return d.select("issue", "records", "segments_examined", "document_pages", "table_pages", "unstructured_table_pages", "inferred_notice_references", "records_without_notice_reference", "records_needing_review")
 
 
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 2 THEN 'the file is no JSON' WHEN 3 THEN 'the file holds no OCR pages' END AS error, CASE o_orderkey % 5 WHEN 0 THEN 4 WHEN 1 THEN 1 WHEN 4 THEN 2 ELSE 0 END AS pages,
+  CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 4 THEN 3 ELSE 0 END AS blocks, CASE WHEN o_orderkey % 5 IN (0, 1, 4) THEN CAST(o_orderkey AS VARCHAR) END AS said, CASE WHEN o_orderkey % 5 IN (0, 4) THEN 7::DOUBLE END AS "left" FROM orders""")
+def ocr_odd_files(spark, sf_dir):
+    """Pages and blocks of odd kinds beside good ones, broken files and files without pages: what is read
+    of each file, and the table of errors."""
+    key = F.col("o_orderkey").cast("string")
+    good = F.concat(F.lit('{"prunedResult":{"parsing_res_list":[{"block_label":"text","block_content":"'), key, F.lit('","block_bbox":["7",0,9.5,4]}]}}'))
+    files = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("["), good, F.lit(',"junk",null,5]'))).when(F.col("o_orderkey") % 5 == 1, F.concat(F.lit('{"pages":7,"results":[{"prunedResult":{"parsing_res_list":[{"block_content":"'), key, F.lit('","block_bbox":["a",0,1,2]}]}}]}')))
+                                                  .when(F.col("o_orderkey") % 5 == 2, F.concat(F.lit("{"), key)).when(F.col("o_orderkey") % 5 == 3, F.lit('[{},"x"]')).otherwise(F.concat(F.lit('{"data":[[1],{"prunedResult":{"parsing_res_list":[null,8,{"block_content":"'), key, F.lit('","block_bbox":[7,1,8,9],"block_label":3}]}}]}'))).alias("value"))
+    pages = scans.ocr_pages(files)
+    blocks = F.coalesce("payload.prunedResult.parsing_res_list", F.array())
+    said = F.filter(blocks, lambda b: b["block_content"].isNotNull())
+    per = pages.groupBy("o_orderkey").agg(F.count(F.lit(1)).cast("int").alias("pages"), F.sum(F.size(blocks)).cast("int").alias("blocks"), F.max(F.get(said, F.lit(0))["block_content"]).alias("said"), F.max(F.get(F.get(said, F.lit(0))["block_bbox"], F.lit(0))).alias("left"))
+    return files.select("o_orderkey").join(scans.ocr_errors(files), "o_orderkey", "left").join(per, "o_orderkey", "left").select("o_orderkey", "error", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("blocks", F.lit(0)).alias("blocks"), "said", "left")
+
+
 def pdf_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(files, items): a page number above the body, a bold name in two items, lines of a notice that goes
     on in the next column, and a marker."""

@@ -75,8 +75,9 @@ def export_name(issue: str | None, city: str | None, extension: str) -> str:
 
 
 def latest(store: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """The newest row per key of an append-only store."""
-    w = Window.partitionBy(*keys).orderBy(F.col(at).desc())
+    """The newest row per key of an append-only store; of rows of one time the one whose content hashes
+    lowest, so that every read gives the same."""
+    w = Window.partitionBy(*keys).orderBy(F.col(at).desc(), F.xxhash64(F.to_json(F.struct("*"))))
     return store.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 

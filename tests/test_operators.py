@@ -8,7 +8,6 @@ from noticeloom.functions import second_reading, text
 from noticeloom.operators import html_table, layout, records, segment
 from noticeloom.plans import catalogue, issue_queries, notices, record_queries  # noqa: F401
 from noticeloom.sources import scans, sinks
-from noticeloom.streaming import issues
 
 
 def test_segments_carry_over_pages_and_drop_the_open_end(spark):
@@ -84,8 +83,11 @@ def test_ocr_payload_to_blocks(spark):
         dims = layout.dimensions(pages.select("issue", F.explode("payload.prunedResult.parsing_res_list.block_bbox").alias("bbox")))
         got = scans.ocr_blocks(pages, dims).orderBy("page", F.col("column").desc(), "top").collect()
         assert [(r.page, r.column, r.text, r.is_title) for r in got] == [(1, 3, "RIGHT", True), (1, 0, "left", False), (2, 3, "only", False)]
+    odd = spark.createDataFrame([("i", "[{}]"), ("j", json.dumps([page, "junk", None])), ("k", "{")], "issue string, value string")
+    assert [(r.issue, r.page) for r in scans.ocr_pages(odd).orderBy("page").collect()] == [("j", 1), ("j", 2), ("j", 3)]
+    assert {tuple(r) for r in scans.ocr_errors(odd).collect()} == {("i", "the file holds no OCR pages"), ("k", "the file is no JSON")}
     with pytest.raises(Exception, match="no OCR pages"):
-        scans.ocr_pages(spark.createDataFrame([("i", "[{}]")], "issue string, value string")).collect()
+        scans.ocr_pages(odd.where("issue = 'i'"), strict=True).collect()
 
 
 def test_lines_read_right_to_left(spark):
@@ -101,28 +103,6 @@ def test_html_entities_decode_twice(spark):
     assert r.t == "<bAB '\nx"
 
 
-def test_streamed_pages_become_segments(spark, tmp_path):
-    for k, body in enumerate(["a\nb", "c\n5 D\ne", "f\n6E", ""]):
-        (tmp_path / f"p{k}.json").write_text(json.dumps({"issue": "i", "page": k + 1, "body": body}))
-    stream = spark.readStream.schema("issue string, page int, body string").option("maxFilesPerTrigger", 4).json(str(tmp_path))
-    q = issues.segments(stream).writeStream.format("memory").queryName("segs").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert {(r.reference, r.text) for r in spark.sql("SELECT * FROM segs").collect()} == {("5D", "a\nb\nc"), ("6E", "e\nf")}
-
-
-def test_streamed_pages_wait_for_their_turn(spark, tmp_path):
-    """A page that comes early waits; a page that comes again is left out; an ended issue can start anew."""
-    for k, rows in enumerate([[("i", 3, "c\n9 Z"), ("i", 1, "a")], [("i", 2, "b"), ("i", 1, "again")], [("i", 4, "")], [("i", 1, "new\n1 A")]]):
-        (tmp_path / f"p{k}.json").write_text("\n".join(json.dumps({"issue": i, "page": p, "body": b}) for i, p, b in rows))
-        os.utime(tmp_path / f"p{k}.json", (1_700_000_000 + 60 * k,) * 2)  # files come in order of their times
-    stream = spark.readStream.schema("issue string, page int, body string").option("maxFilesPerTrigger", 1).json(str(tmp_path))
-    q = issues.segments(stream).writeStream.format("memory").queryName("turns").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted((r.reference, r.text, r.pdf_pages) for r in spark.sql("SELECT * FROM turns").collect()) == [("1A", "new", [1]), ("9Z", "a\nb\nc", [1, 2, 3])]
-
-
 def test_failing_records_stay_alone(spark):
     df = spark.createDataFrame([("a", 1), ("b", 0), ("c", 2)], "record_key string, n int")
     got = second_reading.queue(df, "record_key", ["n"], lambda r: {"value": 10 // r["n"]}, "struct<value:int>").orderBy("record_key").collect()
@@ -133,7 +113,7 @@ def test_command_line(spark, tmp_path, capsys):
     from noticeloom import cli
 
     pages = tmp_path / "BOAL_12.txt"
-    pages.write_text("4321 bulletin\nACME ONE\nSARL\nregistre de commerce 5555\nconstitution societe\nسطات\n1 A\nno event\n2 B\f4322\nBETA TWO\ndissolution de la societe\n")
+    pages.write_text("4321 bulletin\nACME ONE\nSARL\nconstitution societe\nسطات\nregistre de commerce 5555\n1 A\nno event\n2 B\f4322\nBETA TWO\ndissolution de la societe\n")
     assert cli.main([str(tmp_path / "none.txt")], spark) == 2 and cli.main([str(pages), "--min-confidence", "2"], spark) == 2
     assert cli.main([str(pages), "--include-incomplete"], spark) == 0
     out = json.loads((tmp_path / "BOAL_12.notices.json").read_text())
@@ -144,7 +124,10 @@ def test_command_line(spark, tmp_path, capsys):
     assert len(rows) == 2 and rows[0].startswith("company_name,legal_form,") and rows[0].endswith(",confidence,needs_review,review_reasons") and ",True," in rows[1]
     assert cli.main([str(pages), "--format", "jsonl", "--end-page", "1"], spark) == 0
     assert len((tmp_path / "BOAL_12.notices.jsonl").read_text().splitlines()) == 1
-    assert "extracted 1 records from 2 notice segments (1-1 of 2 pages)" in capsys.readouterr().out
+    assert "1 records of 2 segments, pages 1 to 1 of 2" in capsys.readouterr().out
+    (tmp_path / "scan.pdf").write_bytes(b"%PDF")
+    assert cli.main([str(tmp_path / "scan.pdf")], spark) == 2 and "scan.txt" in capsys.readouterr().err
+    assert cli.main([str(pages), "--start-page", "3"], spark) == 2 and cli.main([str(pages), "--start-page", "2", "--end-page", "1"], spark) == 2
 
 
 def test_service_routes(parsed):
