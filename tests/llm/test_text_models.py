@@ -25,6 +25,17 @@ def test_shards_match_the_mixture(docs, no_docs, rows):
     assert sharding.digest(no_docs).count() == 0
 
 
+def test_ranks_equal_sql(spark, docs):
+    duckdb = pytest.importorskip("duckdb")
+    con, own = duckdb.connect(), docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    con.register("documents", own.toArrow())
+    con.register("got", sharding.digest(own).select("doc_id", "size", "shard", "slot").toArrow())
+    want = """WITH r AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, md5('7|' || doc_id) AS h, row_number() OVER (PARTITION BY source ORDER BY md5('7|' || doc_id)) - 1 AS r, count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM documents),
+      p AS (SELECT *, row_number() OVER (ORDER BY (r + 0.5::DOUBLE) / n, h) - 1 AS pos FROM r), s AS (SELECT *, pos * 8 // total AS shard FROM p)
+      SELECT doc_id, size, shard::INTEGER AS shard, pos - (shard * total + 7) // 8 AS slot FROM s"""
+    assert con.sql(f"SELECT doc_id, size, shard, slot FROM got EXCEPT ({want})").fetchall() == [] and con.sql("SELECT count(*) FROM got").fetchall() == con.sql("SELECT count(*) FROM documents").fetchall()
+
+
 def lettered(text):
     return any(c.isalpha() for c in text or "")
 
