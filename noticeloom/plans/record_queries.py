@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions import second_reading
 from noticeloom.operators import inspect, records
+from noticeloom.plans import run_queue
 from noticeloom.plans.catalogue import query, table
 from noticeloom.plans.notices import REGIONS
 from noticeloom.sources import sinks
+from noticeloom.sources.store import Store, scratch
 
 TYPES = ["INCORPORATION", "DISSOLUTION", "SHARE_TRANSFER", "ODD_KIND_OF_EVENT"]
 #: One row per order, as SQL for both engines: the scalars that records are made of.
@@ -257,3 +259,45 @@ def exact_dates(spark, sf_dir):
     body = F.concat_ws(" x ", F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "dd/MM/yyyy"), F.date_format(day, "yyyy-MM-dd"))
     d = table(spark, sf_dir, "orders").select("o_orderkey", inspect.exact_tokens(body).alias("t"), said.alias("said"), inspect.exact_tokens(said).alias("u"))
     return d.select("o_orderkey", F.array_join("t.dates", "|").alias("dates"), F.concat(F.lit("RC "), F.array_join("u.numbers", " ")).alias("said"))
+
+
+# --- stored results -------------------------------------------------------------------------------
+
+
+@query("""SELECT concat('d', o_custkey % 20) AS document_key, CAST(o_orderkey AS VARCHAR) AS record_key, CASE WHEN o_orderkey % 3 = 0 THEN -1 WHEN o_orderkey % 5 = 0 THEN -2 ELSE o_custkey END AS value,
+  CASE WHEN o_orderkey % 3 = 0 THEN '2026-01-03' WHEN o_orderkey % 5 = 0 THEN '2026-01-02' ELSE '2026-01-01' END AS at FROM orders""")
+def stored_results(spark, sf_dir):
+    """Results of all orders written three times, the newest last but one, with a compaction between: what
+    the store gives back."""
+    results = Store(spark, scratch(spark, "store"), run_queue.schema("struct<value:bigint>"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("value"), F.concat(F.lit("d"), (F.col("o_custkey") % 20).cast("string")).alias("document_key"), F.col("o_orderkey").cast("string").alias("record_key"))
+
+    def put(rows, at):
+        results.put(rows.select("document_key", "record_key", F.lit(at).cast("timestamp").alias("processed_at"), F.lit(1).alias("attempt"), F.struct(F.col("value").cast("long").alias("value")).alias("ocr"), F.lit(None).cast("string").alias("error")))
+
+    put(orders, "2026-01-01")
+    put(orders.where("o_orderkey % 3 = 0").withColumn("value", F.lit(-1)), "2026-01-03")
+    results.compact()
+    put(orders.where("o_orderkey % 5 = 0").withColumn("value", F.lit(-2)), "2026-01-02")
+    return results.load().select("document_key", "record_key", F.col("ocr.value").alias("value"), F.date_format("processed_at", "yyyy-MM-dd").alias("at"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey * 2 WHEN c_custkey % 2 = 0 THEN c_custkey * 3 END AS value, CASE WHEN c_custkey % 14 = 7 THEN 'ValueError: odd' END AS error, CASE WHEN c_custkey % 7 = 0 THEN 2 ELSE 1 END AS attempt FROM customer""")
+def run_results(spark, sf_dir):
+    """Two runs over all customers, the second over what the first failed on: results, errors, attempts."""
+    results = Store(spark, scratch(spark, "runs"), run_queue.schema("struct<value:bigint>"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("document_key"), F.col("c_custkey").cast("string").alias("record_key"))
+
+    def first(r: dict) -> dict:
+        if r["c_custkey"] % 7 == 0:
+            raise ValueError("seven")
+        return {"value": r["c_custkey"] * 2}
+
+    def second(r: dict) -> dict:
+        if r["c_custkey"] % 2:
+            raise ValueError("odd")
+        return {"value": r["c_custkey"] * 3}
+
+    for recognise in (first, second):
+        run_queue.Run(results, "struct<value:bigint>", waves=2).go(rows, ["c_custkey"], recognise)
+    return run_queue.restored(rows, results).select("c_custkey", F.col("ocr.value").alias("value"), "error", "attempt")
