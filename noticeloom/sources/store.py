@@ -10,24 +10,19 @@ stops at whatever point.
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticeloom.sources.lineage import shared_folder
+
 KEYS = ("document_key", "record_key")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which the cluster shares; a local session without one gets
-    a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-        folder = tempfile.mkdtemp(prefix="noticeloom-")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    """The path of a new folder under the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 class Store:
