@@ -6,8 +6,9 @@ deployment passes a pack of its own.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from re import _parser as _regex
+from os.path import commonprefix
 
 DIALECTS = ("py", "js")
 
@@ -152,22 +153,44 @@ def java(pattern: str, dialect: str, flags: str = "is") -> str:
     return f"(?{flags}u)" + pattern.replace(r"\b", ASCII_EDGE)
 
 
+TOKEN = re.compile(r"\(\?:[^()\[\]\\.?*+{}]+\)(?![?*+{])|\\s\+|\\.|\[(?:\\.|[^\]])*\]|[()|]|\{\d*,?\d*\}|[?*+]|.", re.S)
+
+
 def needed(pattern: str) -> tuple[str, bool]:
     """The longest literal that every match of a pattern holds in folded text, where all white space is
-    single spaces, and whether the pattern is that literal and nothing else. ("", False): none known."""
-    runs, plain = [""], True
-    for op, arg in _regex.parse(pattern):
-        if op is _regex.LITERAL:
-            runs[-1] += chr(arg)
-        elif op is _regex.MAX_REPEAT and arg[0] == 1 and list(arg[2]) == [(_regex.IN, [(_regex.CATEGORY, _regex.CATEGORY_SPACE)])]:
+    single spaces, and whether the pattern is that literal and nothing else. ("", False): none known.
+
+    Only what stands outside groups, classes and alternatives counts, and how all words of a group of plain
+    words begin; a quantified letter does not count.
+    """
+    runs, plain, depth, letter = [""], True, 0, False
+    for token in TOKEN.findall(pattern):
+        if token.startswith("(?:") and not depth:
+            runs[-1] += commonprefix(token[3:-1].split("|"))
+        elif token.startswith("(?:"):
+            continue
+        elif token in "()":
+            depth += 1 if token == "(" else -1
+        elif depth:
+            continue
+        elif token == "|":
+            return "", False
+        elif token == r"\s+":
             runs[-1] += " "
-        elif op is not _regex.AT:
-            runs.append("")
-            plain = False
-        else:
-            plain = False
-    best = max(runs, key=len).lower()
-    return best, plain
+            letter = False
+            continue
+        elif token in (r"\b", "^", "$"):
+            plain = letter = False
+            continue
+        elif len(token) == 1 and token not in ".?*+" or len(token) == 2 and token[0] == "\\" and not token[1].isalnum():
+            runs[-1] += token[-1]
+            letter = True
+            continue
+        elif letter and token[0] in "?*+{":
+            runs[-1] = runs[-1][:-1]
+        runs.append("")
+        plain = letter = False
+    return max(runs, key=len).lower(), plain
 
 
 @dataclass(frozen=True)
