@@ -92,8 +92,11 @@ def settled(df: DataFrame, *names: str) -> DataFrame:
 
 
 def labels_of(rules_of: dict[str, list[str]], dialect: str, flags: str) -> Callable[[Column], Column]:
-    """The names of the rules that match a folded text, in order."""
-    return lambda f: F.array_compact(F.array(*[F.when(any_match(f, patterns, dialect, flags), F.lit(name)) for name, patterns in rules_of.items()]))
+    """The names of the rules that match a folded text, in order. An ASCII text meets only the patterns that
+    need no letter beyond ASCII."""
+    latin = {name: own for name, patterns in rules_of.items() if (own := [p for p in patterns if rules.needed(p)[0].isascii()])}
+    named = lambda f, of: F.array_compact(F.array(null(), *[F.when(any_match(f, patterns, dialect, flags), F.lit(name)) for name, patterns in of.items()]))
+    return lambda f: F.when(text.is_ascii(f), named(f, latin)).otherwise(named(f, rules_of))
 
 
 def event_types(folded: Column, pack: RulePack) -> Column:
@@ -162,8 +165,8 @@ def some(c: Column) -> Column:
     return F.when(F.coalesce(c != "", F.lit(False)), F.array(c)).otherwise(none())
 
 
-def trimmed(c: Column, chars: str = r" .,:;\-") -> Column:
-    return F.regexp_replace(c, rf"\A[{chars}]+|[{chars}]+\z", "")
+def trimmed(c: Column, chars: str = text.TRIM) -> Column:
+    return F.btrim(c, F.lit(chars))
 
 
 # --- company name -----------------------------------------------------------------------------
@@ -312,7 +315,7 @@ def field_block(lines: Column, folded: Column, test: Callable[[Column], Column],
     """The first labelled line's own value with up to `following` lines, to the next label."""
     i = first_where(folded, test)
     own = F.coalesce(after_colon(at(lines, i), dialect), F.lit(""))
-    own = trimmed(text.strip(own), r" \-") if dialect == "py" else text.strip(F.regexp_replace(text.strip(own), r"\A-+", ""))
+    own = trimmed(text.strip(own), " -") if dialect == "py" else text.strip(F.regexp_replace(text.strip(own), r"\A-+", ""))
     stop = first_where(F.slice(folded, i + 1, F.lit(following)), lambda x: is_label(x, dialect))
     rest = until(F.slice(lines, i + 1, F.lit(following)), stop)
     value = F.array_join(F.concat(some(own), rest), " ")
@@ -338,7 +341,7 @@ def branch_address(lines: Column, folded: Column, dialect: str) -> Column:
         ahead, bent = F.slice(lines, start + 1, F.lit(11)), F.slice(folded, start + 1, F.lit(11))
         stop = first_where(bent, lambda x: x.rlike(BRANCH_END["py"]))
         ahead, bent = until(ahead, stop), until(bent, stop)
-        suffix = lambda line: some(trimmed(text.strip(F.coalesce(after_colon(line, "py"), F.lit(""))), r" \-"))
+        suffix = lambda line: some(trimmed(text.strip(F.coalesce(after_colon(line, "py"), F.lit(""))), " -"))
         t = first_where(bent, begins)
         inside = F.when(t > 0, F.concat(suffix(at(ahead, t)), F.slice(ahead, t + 1, F.lit(20)))).otherwise(none())
         values = F.when(begins(at(folded, start)), F.concat(suffix(at(lines, start)), ahead)).otherwise(inside)

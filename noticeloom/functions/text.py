@@ -18,6 +18,14 @@ LETTERS_FROM, LETTERS_TO = "إأآٱىؤئةـ", "اااايويه"  # tatweel h
 ARABIC = "[\\u0600-\\u06ff]"
 BIDI_MARKS = "[\\u200e\\u200f\\u202a-\\u202e\\u2066-\\u2069]"
 TRIM = " .,:;-"
+#: What \s matches with (?U).
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+ASCII_SPACES = r"[ \t\n\x0B\f\r]+"
+
+
+def is_ascii(c: Column) -> Column:
+    """Whether a text is ASCII, told by its sizes: most work on letters beyond it can then be left out."""
+    return F.octet_length(c) == F.length(c)
 
 
 def _mapped(c: Column, make: Callable[[], Callable[[str], str]]) -> Column:
@@ -45,7 +53,7 @@ def _normaliser(form: str) -> Callable[[], Callable[[str], str]]:
 
 
 def _compatible(c: Column, form: str) -> Column:
-    ascii_only = F.coalesce(~c.rlike(r"[^\x00-\x7f]"), F.lit(True))
+    ascii_only = F.coalesce(is_ascii(c), F.lit(True))
     return F.when(ascii_only, c).otherwise(_mapped(F.when(~ascii_only, c), _normaliser(form)))
 
 
@@ -59,15 +67,13 @@ def nfkd(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def tidy(c: Column, dialect: str) -> Column:
     """normalise() without NFKC: digits to ASCII, marks dropped (py) or spaced (js), blanks collapsed
     and trimmed around line breaks."""
-    c = F.translate(c, ARABIC_DIGITS + PERSIAN_DIGITS, ASCII_DIGITS * 2)
-    c = F.translate(c, "\u00a0", " ")
-    c = F.translate(c, "\u200e\u200f", "" if dialect == "py" else "  ")
+    c = F.when(is_ascii(c), c).otherwise(F.translate(c, ARABIC_DIGITS + PERSIAN_DIGITS + "\u00a0\u200e\u200f", ASCII_DIGITS * 2 + (" " if dialect == "py" else "   ")))
     c = F.regexp_replace(c, r"[ \t]+", " ")
     c = F.regexp_replace(c, r" *\n *", "\n")
     return strip(c)
@@ -80,9 +86,8 @@ def normalise(c: Column, dialect: str = "js") -> Column:
 def fold(c: Column) -> Column:
     """Fold normalised text for matching: no diacritics or tatweel, one form of each letter family,
     all white space one space, lower case. Latin accents stay."""
-    c = F.regexp_replace(c, DIACRITICS, "")
-    c = F.translate(c, LETTERS_FROM, LETTERS_TO)
-    return F.lower(strip(F.regexp_replace(c, r"(?U)\s+", " ")))
+    one = F.translate(F.regexp_replace(c, DIACRITICS, ""), LETTERS_FROM, LETTERS_TO)
+    return F.lower(strip(F.when(is_ascii(c), F.regexp_replace(c, ASCII_SPACES, " ")).otherwise(F.regexp_replace(one, r"(?U)\s+", " "))))
 
 
 def fold_lines(lines: Column) -> Column:
@@ -101,7 +106,7 @@ def lines_of(c: Column, dialect: str = "js") -> Column:
 def clean_field(c: Column) -> Column:
     """Blanks collapsed, ` .,:;-` trimmed; empty is null."""
     c = F.regexp_replace(c, r"(?U)\s+", " ")
-    return F.nullif(F.regexp_replace(c, r"\A[ .,:;\-]+|[ .,:;\-]+\z", ""), F.lit(""))
+    return F.nullif(F.btrim(c, F.lit(TRIM)), F.lit(""))
 
 
 def clean_value(c: Column) -> Column:
@@ -129,8 +134,8 @@ def compact(c: Column) -> Column:
 
 def uppercase_ratio(c: Column) -> Column:
     """Share of upper-case among letters; null without letters."""
-    letters = F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
-    return F.try_divide(F.length(F.regexp_replace(c, r"[^\p{Lu}]", "")).cast("double"), letters.cast("double"))
+    left = lambda latin, every: F.length(F.when(is_ascii(c), F.regexp_replace(c, latin, "")).otherwise(F.regexp_replace(c, every, ""))).cast("double")
+    return F.try_divide(left("[^A-Z]+", r"[^\p{Lu}]+"), left("[^A-Za-z]+", r"[^\p{L}]+"))
 
 
 def has_arabic(c: Column) -> Column:
