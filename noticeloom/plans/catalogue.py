@@ -188,9 +188,15 @@ RUNS = """SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, sum(c) OVER
   (SELECT *, CASE WHEN lag(l_returnflag) OVER w IS DISTINCT FROM l_returnflag AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS c FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))"""
 
 
+TASK_ROWS = 250_000
+
+
 @query(f"SELECT l_orderkey, CAST(run AS BIGINT) AS run, l_returnflag, count(*) AS n, min(l_quantity) AS low, max(l_quantity) AS high FROM ({RUNS}) GROUP BY ALL")
 def consecutive_runs(spark, sf_dir):
-    d = segment.runs(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], ["l_returnflag"])
+    lines = table(spark, sf_dir, "lineitem")
+    # a task sorts about as many rows however large the table is
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // TASK_ROWS + 1)
+    d = segment.runs(lines.repartition(parts, "l_orderkey"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], ["l_returnflag"])
     return d.groupBy("l_orderkey", "run", "l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
 
 
