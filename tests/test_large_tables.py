@@ -1,3 +1,6 @@
+import time
+
+from noticeloom.operators import layout
 from noticeloom.plans import catalogue
 
 
@@ -6,3 +9,14 @@ def test_runs_take_more_tasks_for_more_rows(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     rows = catalogue.table(spark, sf, "lineitem").count()
     assert catalogue.consecutive_runs(spark, sf).rdd.getNumPartitions() == rows // 100 + 1 > 4
+
+
+def test_a_line_of_many_items_takes_time_in_proportion(spark):
+    """One line of 30,000 items and 10,000 lines on one page; each item's share of work is bounded."""
+    wide = spark.range(30_000).selectExpr("cast(id % 100 as double) AS x", "1200000.0D AS y", "cast(id as string) AS str", "id AS source")
+    tall = spark.range(10_000).selectExpr("cast(0 as double) AS x", "100000 + 10.0D * id AS y", "concat('t', id) AS str", "30000 + id AS source")
+    items = wide.union(tall).selectExpr("'i' AS issue", "1 AS page", "595.0D AS width", "2000000.0D AS height", "*", "9.0D AS item_height", "'f' AS font", "1.0D AS item_width")
+    began = time.time()
+    rows = layout.lines(items).select("text").collect()
+    assert time.time() - began < 30
+    assert [r.text for r in rows[1:]] == [f"t{k}" for k in reversed(range(10_000))] and rows[0].text == " ".join(map(str, range(30_000)))
