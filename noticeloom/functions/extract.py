@@ -19,7 +19,7 @@ from noticeloom.functions.rules import ASCII_EDGE, RulePack, java
 
 NAME_LABEL = "تسميه"
 REGISTER = {
-    "js": [r"(?:السجل.{0,20}التجاري|التجاري.{0,20}السجل)[^\d]{0,45}(\d{2,10})", rf"(?:registre\s+de\s+commerce|registre\s+commercial|{ASCII_EDGE}RC{ASCII_EDGE})[^\d]{{0,20}}(\d{{2,10}})"],
+    "js": [r"(?:السجل.{0,20}التجاري|التجاري.{0,20}السجل)[^\d]{0,45}(\d{2,10})", rf"(?:registre\s+de\s+commerce|registre\s+commercial|R(?<![A-Za-z0-9_]R)C(?![A-Za-z0-9_]))[^\d]{{0,20}}(\d{{2,10}})"],
     "py": [r"(?:رقم\s+)?(?:التقييد\s+في\s+)?السجل\s+التجاري[^\d]{0,25}(\d{2,10})", r"(?:registre\s+de\s+commerce|registre\s+commercial|\bRC\b)[^\d]{0,15}(\d{2,10})"],
 }
 REGISTER_CONTEXT = r"(?iu)رقم|سجل|registre"
@@ -117,10 +117,18 @@ def cities(folded: Column, pack: RulePack) -> Column:
 
 def legal_form(raw: Column, folded: Column, pack: RulePack) -> Column:
     upper = F.upper(raw)
-    out = null()
-    for latin, pattern, form in reversed(pack.forms):
-        out = F.when((upper if latin else folded).rlike(java(pattern, pack.dialect)), F.lit(form)).otherwise(out)
-    return out
+
+    def first(forms: list[tuple[bool, str, str]], test: Callable[[Column, str], Column]) -> Column:
+        out = null()
+        for latin, pattern, form in reversed(forms):
+            out = F.when(test(upper if latin else folded, pattern), F.lit(form)).otherwise(out)
+        return out
+
+    # an ASCII text meets only the patterns that need no letter beyond ASCII, and those where their literal is
+    near = [f for f in pack.forms if rules.needed(f[1])[0].isascii()]
+    gated = lambda c, p: (c.contains(lit.upper()) | c.contains(lit)) & c.rlike(java(p, pack.dialect)) if (lit := rules.needed(p)[0]) else c.rlike(java(p, pack.dialect))
+    ascii_only = text.is_ascii(raw) & text.is_ascii(folded)
+    return F.when(ascii_only, first(near, gated)).otherwise(first(pack.forms, lambda c, p: c.rlike(java(p, pack.dialect))))
 
 
 def suspect_font(folded: Column, pack: RulePack) -> Column:
@@ -186,8 +194,9 @@ def candidates(lines: Column) -> Column:
         upper = F.coalesce(text.uppercase_ratio(x), F.lit(0.0)) >= 0.75
         return x.rlike(NAME_SHAPE) & ~F.upper(x).isin(*rules.GENERIC_LINES) & ~x.rlike(r"\A\d+\s*[A-Z]\z") & upper
 
-    shaped = F.transform(lines, lambda x, i: F.struct(trimmed(F.regexp_replace(x, r"\s+", " ")).alias("value"), (i + 1).alias("at")))
-    return F.filter(shaped, lambda c: eligible(c["value"]))
+    # a line in lower case has no capital letter of NAME_SHAPE, and meets no pattern
+    shaped = F.transform(lines, lambda x, i: F.when(F.lower(x) != x, F.struct(trimmed(F.regexp_replace(x, r"\s+", " ")).alias("value"), (i + 1).alias("at"))))
+    return F.filter(shaped, lambda c: F.coalesce(c.isNotNull() & eligible(c["value"]), F.lit(False)))
 
 
 def company_name(lines: Column, folded: Column, found: Column, pack: RulePack) -> Column:
@@ -232,7 +241,8 @@ def plausible_register(value: Column, pack: RulePack) -> Column:
 def register_number(lines: Column, folded: Column, name: Column, pack: RulePack) -> Column:
     joined = F.array_join(lines, "\n")
     js = pack.dialect == "js"
-    direct = F.array(*[F.nullif(F.regexp_extract(joined, ("(?isu)" if js else "(?iuU)") + p, 1), F.lit("")) for p in REGISTER[pack.dialect]])
+    arabic, latin = (F.nullif(F.regexp_extract(joined, ("(?isu)" if js else "(?iuU)") + p, 1), F.lit("")) for p in REGISTER[pack.dialect])
+    direct = F.array(F.when(~text.is_ascii(joined), arabic), latin)
     direct = F.try_element_at(F.filter(direct, lambda v: plausible_register(v, pack) if js else v.isNotNull()), F.lit(1))
     first = F.greatest(first_where(lines, lambda x: x.contains(name)), F.lit(1))
     rest = F.slice(lines, first + 1, F.lit(ALL))
@@ -277,14 +287,21 @@ def dates(normal: Column, folded: Column, pack: RulePack) -> Column:
     js = pack.dialect == "js"
     out = []
     if js:
-        tight = F.regexp_replace(normal, r"(?U)\s*([./-])\s*", "$1")
-        ymd = every(tight, rf"{ASCII_EDGE}(20\d{{2}})[./-](\d{{1,2}})[./-](\d{{1,2}}){ASCII_EDGE}", 3)
-        dmy = every(tight, rf"{ASCII_EDGE}(\d{{1,2}})[./-](\d{{1,2}})[./-](20\d{{2}}){ASCII_EDGE}", 3)
+        # beside digits an edge is no word character on the other side; it is asked behind the first digits
+        spaced = F.when(text.is_ascii(normal), F.regexp_replace(normal, rf"(?:{text.ASCII_SPACES})?([./-])(?:{text.ASCII_SPACES})?", "$1")).otherwise(F.regexp_replace(normal, r"(?U)\s*([./-])\s*", "$1"))
+        tight = F.when(normal.contains("20"), spaced).otherwise(F.lit(""))
+        ymd = every(tight, r"(20(?<![A-Za-z0-9_]20)\d{2})[./-](\d{1,2})[./-](\d{1,2})(?![A-Za-z0-9_])", 3)
+        dmy = every(tight, r"(\d(?<![A-Za-z0-9_]\d)\d?)[./-](\d{1,2})[./-](20\d{2})(?![A-Za-z0-9_])", 3)
         out += [F.transform(ymd, lambda d: iso_date(d["g1"], d["g2"], d["g3"])), F.transform(dmy, lambda d: iso_date(d["g3"], d["g2"], d["g1"]))]
     else:
         tight = F.regexp_replace(normal, r"(?U)\s*/\s*", "/")
         out.append(F.transform(every(tight, r"(20\d{2})/(\d{1,2})/(\d{1,2})", 3), lambda d: iso_date(d["g1"], d["g2"], d["g3"])))
     edge, flags = (ASCII_EDGE, "(?iu)") if js else (r"\b", "(?uU)")
+    # an ASCII text without the name of a month meets no pattern of them
+    named = F.lit(False)
+    for m in rules.MONTHS:
+        named = named | folded.contains(m) if m.isascii() else named
+    folded = F.when(text.is_ascii(folded) & ~named, F.lit("")).otherwise(folded)
     ymd = every(folded, rf"{flags}{edge}(20\d{{2}})\s*({months})\s*([0-3]?\d)(?!\d)", 3)
     dmy = every(folded, rf"{flags}{edge}([0-3]?\d)\s*({months})\s*(20\d{{2}})(?!\d)", 3)
     out += [F.transform(ymd, lambda d: iso_date(d["g1"], month_number(d["g2"]), d["g3"])), F.transform(dmy, lambda d: iso_date(d["g3"], month_number(d["g2"]), d["g1"]))]
@@ -295,7 +312,8 @@ def capital(normal: Column) -> Column:
     """Capital in dirhams; all non-digits of the amount go, decimals included."""
     found = []
     for p in CAPITAL:
-        digits = F.regexp_replace(F.regexp_extract(normal, p, 1), r"\D", "")
+        amount = F.regexp_extract(normal, p, 1)
+        digits = F.regexp_replace(amount if p.isascii() else F.when(~text.is_ascii(normal), amount), r"\D", "")
         found.append(F.nullif(digits, F.lit("")).try_cast("decimal(20,0)").try_cast("bigint"))
     return F.coalesce(*found)
 
@@ -394,6 +412,11 @@ def valid_filing(v: Column) -> Column:
     return F.coalesce(v.rlike(r"\A\d{1,10}(?:[./-]\d{1,10})+\z") | ((n > 0) & ~n.between(1900, 2100)), F.lit(False))
 
 
+def filing_of(found: Column) -> Column:
+    """filing() of a text without a court or a label of filing."""
+    return F.struct(null().alias("court"), F.when(F.size(found) > 1, F.try_element_at(found, F.lit(-1))).alias("date"), null().alias("number"))
+
+
 def filing(lines: Column, folded: Column, found: Column, dialect: str) -> Column:
     """struct(court, date, number): the last court line, the last date of several, the number by its label."""
     date = F.when(F.size(found) > 1, F.try_element_at(found, F.lit(-1)))

@@ -147,10 +147,12 @@ ASCII_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0
 
 
 def java(pattern: str, dialect: str, flags: str = "is") -> str:
-    """A pattern of the dialect as a Java one: py classes and edges are Unicode, js ones ASCII."""
+    """A pattern of the dialect as a Java one: py classes and edges are Unicode, js ones ASCII. An edge before a
+    letter or digit is asked behind it, so that most places of a text are passed over by the letter alone."""
     if dialect == "py":
         return f"(?{flags}uU){pattern}"
-    return f"(?{flags}u)" + pattern.replace(r"\b", ASCII_EDGE)
+    behind = re.sub(r"\\b([A-Za-z0-9])(?![?*+{])", r"\1(?<![A-Za-z0-9_]\1)", pattern)
+    return f"(?{flags}u)" + behind.replace(r"\b", ASCII_EDGE)
 
 
 TOKEN = re.compile(r"\(\?:[^()\[\]\\.?*+{}]+\)(?![?*+{])|\\s\+|\\.|\[(?:\\.|[^\]])*\]|[()|]|\{\d*,?\d*\}|[?*+]|.", re.S)

@@ -92,9 +92,14 @@ def fold(c: Column) -> Column:
 
 def fold_lines(lines: Column) -> Column:
     """fold() of each line of an array, by one pass over the joined text."""
-    c = F.translate(F.regexp_replace(F.array_join(lines, "\n"), DIACRITICS, ""), LETTERS_FROM, LETTERS_TO)
-    c = F.regexp_replace(F.regexp_replace(c, r"(?U)[\s&&[^\n]]+", " "), " ?\n ?", "\n")
-    return F.when(F.size(lines) > 0, F.split(F.lower(F.trim(c)), "\n")).otherwise(lines)
+    joined = F.array_join(lines, "\n")
+    c = F.translate(F.regexp_replace(joined, DIACRITICS, ""), LETTERS_FROM, LETTERS_TO)
+    c = F.trim(F.regexp_replace(F.regexp_replace(c, r"(?U)[\s&&[^\n]]+", " "), " ?\n ?", "\n"))
+    # most ASCII lines have single spaces, inside: there is nothing to fold but the case
+    odd = joined.startswith(" ") | joined.endswith(" ")
+    for blank in ("  ", " \n", "\n ", "\t", "\x0b", "\f", "\r"):
+        odd = odd | joined.contains(blank)
+    return F.when(F.size(lines) > 0, F.split(F.lower(F.when(is_ascii(joined) & ~odd, joined).otherwise(c)), "\n")).otherwise(lines)
 
 
 def lines_of(c: Column, dialect: str = "js") -> Column:

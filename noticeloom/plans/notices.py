@@ -71,16 +71,19 @@ def parse(segments: DataFrame, pack: RulePack | None = None, include_raw_text: b
         "_cities": extract.cities(F.col("_folded"), pack),
         "_branching": F.array_contains("_types", "BRANCH_OPENING"),
         "_ending": F.arrays_overlap("_types", F.array(F.lit("DISSOLUTION"), F.lit("LIQUIDATION"))),
+        "_plain": text.is_ascii(F.col("_text")),
         "_damaged_glyphs": F.col("_text").contains("\ufffd"),
         "_damaged_font": extract.suspect_font(F.col("_folded"), pack),
     })
+    # all labels of these fields are Arabic: an ASCII text has none
+    marked = lambda c: F.when(~F.col("_plain"), c)
     df = df.withColumns({
         "_register": extract.register_number(ls, fs, F.col("_name"), pack),
-        "_address": extract.registered_address(ls, fs, d),
-        "_purpose": extract.business_purpose(ls, fs, d),
-        "_branch": F.when(F.col("_branching"), extract.branch_address(ls, fs, d)),
-        "_manager": extract.manager(ls, fs, d),
-        "_filing": extract.filing(ls, fs, F.col("_dates"), d),
+        "_address": marked(extract.registered_address(ls, fs, d)),
+        "_purpose": marked(extract.business_purpose(ls, fs, d)),
+        "_branch": F.when(F.col("_branching") & ~F.col("_plain"), extract.branch_address(ls, fs, d)),
+        "_manager": marked(extract.manager(ls, fs, d)),
+        "_filing": F.when(F.col("_plain"), extract.filing_of(F.col("_dates"))).otherwise(extract.filing(ls, fs, F.col("_dates"), d)),
         "_capital": extract.capital(F.col("_text")),
     })
     missing = lambda c: F.col(c).isNull()
