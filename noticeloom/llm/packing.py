@@ -81,17 +81,22 @@ class Encoder:
         own = self.kept
         new = {c for c in set().union(*plain) if c not in own}
         parts, odd = {}, {c for c in set().union(*other) if c not in own and c not in new}
+        words = set()
         for c in new:
+            if c.isalpha():  # most chunks are a word and nothing else
+                (words if len(c) <= SHORT else odd).add(c)
+                continue
             word = c.rstrip(".,")
             if word.isalpha() and len(c) <= SHORT:
                 parts[c] = word, c[len(word) :]
+                if word not in own:
+                    words.add(word)
             else:
                 odd.add(c)
-        pieces = {x for p in parts.values() for x in p}
-        words = [w for w in pieces if w.isalpha() and w not in own]
         if words:
+            words = list(words)
             own |= zip(words, self._words(words), strict=True)
-        odd |= {m for m in pieces if not m.isalpha() and m not in own}
+        odd |= {m for _, m in parts.values() if m not in own}
         brief, long = [c for c in odd if len(c) <= SHORT], [c for c in odd if len(c) > SHORT]
         own |= zip(brief, self._each(brief), strict=True)
         own |= {c: own[w] + own[m] for c, (w, m) in parts.items()}
