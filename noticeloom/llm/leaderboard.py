@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from noticeloom.llm.common import cut, shared_folder
 
@@ -109,83 +109,70 @@ def packed(*arrays: np.ndarray) -> tuple[bytes, ...]:
     return tuple(x.astype(np.int64).tobytes() for x in arrays)
 
 
-def unpacked(state) -> tuple[np.ndarray, ...] | None:
-    value = state.get()
-    return value and tuple(np.frombuffer(x, np.int64) for x in value)
+def unpacked(state: GroupState, n: int) -> tuple[np.ndarray, ...]:
+    """The n arrays of a key's state, empty at first."""
+    return tuple(np.frombuffer(x, np.int64) for x in state.get) if state.exists else (np.zeros(0, np.int64),) * n
 
 
-class Shard(StatefulProcessor):
+SUMS, LISTS = "ids binary, cents binary", "ids binary, cents binary, board binary"
+
+
+def shard(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """First level: revenue of one bucket of a nation's items.
 
     Emits, a day at a time, what the nation's merger has to know: each item that entered or left the
     bucket's own top ten or whose revenue changed while it is listed, with its revenue afterwards.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sums = handle.getValueState("sums", "ids binary, cents binary")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        days, items, added = gathered(rows, "arrival_day", "item_id", "cents")
-        ids, sums = unpacked(self.sums) or (np.zeros(0, np.int64),) * 2
-        every = np.union1d(ids, items)
-        total = np.zeros(len(every), np.int64)
-        total[np.searchsorted(every, ids)] = sums
-        at, listed, out = np.searchsorted(every, items), best(every, total).tolist(), []
-        for i, j in runs(days):
-            np.add.at(total, at[i:j], added[i:j])
-            now = best(every, total).tolist()
-            told = set(listed).symmetric_difference(now) | set(now).intersection(at[i:j].tolist())
-            out += [(days[i], x, total[x], x in now) for x in sorted(told)]
-            listed = now
-        self.sums.update(packed(every, total))
-        if out:
-            day, which, cents, on = (np.array(x) for x in zip(*out, strict=True))
-            yield pd.DataFrame({"nation_id": np.full(len(out), key[0], np.int32), "arrival_day": day, "item_id": every[which], "cents": cents, "listed": on})
-
-    def close(self) -> None:
-        pass
-
-
-class Merger(StatefulProcessor):
+    days, items, added = gathered(rows, "arrival_day", "item_id", "cents")
+    ids, sums = unpacked(state, 2)
+    every = np.union1d(ids, items)
+    total = np.zeros(len(every), np.int64)
+    total[np.searchsorted(every, ids)] = sums
+    at, listed, out = np.searchsorted(every, items), best(every, total).tolist(), []
+    for i, j in runs(days):
+        np.add.at(total, at[i:j], added[i:j])
+        now = best(every, total).tolist()
+        told = set(listed).symmetric_difference(now) | set(now).intersection(at[i:j].tolist())
+        out += [(days[i], x, total[x], x in now) for x in sorted(told)]
+        listed = now
+    state.update(packed(every, total))
+    if out:
+        day, which, cents, on = (np.array(x) for x in zip(*out, strict=True))
+        yield pd.DataFrame({"nation_id": np.full(len(out), key[0], np.int32), "arrival_day": day, "item_id": every[which], "cents": cents, "listed": on})
+
+
+def merged(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Second level: one nation's board from the top tens of its shards.
 
     The shards' lists hold every item that can be among the nation's ten, as a list of ten from each
     bucket under the same order does; the state holds these lists and the last board.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.lists = handle.getValueState("lists", "ids binary, cents binary, board binary")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        days, items, value, listed = gathered(rows, "arrival_day", "item_id", "cents", "listed")
-        ids, sums, board = unpacked(self.lists) or (np.zeros(0, np.int64),) * 3
-        every = np.union1d(ids, items)
-        total, inside = np.zeros(len(every), np.int64), np.zeros(len(every), bool)
-        at, old = np.searchsorted(every, ids), np.searchsorted(every, board)
-        total[at], inside[at] = sums, True
-        at, out = np.searchsorted(every, items), []
-        for i, j in runs(days):
-            total[at[i:j]], inside[at[i:j]] = value[i:j], listed[i:j]
-            now = best(every, np.where(inside, total, 0))
-            was, is_ = ({x: k + 1 for k, x in enumerate(b.tolist())} for b in (old, now))
-            for x in sorted(was.keys() | is_.keys()):
-                a, b = was.get(x), is_.get(x)
-                if a != b:
-                    out.append((key[0], days[i], every[x], "enter" if a is None else "exit" if b is None else "move", a, b, total[x]))
-            old = now
-        self.lists.update(packed(every[inside], total[inside], every[old]))
-        if out:
-            frame = pd.DataFrame(out, columns=["nation_id", "arrival_day", "item_id", "change", "old_rank", "new_rank", "revenue"])
-            yield frame.astype({"nation_id": "int32", "arrival_day": "int64", "item_id": "int64", "old_rank": "Int32", "new_rank": "Int32", "revenue": "int64"})
-
-    def close(self) -> None:
-        pass
-
-
-#: Settings of the stream, put back afterwards: state by key in RocksDB, changes only at each commit.
+    days, items, value, listed = gathered(rows, "arrival_day", "item_id", "cents", "listed")
+    ids, sums, board = unpacked(state, 3)
+    every = np.union1d(ids, items)
+    total, inside = np.zeros(len(every), np.int64), np.zeros(len(every), bool)
+    at, old = np.searchsorted(every, ids), np.searchsorted(every, board)
+    total[at], inside[at] = sums, True
+    at, out = np.searchsorted(every, items), []
+    for i, j in runs(days):
+        total[at[i:j]], inside[at[i:j]] = value[i:j], listed[i:j]
+        now = best(every, np.where(inside, total, 0))
+        was, is_ = ({x: k + 1 for k, x in enumerate(b.tolist())} for b in (old, now))
+        for x in sorted(was.keys() | is_.keys()):
+            a, b = was.get(x), is_.get(x)
+            if a != b:
+                out.append((key[0], days[i], every[x], "enter" if a is None else "exit" if b is None else "move", a, b, total[x]))
+        old = now
+    state.update(packed(every[inside], total[inside], every[old]))
+    if out:
+        frame = pd.DataFrame(out, columns=["nation_id", "arrival_day", "item_id", "change", "old_rank", "new_rank", "revenue"])
+        yield frame.astype({"nation_id": "int32", "arrival_day": "int64", "item_id": "int64", "old_rank": "Int32", "new_rank": "Int32", "revenue": "int64"})
+
+
+#: Settings of the stream, put back afterwards. A state store lives for one task and goes at its commit; RocksDB
+#: would keep half a MB outside the heap for each one ever opened, and each start opens one a partition and level.
 STREAM = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",  # file systems keep checksums of their own
@@ -207,17 +194,26 @@ def moved(spark: SparkSession, path: str, to: str) -> bool:
     return True
 
 
+def run(rows: DataFrame, at: str, to: str, name: str) -> None:
+    """Run a stream over what is new, from and to the state in `at`/`name`, until it is done."""
+    rows.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{at}/{name}").option("path", to).trigger(availableNow=True).start().awaitTermination()
+
+
 def feed(spark: SparkSession, at: str, earlier: int | None, shards: int) -> None:
-    """Run the stream over what is new in the watched folder, from and to the state in `at`, until it is done."""
+    """Run both levels over what is new in the watched folder: the shards', then the mergers' over what those wrote.
+
+    Two queries, as Spark takes one applyInPandasWithState in each.
+    """
     lines = spark.readStream.schema(LINE).option("recursiveFileLookup", "true").parquet(f"{at}/fed")
     if earlier is not None:
         lines = lines.where(F.col("day") + LATENESS >= earlier)
     keyed = lines.select("nation_id", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int").alias("shard"), "arrival_day", "item_id", "cents")
     sums = keyed.mapInArrow(combined, SUM)
-    local = sums.groupBy("nation_id", "shard").transformWithStateInPandas(Shard(), LISTED, "append", "none")
-    boards = local.groupBy("nation_id").transformWithStateInPandas(Merger(), CHANGE, "append", "none")
-    query = boards.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/changes").trigger(availableNow=True).start()
-    query.awaitTermination()
+    local = sums.groupBy("nation_id", "shard").applyInPandasWithState(shard, LISTED, SUMS, "append", GroupStateTimeout.NoTimeout)
+    run(local, at, f"{at}/listed", "state")
+    listed = spark.readStream.schema(LISTED).parquet(f"{at}/listed")
+    boards = listed.groupBy("nation_id").applyInPandasWithState(merged, CHANGE, LISTS, "append", GroupStateTimeout.NoTimeout)
+    run(boards, at, f"{at}/changes", "boards")
 
 
 def changes(lines: DataFrame, items: DataFrame, vendors: DataFrame, batches: int = 10, shards: int | None = None) -> DataFrame:

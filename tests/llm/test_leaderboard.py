@@ -67,6 +67,14 @@ def test_feed_equals_boards_of_every_day(spark):
     assert {r[4] for r in got} == {"enter", "exit", "move"} and len({r[3] for r in got}) > 3
 
 
+def test_state_of_both_levels_is_outside_rocksdb(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(leaderboard, "shared_folder", lambda _: str(tmp_path))
+    made = tables(6)
+    assert Counter(tuple(r) for r in leaderboard.changes(*frames(spark, *made), shards=2).collect()) == Counter(brute(*made))
+    kept = [p for p in tmp_path.glob("leaderboard-*/*/state/0/[0-9]*/*") if p.is_file() and not p.name.startswith(".")]
+    assert len({p.parents[3] for p in kept}) == 2 and {p.suffix for p in kept} <= {".delta", ".snapshot"}
+
+
 def test_feed_of_empty_tables(spark):
     lines, items, vendors = tables()
     assert leaderboard.changes(*frames(spark, [], items, vendors)).collect() == []
