@@ -170,7 +170,7 @@ def merged(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Itera
 
 
 #: Settings of the stream, put back afterwards. A state store lives for one task and goes at its commit; RocksDB
-#: would keep half a MB outside the heap for each one ever opened, and each start opens one a partition and level.
+#: would keep half a MB (by estimate) outside the heap for each one ever opened, and each start opens one a partition and level.
 STREAM = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
