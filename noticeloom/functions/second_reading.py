@@ -37,22 +37,22 @@ BEFORE_BRANCH = r"\A.*?(?:الكائن|الكاين|الكاثن)\s+بالعنو
 
 def dates_of(c: Column) -> Column:
     """Strict calendar dates of ASCII digits in order of appearance, either way round."""
-    raw = F.regexp_extract_all(c, F.lit(rf"({ASCII_EDGE}20\d{{2}}[./-]\d{{1,2}}[./-]\d{{1,2}}{ASCII_EDGE}|{ASCII_EDGE}\d{{1,2}}[./-]\d{{1,2}}[./-]20\d{{2}}{ASCII_EDGE})"), F.lit(1))
+    raw = F.regexp_extract_all(c, F.lit(rf"(?=\d)({ASCII_EDGE}20\d{{2}}[./-]\d{{1,2}}[./-]\d{{1,2}}{ASCII_EDGE}|{ASCII_EDGE}\d{{1,2}}[./-]\d{{1,2}}[./-]20\d{{2}}{ASCII_EDGE})"), F.lit(1))
 
-    def iso(d: Column) -> Column:
-        p = F.split(d, "[./-]")
+    def iso(p: Column) -> Column:
         return F.when(F.length(p[0]) == 4, strict_date(p[0], p[1], p[2])).otherwise(strict_date(p[2], p[1], p[0]))
 
-    return F.array_distinct(F.array_compact(F.transform(raw, iso)))
+    return F.array_distinct(F.array_compact(F.transform(F.transform(raw, lambda d: F.split(d, "[./-]")), iso)))
 
 
-def block(lines: Column, packed: Column, starts: Callable[[Column], Column], ends: Callable[[Column], Column]) -> Column:
-    """From the first start line to before the first later end line; the first line from its colon."""
-    s = first_where(packed, starts)
-    rest, bent = F.slice(lines, s + 1, F.lit(extract.ALL)), F.slice(packed, s + 1, F.lit(extract.ALL))
-    body = until(rest, first_where(bent, ends))
-    head = F.coalesce(extract.after_colon(at(lines, s), "py"), at(lines, s))
-    return F.when(s > 0, text.clean_value(F.array_join(F.concat(F.array(head), body), " ")))
+def behind(items: Column, start: Column) -> Column:
+    return F.slice(items, start + 1, F.lit(extract.ALL))
+
+
+def block(lines: Column, start: Column, stop: Column) -> Column:
+    """From line `start` (null if 0) to before `stop`, counted from there (0: all); the first line from its colon."""
+    head = F.coalesce(extract.after_colon(at(lines, start), "py"), at(lines, start))
+    return F.when(start > 0, F.array_join(F.concat(F.array(head), until(behind(lines, start), stop)), " "))
 
 
 def begins(*words: str) -> Callable[[Column], Column]:
@@ -64,12 +64,18 @@ def without(c: Column, prefix: str) -> Column:
     return text.clean_value(F.regexp_replace(c, "(?iu)" + prefix, ""))
 
 
-def fields(lines: Column, packed: Column, whole: Column, all_packed: Column, bent: Column, embedded: Column, name: Column) -> dict[str, Column]:
-    """Candidate fields of a second reading, by record field.
+#: Blocks by the tests of the compact lines that begin and end them.
+BLOCKS = {
+    "address": (lambda c: c.contains(ADDRESS_WORD) | begins(*ADDRESS_LABELS)(c), lambda c: c.contains(ADDRESS_END) | begins(*ADDRESS_ENDS)(c)),
+    "purpose": (lambda c: begins(*PURPOSE_LABELS)(c) | c.contains(PURPOSE_WORD), begins(*PURPOSE_ENDS)),
+    "branch": (lambda c: c.contains(BRANCH_WORDS[0]) | c.contains(BRANCH_WORDS[1]), begins(*BRANCH_ENDS)),
+    "manager": (begins(*MANAGER_LABELS), begins(*MANAGER_ENDS)),
+}
 
-    lines, whole: its text in text.ocr_text() form; packed, all_packed: text.compact() of both; bent:
-    text.ocr_fold() of the whole; embedded: the first reading's text in text.ocr_text() form.
-    """
+
+def fields(name: Column) -> dict[str, Column]:
+    """Candidate fields of a second reading, by record field, from the columns that read() settles."""
+    all_packed, bent, lines = F.col("_all"), F.col("_bent"), F.col("_lines")
     inside = lambda w: all_packed.contains(w)
     form = (
         F.when(inside(LIMITED) & inside(SOLE), "SARL AU").when(all_packed.rlike(SOLE_LATIN), "SARL AU")
@@ -80,53 +86,64 @@ def fields(lines: Column, packed: Column, whole: Column, all_packed: Column, ben
         .when(bent.rlike(DISSOLUTION_KIND) | inside(DISSOLUTION_LATIN), "DISSOLUTION").when(all_packed.rlike(TRANSFER_KIND), "SHARE_TRANSFER").when(inside(LIQUIDATION_KIND), "LIQUIDATION")
     )
 
-    def register(ls: Column) -> Column:
+    def register(ls: Column, packed: Column) -> Column:
         def near(i: Column) -> Column:
             found = F.regexp_extract_all(F.array_join(F.slice(ls, i, F.lit(3)), " "), F.lit(REGISTER_NUMBER), F.lit(1))
             return F.try_element_at(F.filter(found, lambda v: ~v.rlike(YEAR)), F.lit(1))
 
-        labels = F.filter(F.transform(ls, lambda x, i: F.when(text.compact(x).rlike(REGISTER_LABEL), i + 1)), lambda i: i.isNotNull())
+        labels = F.filter(F.transform(packed, lambda x, i: F.when(x.rlike(REGISTER_LABEL), i + 1)), lambda i: i.isNotNull())
         return F.try_element_at(F.array_compact(F.transform(labels, near)), F.lit(1))
 
-    first = F.filter(F.split(embedded, "\n"), lambda x: x != "")
-    address = block(lines, packed, lambda c: c.contains(ADDRESS_WORD) | begins(*ADDRESS_LABELS)(c), lambda c: c.contains(ADDRESS_END) | begins(*ADDRESS_ENDS)(c))
-    purpose = block(lines, packed, lambda c: begins(*PURPOSE_LABELS)(c) | c.contains(PURPOSE_WORD), begins(*PURPOSE_ENDS))
-    branch = block(lines, packed, lambda c: c.contains(BRANCH_WORDS[0]) | c.contains(BRANCH_WORDS[1]), begins(*BRANCH_ENDS))
     liquidator = F.transform(lines, lambda x: F.when(x.contains(extract.LIQUIDATOR), F.nullif(F.regexp_extract(x, extract.PERSON, 1), F.lit(""))))
     liquidator = text.clean_value(F.try_element_at(F.array_compact(liquidator), F.lit(1)))
-    m = first_where(packed, begins(*MANAGER_LABELS))
-    rest = until(F.slice(lines, m + 1, F.lit(extract.ALL)), first_where(F.slice(packed, m + 1, F.lit(extract.ALL)), begins(*MANAGER_ENDS)))
-    person = F.regexp_replace(F.array_join(F.concat(F.array(at(lines, m)), rest), " "), BEFORE_MANAGER, "")
-    manager = F.coalesce(liquidator, F.when(m > 0, text.clean_value(F.regexp_replace(person, MISTER, ""))))
-    f = first_where(packed, lambda c: c.contains(FILED))
-    tail = F.array_join(F.slice(lines, F.greatest(f, F.lit(1)), F.lit(extract.ALL)), " ")
-    tail_bent = text.ocr_fold(tail)
-    court = F.split(F.regexp_replace(tail, BEFORE_COURT, ""), COURT_END)[0]
-    before, behind = (F.regexp_extract(tail_bent, p, 1) for p in FILING_NUMBERS)
-    filing_date = F.when(f > 0, F.try_element_at(dates_of(tail), F.lit(1)))
-    dated = F.array_sort(F.array_distinct(F.concat(dates_of(F.coalesce(embedded, F.lit(""))), dates_of(whole))))
-    k = first_where(packed, begins(CAPITAL_LABEL))
-    amount = F.regexp_replace(F.regexp_extract(F.array_join(F.slice(lines, F.greatest(k, F.lit(1)), F.lit(4)), " "), CAPITAL, 1), r"\D", "")
+    manager = text.clean_value(F.regexp_replace(F.regexp_replace("_manager", BEFORE_MANAGER, ""), MISTER, ""))
+    court = F.split(F.regexp_replace("_tail", BEFORE_COURT, ""), COURT_END)[0]
+    before, after = (F.nullif(F.regexp_extract("_tail_bent", p, 1), F.lit("")) for p in FILING_NUMBERS)
+    amount = F.regexp_replace(F.regexp_extract("_amount", CAPITAL, 1), r"\D", "")
+    value = lambda c, prefix: without(text.clean_value(F.col(c)), prefix)
     return {
-        "name": name, "legal_form": form, "commercial_register_number": F.coalesce(register(first), register(lines)),
-        "registered_address": without(address, BEFORE_ADDRESS),
-        "primary_type": kind, "decision_date": F.try_element_at(F.filter(dated, lambda d: ~d.eqNullSafe(filing_date)), F.lit(1)),
-        "business_purpose": without(purpose, BEFORE_PURPOSE),
-        "capital_mad": F.when(k > 0, F.nullif(amount, F.lit("")).try_cast("bigint")),
-        "branch_address": without(branch, BEFORE_BRANCH),
-        "manager_or_liquidator": manager, "court": F.when(f > 0, text.clean_value(court)), "filing_date": filing_date,
-        "filing_number": F.when(f > 0, F.coalesce(F.nullif(before, F.lit("")), F.nullif(behind, F.lit("")))),
+        "name": name, "legal_form": form, "commercial_register_number": F.coalesce(register(F.col("_first"), F.transform("_first", text.compact)), register(lines, F.col("_packed"))),
+        "registered_address": value("_address", BEFORE_ADDRESS),
+        "primary_type": kind, "decision_date": F.try_element_at(F.filter("_dated", lambda d: ~d.eqNullSafe(F.col("_filed"))), F.lit(1)),
+        "business_purpose": value("_purpose", BEFORE_PURPOSE),
+        "capital_mad": F.nullif(amount, F.lit("")).try_cast("bigint"),
+        "branch_address": value("_branch", BEFORE_BRANCH),
+        "manager_or_liquidator": F.coalesce(liquidator, manager), "court": text.clean_value(court), "filing_date": F.col("_filed"),
+        "filing_number": F.coalesce(before, after),
     }
 
 
 def read(df: DataFrame, ocr: str, embedded: str, name: str, out: str) -> DataFrame:
-    """Add `out`: the struct of candidate fields read from the columns of both texts."""
-    clean = df.withColumns({"_whole": text.ocr_text(F.col(ocr)), "_own": text.ocr_text(F.col(embedded))})
-    clean = clean.withColumn("_lines", F.filter(F.split("_whole", "\n"), lambda x: x != ""))
-    clean = extract.settled(clean, "_whole", "_own", "_lines")
-    clean = clean.withColumns({"_packed": F.transform("_lines", text.compact), "_all": text.compact(F.col("_whole")), "_bent": text.ocr_fold(F.col("_whole"))})
-    found = fields(*[F.col(c) for c in ("_lines", "_packed", "_whole", "_all", "_bent", "_own", name)])
-    return extract.settled(clean.withColumn(out, as_struct(found)).drop("_whole", "_own", "_lines", "_packed", "_all", "_bent"), out)
+    """Add `out`: the struct of candidate fields read from the columns of both texts.
+
+    Each step settles what the next ones use more than once: where blocks start, where they stop, their
+    texts. Fields inlined into each other would search the lines again wherever they are used.
+    """
+    lines, packed = F.col("_lines"), F.col("_packed")
+    split = lambda c, of: F.when(F.col(c) != "", F.split(of, "\n")).otherwise(none())
+    starts = {f"_{b}_at": first_where(packed, test) for b, (test, _) in BLOCKS.items()}
+    starts |= {"_filed_at": first_where(packed, lambda c: c.contains(FILED)), "_capital_at": first_where(packed, begins(CAPITAL_LABEL))}
+    stops = {f"_{b}_to": F.when(F.col(f"_{b}_at") > 0, first_where(behind(packed, F.col(f"_{b}_at")), test)).otherwise(0) for b, (_, test) in BLOCKS.items()}
+    texts = {f"_{b}": block(lines, F.col(f"_{b}_at"), F.col(f"_{b}_to")) for b in BLOCKS if b != "manager"}
+    m, f, k = (F.col(c) for c in ("_manager_at", "_filed_at", "_capital_at"))
+    texts["_manager"] = F.when(m > 0, F.array_join(F.concat(F.array(at(lines, m)), until(behind(lines, m), F.col("_manager_to"))), " "))
+    texts["_tail"] = F.when(f > 0, F.array_join(F.slice(lines, f, F.lit(extract.ALL)), " "))
+    texts["_amount"] = F.when(k > 0, F.array_join(F.slice(lines, k, F.lit(4)), " "))
+    dated = F.array_sort(F.array_distinct(F.concat(dates_of(F.coalesce("_own", F.lit(""))), dates_of(F.col("_whole")))))
+    steps = [
+        {"_whole": text.ocr_text(F.col(ocr)), "_own": text.ocr_text(F.col(embedded))},
+        {"_bent": text.ocr_fold(F.col("_whole"))},
+        {"_letters": F.regexp_replace("_bent", r"[^\p{L}\p{N}\n]+", "")},
+        # lines hold no line break, so folding them together and apart is the same
+        {"_lines": split("_whole", F.col("_whole")), "_packed": split("_whole", F.col("_letters")), "_all": F.translate("_letters", "\n", ""), "_first": split("_own", F.col("_own"))},
+        starts, stops, texts,
+        {"_filed": F.try_element_at(dates_of(F.col("_tail")), F.lit(1)), "_tail_bent": text.ocr_fold(F.col("_tail")), "_dated": dated},
+        {out: as_struct(fields(F.col(name)))},
+    ]
+    clean = df
+    for made in steps:
+        clean = extract.settled(clean.withColumns(made), *made)
+    return clean.select(*[f"`{c}`" for c in df.columns if c != out], out)
 
 
 def as_struct(f: dict[str, Column]) -> Column:
