@@ -181,7 +181,9 @@ def mixed_script(c: Column) -> Column:
 
 
 def union_cities(current: Column, *texts: Column) -> Column:
-    folded = text.fold(text.normalise(F.concat_ws("\n", *[F.nullif(t, F.lit("")) for t in texts])))
+    said = text.nfkc(F.concat_ws("\n", *[F.nullif(t, F.lit("")) for t in texts]))
+    # each form is made once: nested, every use of a form would make all those before it anew
+    folded = extract.let(extract.let(said, lambda t: text.tidy(t, "js")), text.fold)
     return F.array_union(F.coalesce(current, none()), extract.cities(folded, rules.pack("js")))
 
 

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from noticeloom.functions import second_reading
-from noticeloom.plans import issue_queries
+from noticeloom.plans import issue_queries, record_queries
 
 
 def test_readings_are_dealt_to_every_core_and_made_once(spark):
@@ -32,3 +32,14 @@ def test_odd_readings_give_fields_or_nothing(spark):
     assert all(v is None for i in (1, 2) for v in got[i]) and [got[i].commercial_register_number for i in (3, 4)] == ["99999", "777"]
     assert (got[5].filing_date, got[5].decision_date, got[5].filing_number, got[5].court) == ("2025-12-19", "2024-02-29", "3", "بالمحكمة بسطات")
     assert got[6].business_purpose == "ًa, b"
+
+
+def test_merged_records_are_dealt_to_every_core(spark):
+    assert record_queries.merged_readings(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_cities_of_texts_fold_them_once(spark):
+    d = spark.createDataFrame([(["Fes"], "à Settat ـ الرِّباط", None), (None, "", "FÈS ﻓﺎس\tTANGER"), (None, None, None)], "had array<string>, a string, b string")
+    got = d.select(second_reading.union_cities(F.col("had"), F.col("a"), F.col("b")).alias("c"))
+    assert [r.c for r in got.collect()] == [["Fes", "Settat", "Rabat"], ["Tangier", "Fes"], []]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count(r"[ \t]+") == 1
