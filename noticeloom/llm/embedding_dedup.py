@@ -7,14 +7,16 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from noticeloom.llm.common import components, cut
 
 THRESHOLD = 0.93
-CAPACITY = 2048
+CAPACITY, PART_BYTES, MAX_TASKS = 16_384, 32 << 20, 5000
 TARGET = 256
 APART = 0.75
-DEGREE = 24
+DEGREE, LINKED = 24, 72
+STARTS = 1024
 ALPHA = 1.2
 BEAMS = (64, 160)
 SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
@@ -46,112 +48,137 @@ def prune(d_pool: np.ndarray, among: np.ndarray, degree: int = DEGREE) -> np.nda
     return out
 
 
-def search(q: np.ndarray, x: np.ndarray, adj: np.ndarray, entry: int, beam: int, radius: float | None):
-    """Greedy best-first search of each query row from `entry`, several nodes a step, until the
-    `beam` best seen are all expanded; then every seen node within `radius` is expanded in turn, until
-    the range grows no more. Returns the cosines seen (queries x nodes; -inf: not seen)."""
+def search(q: np.ndarray, x: np.ndarray, adj: np.ndarray, entry: int | np.ndarray, beam: int, radius: float | None):
+    """Greedy best-first search of each query row from `entry` (a node, or a column of one for each query),
+    several nodes a step, until the `beam` best seen are all expanded; then every seen node within `radius`
+    is expanded in turn, until the range grows no more. A step costs the beam and what it sees, not the
+    graph. Returns the cosines seen (queries x nodes; -inf: not seen)."""
     n, b = len(x), len(q)
     cos = np.full((b, n), -np.inf)
-    open_ = np.zeros((b, n), bool)
-    cos[:, entry] = q @ x[entry]
-    open_[:, entry] = True
-
-    def expand(who: np.ndarray, node: np.ndarray) -> None:
-        open_[who, node] = False
-        near = adj[node]
-        who, near = np.repeat(who, adj.shape[1])[near.ravel() >= 0], near.ravel()[near.ravel() >= 0]
-        key = np.unique(who * n + near)
-        who, near = key // n, key % n
-        new = ~np.isfinite(cos[who, near])
-        who, near = who[new], near[new]
-        for at in range(0, len(who), 1 << 16):
-            w, v = who[at : at + (1 << 16)], near[at : at + (1 << 16)]
-            cos[w, v] = np.einsum("ij,ij->i", q[w], x[v])
-        open_[who, near] = True
-
-    wide = min(beam, n)
+    flat, last = cos.reshape(-1), np.empty(b * n, np.int32)
+    wide, few = min(beam, n), min(4, beam, n)
+    entry = np.broadcast_to(entry, (b, 1))[:, 0]
+    node, best, done = np.repeat(entry[:, None], wide, 1), np.full((b, wide), -np.inf), np.ones((b, wide), bool)
+    best[:, 0] = flat[np.arange(b) * n + entry] = np.einsum("ij,ij->i", q, x[entry])
+    done[:, 0] = False
+
+    def expand(who: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node, cosine) of the neighbours not seen before, each once."""
+        near = adj[at]
+        key = (who[:, None] * n + near)[near >= 0]
+        key = key[flat[key] == -np.inf]
+        turn = np.arange(len(key), dtype=np.int32)
+        last[key] = turn
+        key = key[last[key] == turn]
+        w, v = np.divmod(key, n)
+        for a in range(0, len(key), 1 << 13):
+            part = slice(a, a + (1 << 13))
+            flat[key[part]] = np.einsum("ij,ij->i", q[w[part]], x[v[part]])
+        return w, v, flat[key]
+
+    live = np.arange(b)
     while True:
-        bar = -np.partition(-cos, wide - 1, axis=1)[:, wide - 1 : wide]
-        todo = np.where(open_ & (cos >= bar), cos, -np.inf)
-        few = min(4, n)
-        best = np.argpartition(-todo, few - 1, axis=1)[:, :few]
-        who, k = np.nonzero(np.isfinite(np.take_along_axis(todo, best, 1)))
-        if not len(who):
+        todo = np.where(done[live], -np.inf, best[live])
+        k = np.argpartition(-todo, few - 1, axis=1)[:, :few]
+        ok = np.isfinite(np.take_along_axis(todo, k, 1))
+        some = ok.any(1)
+        live, k, ok = live[some], k[some], ok[some]
+        if not len(live):
             break
-        expand(who, best[who, k])
-    while radius is not None:
-        who, node = np.nonzero(open_ & (cos >= radius))
-        if not len(who):
-            break
-        expand(who, node)
+        r, c = np.nonzero(ok)
+        done[live[r], k[r, c]] = True
+        w, v, got = expand(live[r], node[live[r], k[r, c]])
+        first = np.searchsorted(w, live)
+        more = int((np.searchsorted(w, live, "right") - first).max())
+        row = np.searchsorted(live, w)
+        slot = wide + np.arange(len(w)) - first[row]
+        both = [np.pad(t[live], ((0, 0), (0, more)), constant_values=e) for t, e in ((best, -np.inf), (node, 0), (done, True))]
+        for t, e in zip(both, (got, v, False), strict=True):
+            t[row, slot] = e
+        keep = np.argpartition(-both[0], wide - 1, axis=1)[:, :wide]
+        best[live], node[live], done[live] = (np.take_along_axis(t, keep, 1) for t in both)
+    if radius is not None:
+        opened = np.zeros(b * n, bool)
+        opened[(np.arange(b)[:, None] * n + node)[done & np.isfinite(best)]] = True
+        key = np.flatnonzero(flat >= radius)
+        key = key[~opened[key]]
+        while len(key):
+            opened[key] = True
+            w, v, got = expand(*np.divmod(key, n))
+            key = (w * n + v)[got >= radius]
     return cos
 
 
+def starts(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each query the nearest of a few nodes, to start from."""
+    some = np.unique(np.linspace(0, len(x) - 1, min(len(x), STARTS)).astype(int))
+    return some[(q @ x[some].T).argmax(1)][:, None]
+
+
+def in_rows(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """n rows of the values of ascending row numbers, -1 padded."""
+    count = np.bincount(row, minlength=n)
+    out = np.full((n, max(1, int(count.max(initial=0)))), -1)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)] = value
+    return out
+
+
 def build(x: np.ndarray, beam: int = 48) -> np.ndarray:
-    """Adjacency (n x DEGREE, -1 padded) of a robust-pruned graph, by inserting doubling batches:
-    each batch searches the graph so far from the medoid, prunes what it saw, and is linked back."""
+    """Adjacency (n x DEGREE, -1 padded) of a robust-pruned graph, by inserting batches of an eighth of
+    it: each batch searches the graph so far, prunes what it saw, and is linked back."""
     n = len(x)
     adj = np.full((n, DEGREE), -1)
     if n <= 1:
         return adj
-    entry = medoid(x)
-    order = np.concatenate([[entry], np.setdiff1d(np.random.default_rng(3).permutation(n), [entry], assume_unique=True)])
-    back = np.empty(n, int)
-    back[order] = np.arange(n)
+    order = np.random.default_rng(3).permutation(n)
     y = x[order]
     g = np.full((n, DEGREE), -1)
 
     def pruned(points: np.ndarray, pool: np.ndarray) -> np.ndarray:
-        c = y[np.maximum(pool, 0)]
-        d = np.sqrt(np.maximum(2 - 2 * np.einsum("bpd,bd->bp", c, y[points]), 0))
-        d[pool < 0] = np.inf
-        among = np.sqrt(np.maximum(2 - 2 * (c @ c.transpose(0, 2, 1)), 0))
-        k = prune(d, among)
-        return np.where(k >= 0, np.take_along_axis(pool, np.maximum(k, 0), 1), -1)
+        out = np.empty((len(points), DEGREE), int)
+        for at in range(0, len(points), 128):
+            p, part = points[at : at + 128], pool[at : at + 128]
+            c = y[np.maximum(part, 0)]
+            d = np.sqrt(np.maximum(2 - 2 * np.einsum("bpd,bd->bp", c, y[p]), 0))
+            d[part < 0] = np.inf
+            among = np.sqrt(np.maximum(2 - 2 * (c @ c.transpose(0, 2, 1)), 0))
+            k = prune(d, among)
+            out[at : at + 128] = np.where(k >= 0, np.take_along_axis(part, np.maximum(k, 0), 1), -1)
+        return out
 
     done = min(n, DEGREE)
     start = np.tile(np.arange(done), (done, 1))
     start[np.arange(done), np.arange(done)] = -1
     g[:done] = pruned(np.arange(done), start)
     while done < n:
-        new = np.arange(done, min(n, 2 * done, done + 512))
-        for at in range(0, len(new), 128):
-            own = new[at : at + 128]
-            cos = search(y[own], y[:done], g[:done], 0, beam, None)
+        new = np.arange(done, min(n, done + max(DEGREE, done // 8)))
+        for at in range(0, len(new), 256):
+            own = new[at : at + 256]
+            cos = search(y[own], y[:done], g[:done], starts(y[own], y[:done]), beam, None)
             size = min(beam * 2, done)
             pool = np.argpartition(-cos, size - 1, axis=1)[:, :size]
             pool[~np.isfinite(np.take_along_axis(cos, pool, 1))] = -1
             g[own] = pruned(own, pool)
-        src = np.repeat(new, DEGREE)
-        dst = g[new].ravel()
-        src, dst = src[dst >= 0], dst[dst >= 0]
-        o = np.argsort(dst, kind="stable")
+        dst, src = g[new].ravel(), np.repeat(new, DEGREE)
+        dst, src = dst[dst >= 0], src[dst >= 0]
+        near = np.concatenate([np.einsum("ij,ij->i", y[src[a : a + 8192]], y[dst[a : a + 8192]]) for a in range(0, len(dst), 8192)])
+        o = np.lexsort((-near, dst))
         src, dst = src[o], dst[o]
-        heads = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]])) if len(dst) else np.zeros(0, int)
-        full, pools = [], []
-        for a, z in zip(heads, np.append(heads[1:], len(dst)), strict=True):
-            w = dst[a]
-            both = np.unique(np.concatenate([g[w][g[w] >= 0], src[a:z]]))
-            if len(both) <= DEGREE:
-                g[w] = -1
-                g[w, : len(both)] = both
-            else:
-                if len(both) > 96:
-                    both = both[np.argsort(-(y[both] @ y[w]))[:96]]
-                full.append(w)
-                pools.append(np.pad(both, (0, 96 - len(both)), constant_values=-1))
-        for at in range(0, len(full), 128):
-            own = np.array(full[at : at + 128])
-            g[own] = pruned(own, np.array(pools[at : at + 128]))
+        # a node with very many new links takes the nearest of them
+        few = np.arange(len(dst)) - np.searchsorted(dst, dst) < LINKED
+        heads, row = np.unique(dst[few], return_inverse=True)
+        pools = np.concatenate([g[heads], in_rows(row, src[few], len(heads))], axis=1)
+        pools = np.take_along_axis(pools, np.argsort(pools < 0, axis=1, kind="stable"), 1)
+        size = (pools >= 0).sum(1)
+        g[heads] = pools[:, :DEGREE]
+        for low, high in ((DEGREE, 32), (32, 48), (48, DEGREE + LINKED)):
+            at = np.flatnonzero((size > low) & (size <= high))
+            g[heads[at]] = pruned(heads[at], pools[at, :high])
         done = new[-1] + 1
     adj[order] = np.where(g >= 0, order[np.maximum(g, 0)], -1)
     return adj
 
 
-def medoid(x: np.ndarray) -> int:
-    return int((x @ x.mean(0)).argmax())
-
-
 def deal(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The home (nearest centroid) of each row of x, and the clusters it is dealt to (rows x clusters):
     its home i and each cluster j < i that can be home to a vector linked with it. Such a vector y has
@@ -199,17 +226,22 @@ def centroids(sample: list, total: int) -> dict:
         x = unit(np.array(rows, float))
         scale = total / len(sample)
         k = int(min(-(-len(rows) * scale // TARGET), max(1, len(rows) // 4), max(1, MAX_CENTROIDS * len(rows) // len(sample))))
-        least = len(rows) * scale * np.ceil(len(rows) * scale / CAPACITY)
+        least = len(rows) * scale * np.ceil(len(rows) * scale / capacity(key[1]))
         while k >= 2:
             c = means_of(x, k, rng)
             held = deal(x, c)[1].sum(0) * scale
-            copied = (held * np.ceil(held / CAPACITY)).sum()
+            copied = (held * np.ceil(held / capacity(key[1]))).sum()
             if copied < least:
                 least, out[key] = copied, c
             k //= 4
     return out
 
 
+def capacity(dim: int) -> int:
+    """Vectors of a part: CAPACITY, or as many as PART_BYTES hold."""
+    return max(1, min(CAPACITY, PART_BYTES // (8 * dim)))
+
+
 def vectors_of(column) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return unit(flat.astype(np.float64).reshape(len(column), -1))
@@ -232,11 +264,26 @@ def sampled(reps: DataFrame) -> list[Row]:
     return [Row(label=r.label, vec=np.frombuffer(r.vec, np.float32)) for r in some.select("label", "vec").mapInArrow(pack, "label int, vec binary").collect()]
 
 
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The lowest number of each row's component, where root has it without the pairs a, b."""
+    ends = np.unique(np.stack([root[a], root[b]], 1)[root[a] != root[b]], axis=0)
+    ends = np.concatenate([ends, ends[:, ::-1]])
+    own = np.arange(len(root))
+    while len(ends):
+        low = own.copy()
+        np.minimum.at(low, ends[:, 0], own[ends[:, 1]])
+        low = low[low]
+        if (low == own).all():
+            break
+        own = low
+    return own[root]
+
+
 def links(reps: DataFrame, beam: int | None) -> tuple[DataFrame, DataFrame]:
     """(k, links, others) and (a, b) of distinct vectors reps(k, id, weight, label, vec): links counts rows,
     others distinct vectors. Without a beam the parts are compared whole, and no link is missed."""
-    total = reps.count()
-    means = reps.sparkSession.sparkContext.broadcast(centroids(sampled(reps), total))  # MAX_CENTROIDS vectors at most
+    spark, total = reps.sparkSession, reps.count()
+    means = spark.sparkContext.broadcast(centroids(sampled(reps), total))  # MAX_CENTROIDS vectors at most
 
     def assign(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -257,10 +304,15 @@ def links(reps: DataFrame, beam: int | None) -> tuple[DataFrame, DataFrame]:
                         own[i] = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home), pa.array(own, pa.list_(pa.int32()))], ["k", "id", "weight", "label", "vec", "home", "near"])
 
-    base = "k long, id long, weight long, label int, vec array<double>"
-    dealt = reps.select("k", "id", "weight", "label", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(assign, base + ", home int, near array<int>")
+    # single-precision numbers stay so until they are computed with
+    kind = "array<float>" if reps.schema["vec"].dataType == ArrayType(FloatType()) else "array<double>"
+    base = f"k long, id long, weight long, label int, vec {kind}"
+    dealt = reps.select("k", "id", "weight", "label", F.col("vec").cast(kind).alias("vec")).mapInArrow(assign, base + ", home int, near array<int>")
     dealt = cut(dealt.withColumn("dim", F.size("vec")).withColumn("cluster", F.explode("near")).drop("near"))
-    parts = dealt.groupBy("label", "dim", "cluster").agg(F.ceil(F.count(F.lit(1)) / CAPACITY).cast("int").alias("parts"))
+    held = F.greatest(F.lit(1), F.least(F.lit(CAPACITY), F.floor(F.lit(PART_BYTES) / (F.col("dim") * 8))))
+    parts = dealt.groupBy("label", "dim", "cluster").agg(F.ceil(F.count(F.lit(1)) / held).cast("int").alias("parts"))
+    # tasks of few parts: what a part or a pair of parts costs is not seen by its size
+    tasks = [max(spark.sparkContext.defaultParallelism, min(MAX_TASKS, 4 * (n or 0))) for n in parts.agg(F.sum("parts").cast("long"), F.sum(F.col("parts") * (F.col("parts") + 1) / 2).cast("long")).first()]
     dealt = dealt.join(parts, ["label", "dim", "cluster"]).withColumn("own", F.pmod("k", F.col("parts").cast("long")).cast("int"))
 
     def graph(key, t):
@@ -268,13 +320,15 @@ def links(reps: DataFrame, beam: int | None) -> tuple[DataFrame, DataFrame]:
 
         k = t.column("k").to_numpy()
         adj = build(vectors_of(t.column("vec").combine_chunks()))
-        return pa.table({"k": k, "adj": pa.array([k[a[a >= 0]] for a in adj], pa.list_(pa.int64()))})
+        # half of a neighbour's number names it: two of one name are an edge too many, and cosines decide
+        ends = np.concatenate([[0], np.cumsum((adj >= 0).sum(1))]).astype(np.int32)
+        return pa.table({"k": k, "adj": pa.ListArray.from_arrays(pa.array(ends), pa.array(k.astype(np.int32)[adj[adj >= 0]]))})
 
     shard = ["label", "dim", "cluster", "own"]
     if beam is None:
-        whole = dealt.withColumn("adj", F.array().cast("array<long>"))
+        whole = dealt.withColumn("adj", F.array().cast("array<int>"))
     else:
-        edges = dealt.groupBy(*shard).applyInArrow(graph, "k long, adj array<long>")
+        edges = dealt.repartition(tasks[0], *shard).groupBy(*shard).applyInArrow(graph, "k long, adj array<int>")
         united = edges.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("adj"))).alias("adj"))
         whole = dealt.join(united, "k")
     whole = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -284,47 +338,52 @@ def links(reps: DataFrame, beam: int | None) -> tuple[DataFrame, DataFrame]:
         import pyarrow as pa
 
         cluster, i, j = (key[c].as_py() for c in (2, 3, 4))
-        k, ids, weight, own = (t.column(c).to_numpy() for c in ("k", "id", "weight", "own"))
+        k, ids, weight, own, home = (t.column(c).to_numpy() for c in ("k", "id", "weight", "own", "home"))
         x = vectors_of(t.column("vec").combine_chunks())
-        home = t.column("home").to_numpy()
-        place = {int(v): c for c, v in enumerate(k)}
-        lists = t.column("adj").to_pylist()
-        hit = np.zeros((len(k), len(k)), bool)
-        for mine, theirs in {(i, j), (j, i)}:
-            q, v = np.flatnonzero(own == mine), np.flatnonzero(own == theirs)
-            if not len(q) or not len(v):
-                continue
+        lists = t.column("adj").combine_chunks()
+        name = k.astype(np.int32)
+        by = np.argsort(name, kind="stable")
+        src, dst = np.repeat(np.arange(len(k)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+        at = np.minimum(np.searchsorted(name[by], dst), len(k) - 1)
+        known = name[by[at]] == dst
+        src, dst = src[known], by[at[known]]
+        rows = {p: np.flatnonzero(own == p) for p in (i, j)}
+
+        def hits(mine: int, theirs: int) -> Iterator:
+            """For 256 rows of the part `mine` at a time, whether each row of the part `theirs` is in range."""
+            q, v = rows[mine], rows[theirs]
             inside = np.full(len(k), -1)
             inside[v] = np.arange(len(v))
-            local = [[w for w in (int(inside[place[n]]) for n in lists[c] if n in place) if w >= 0] for c in v]
-            adj = np.full((len(v), max(1, max(map(len, local)))), -1)
-            for r, row in enumerate(local):
-                adj[r, : len(row)] = row
-            entry = medoid(x[v])
+            edge = (inside[src] >= 0) & (inside[dst] >= 0)
+            adj, y = in_rows(inside[src[edge]], inside[dst[edge]], len(v)), x[v]
             for at in range(0, len(q), 256):
                 part = q[at : at + 256]
-                cos = x[part] @ x[v].T if beam is None else search(x[part], x[v], adj, entry, beam, THRESHOLD)
-                a, b = np.nonzero(cos >= THRESHOLD)
-                hit[part[a], v[b]] = True
-        hit |= hit.T
-        np.fill_diagonal(hit, False)
-        a, b = np.nonzero(hit)
-        # several shards may find a pair: it counts in the lower of its homes, which both are dealt to
-        counted = np.minimum(home[a], home[b]) == cluster
-        number = np.zeros(len(k), np.int64)
-        np.add.at(number, a[counted], weight[b[counted]])
-        others = np.bincount(a[counted], minlength=len(k))
-        root = np.arange(len(k))
-        while len(a):
-            low = root.copy()
-            np.minimum.at(low, a, root[b])
-            low = low[low]
-            if (low == root).all():
-                break
-            root = low
+                if beam is None:
+                    yield x[part] @ y.T >= THRESHOLD
+                else:
+                    yield search(x[part], y, adj, inside[part][:, None] if mine == theirs else starts(x[part], y), beam, THRESHOLD) >= THRESHOLD
+
+        number, others, root = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64), np.arange(len(k))
+        if len(rows[i]) and len(rows[j]):
+            # a pair counts if either end finds the other: what one way finds is kept in bits
+            back = np.concatenate([np.packbits(h, axis=1) for h in hits(j, i)])
+            there = (np.unpackbits(back[at : at + 256], axis=1, count=len(rows[i])) for at in range(0, len(back), 256)) if i == j else hits(i, j)
+            for at, hit in zip(range(0, len(rows[i]), 256), there, strict=True):
+                here = rows[i][at : at + 256]
+                hit = hit.astype(bool) | np.unpackbits(back[:, at // 8 : at // 8 + 32], axis=1, count=len(here)).astype(bool).T
+                a, b = np.nonzero(hit)
+                a, b = here[a], rows[j][b]
+                a, b = a[a != b], b[a != b]
+                # several shards may find a pair: it counts in the lower of its homes, which both are dealt to
+                counted = np.minimum(home[a], home[b]) == cluster
+                for one, two in {False: ((a, b), (b, a)), True: ((a, b),)}[i == j]:
+                    np.add.at(number, one[counted], weight[two[counted]])
+                    others += np.bincount(one[counted], minlength=len(k))
+                root = joined(root, a, b)
         return pa.table({"k": k, "links": number, "others": others, "a": ids, "b": ids[root]})
 
-    found = cut(whole.groupBy("label", "dim", "cluster", "i", "j").applyInArrow(ranges, "k long, links long, others long, a long, b long"))
+    pair = ["label", "dim", "cluster", "i", "j"]
+    found = cut(whole.repartition(tasks[1], *pair).groupBy(*pair).applyInArrow(ranges, "k long, links long, others long, a long, b long"))
     return found.groupBy("k").agg(F.sum("links").alias("links"), F.sum("others").alias("others")), found.where("a <> b").select("a", "b").distinct()
 
 
@@ -380,8 +439,8 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     may hold a vector linked with them (see deal), so no link is lost between clusters; clusters over
     CAPACITY are cut into parts, and each pair of parts is searched in its own task, so
     no task holds more than two parts. Each part builds a robust-pruned graph, a node's adjacency
-    lists are united over its parts, and every node searches all parts of its clusters from their
-    medoids, expanding while nodes lie in range. Links are the cosines computed on the way. Recall is
+    lists are united over its parts, and every node searches all parts of its clusters, its own from
+    itself and others from the nearest of a few nodes, expanding while nodes lie in range. Links are the cosines computed on the way. Recall is
     audited against brute force for a sample; under RECALL the search is made again with a wider beam,
     and at last the parts are compared whole. The dealing is the same each time, as it loses nothing.
 

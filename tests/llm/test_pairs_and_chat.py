@@ -106,6 +106,29 @@ def test_links_across_many_clusters_match_brute_force(spark, monkeypatch):
         assert [got[k] for k in range(len(x))] == hit.sum(1).tolist()
 
 
+def test_a_large_part_finds_the_links_of_balls_and_pairs():
+    rng = np.random.default_rng(2)
+    x = embedding_dedup.unit(rng.normal(size=(3000, 64)))
+    x[:300] = embedding_dedup.unit(x[0] + 0.014 * rng.normal(size=(300, 64)))
+    x[300:400] = embedding_dedup.unit(x[400:500] + 0.03 * rng.normal(size=(100, 64)))
+    x = x[rng.permutation(len(x))]
+    hit = x @ x.T >= 0.93
+    np.fill_diagonal(hit, False)
+    adj, q = embedding_dedup.build(x), np.arange(0, 3000, 3)
+    for start in (q[:, None], embedding_dedup.starts(x[q], x)):  # from itself; from the nearest of a few
+        got = embedding_dedup.search(x[q], x, adj, start, 64, 0.93)
+        seen = np.isfinite(got)
+        assert np.allclose(got[seen], (x[q] @ x.T)[seen]) and seen.mean() < 0.5
+        found = (got >= 0.93) & hit[q]
+        assert found.sum() >= 0.99 * hit[q].sum() and (found.any(1) == hit[q].any(1)).mean() > 0.995
+
+
+def test_parts_joined_pair_by_pair():
+    root = embedding_dedup.joined(np.arange(6), np.array([4, 1]), np.array([5, 2]))
+    assert root.tolist() == [0, 1, 1, 3, 4, 4]
+    assert embedding_dedup.joined(root, np.array([5, 0]), np.array([2, 0])).tolist() == [0, 1, 1, 3, 1, 1]
+
+
 def test_poor_searches_end_in_whole_comparison(spark, monkeypatch):
     x = scattered(60)
     n = (x @ x.T >= 0.93).sum(1) - 1
