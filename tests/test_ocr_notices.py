@@ -2,6 +2,7 @@ import random
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from noticeloom.functions import rules
 from noticeloom.operators import ocr_notices as o
@@ -79,3 +80,14 @@ def test_what_is_pending_can_be_put_away(spark):
         state = reader.state()
     whole = o.Reader(own)
     assert out == [f for r in rows for f in whole.block(SimpleNamespace(page=r[1], column=r[2], is_title=r[5], text=r[6], review_reasons=r[7], printed_page=r[8], bbox=None))]
+
+
+def test_plain_texts_pass_by_the_work_on_odd_ones(spark):
+    from noticeloom.functions import text
+
+    texts = ["", "a b", "SARL\nrc 12", "12 P", " a", "a ", "\na", "a\n", "a  b", "a \nb", "a\n b", "a\tb", "a\rb", "a\x0bb", "a\fb", "é", "١٢ P", "## a", "<td>a</td>", "a & b", "a\n\nb", "\x1ca"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    odd = text.untidy(F.col("t"), "<#")
+    got = df.select("t", odd.alias("odd"), text.clean_block(F.col("t")).alias("clean"), text.untidy(F.col("t")).alias("untidy"), text.normalise(F.col("t")).alias("normal")).collect()
+    assert all(r.clean == r.t for r in got if r.odd is None) and all(r.normal == r.t for r in got if r.untidy is None)
+    assert [r.t for r in got if r.odd is None] == ["", "a b", "SARL\nrc 12", "12 P", "a & b", "a\n\nb", "\x1ca"]
